@@ -22,7 +22,11 @@ from .runtime import columns_or_null, ship
 
 INF = 1 << 60
 #: Distinct words whose ids a worker keeps; the table starts anew beyond it, so memory stays bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
+#: Token pairs whose compatibility a worker keeps.
+CACHE_PAIRS = 500_000
+#: Documents of a batch that are Python objects at a time.
+ROWS = 1000
 #: Characters of Latin-1 that the fast word splitter knows; other texts go through the library's own splitter.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ÿ]")
 _LETTERS = "a-zªµºß-öø-ÿ"
@@ -54,11 +58,6 @@ class TrieEncoder:
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.token_text = [""] * size
-        for t, i in [*vocab.items(), *self.special.items()]:
-            self.token_text[i] = t
-        self.token_bytes = [t.encode() for t in self.token_text]
         self.alphabet = byte_alphabet()
         back = {c: b for b, c in enumerate(self.alphabet)}
         self.unmap = back
@@ -174,6 +173,8 @@ class TrieEncoder:
         new = set().union(*docs)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
+        if len(self.fits) > CACHE_PAIRS:
+            self.fits.clear()
         new.difference_update(self.cache)
         for s in [w for w in new if w in self.special]:
             self.cache[s] = np.uint32(self.special[s]).tobytes()
@@ -196,19 +197,37 @@ class TrieEncoder:
             for words in docs:
                 yield b"".join(map(get, words))
 
+
+class TokenTable:
+    """The texts of a vocabulary's tokens by id."""
+
+    def __init__(self, path: str):
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.texts = [b""] * (max(known.values()) + 1)
+        for t, i in known.items():
+            self.texts[i] = t.encode()
+
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text the library's decode gives for these ids: the vocabulary has no decoder, so tokens are joined by blanks."""
-        return b" ".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return b" ".join(map(self.texts.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
 
+_kept: dict[tuple, TrieEncoder | TokenTable] = {}
 
-_encoders: dict[str, TrieEncoder] = {}
+
+def kept(kind: type, path: str):
+    """One of a kind per worker process and vocabulary file."""
+    if (kind, path) not in _kept:
+        _kept[kind, path] = kind(path)
+    return _kept[kind, path]
 
 
 def encoder(path: str) -> TrieEncoder:
-    """One per worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = TrieEncoder(path)
-    return _encoders[path]
+    return kept(TrieEncoder, path)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -218,8 +237,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            texts = b.column("text").fill_null("").to_pylist()
-            yield pa.record_batch([b.column("doc_id"), pa.array(enc.encode_docs(texts), pa.binary())], ["doc_id", "ids"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                texts = part.column("text").fill_null("").to_pylist()
+                yield pa.record_batch([part.column("doc_id"), pa.array(enc.encode_docs(texts), pa.binary())], ["doc_id", "ids"])
 
     return columns_or_null(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids binary")
 
@@ -229,12 +250,12 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     ship(coded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        known = kept(TokenTable, path)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 ids = part.column("ids").fill_null(b"")
-                text = pa.array((enc.decode(x.as_buffer()) for x in ids), pa.binary()).cast(pa.string())
+                text = pa.array((known.decode(x.as_buffer()) for x in ids), pa.binary()).cast(pa.string())
                 yield pa.record_batch([part.column("doc_id"), ids, text], ["doc_id", "ids", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
