@@ -26,5 +26,39 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_bpe_codec,)}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokenstore
+
+    out = tokenstore.read(tokenstore.write(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kdtree
+
+    finite = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("if(forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')), transform(embedding, x -> cast(floor(64 * cast(x as double)) as double)), null)").alias("vector"))
+    return kdtree.top_k(finite, finite.where("vec_id % 20 = 0"), 20).withColumn("score", F.col("score").cast("long"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    found = warc.read(warc.merge(warc.write(table(spark, sf_dir, "pages"))))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_jaccard_join, op4_packing, op6_bpe_codec, op7_exact_top_k, op9_token_store, op10_warc)}
 SQL: dict[str, str] = {}

@@ -58,8 +58,8 @@ class TrieEncoder:
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.alphabet = byte_alphabet()
-        back = {c: b for b, c in enumerate(self.alphabet)}
+        self.largest = max([*vocab.values(), *self.special.values()])
+        back = {c: b for b, c in enumerate(byte_alphabet())}
         self.unmap = back
         #: Tokens as byte strings: those inside a word, and those that close it.
         self.inner: dict[bytes, int] = {}
