@@ -25,7 +25,7 @@ from .runtime import columns_or_null, materialize, ship
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: Tokens that one merging task takes, and where its sequence numbers begin.
-MERGE_TOKENS = 4_000_000
+MERGE_TOKENS = 250_000
 MERGED_IDS = 1 << 62
 
 _codecs: dict = {}

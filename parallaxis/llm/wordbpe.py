@@ -12,7 +12,8 @@ tokenizers library does by default. Other columns of the input take no part, wha
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,13 +118,13 @@ class TrieEncoder:
         self.fits[key] = ok
         return ok
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of sorted distinct words.
+    def encode_words(self, words: Iterable[bytes]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of sorted distinct words.
 
         last[i] is the token that ends the encoding of the current word's first i bytes, length[i] its length. It is the
         one token that ends there and is compatible with the last token of what stands before it.
         """
-        last, length, before, out = [0], [0], b"", []
+        last, length, before = [0], [0], b""
         closed, fits, compatible = bool(self.end), self.fits, self.compatible
         inner, final = self.inner_ends, self.final_ends
         for w in words:
@@ -132,13 +133,19 @@ class TrieEncoder:
             while shared < most and before[shared] == w[shared]:
                 shared += 1
             del last[shared + 1 :], length[shared + 1 :]
+            ends = inner
             for i in range(shared + 1, len(w) + 1):
-                ends = inner if i <= stop else final
+                if i > stop:
+                    ends = final
                 j = i - 1
                 while True:
                     t = ends[w[j:i]]  # -1: no token by itself, but one ends with it
-                    if t >= 0 and (j == 0 or (fits.get(last[j] << 20 | t) or (last[j] << 20 | t) not in fits and compatible(last[j], t))):
-                        break
+                    if t >= 0:
+                        if not j:
+                            break
+                        pair = last[j] << 20 | t
+                        if fits[pair] if pair in fits else compatible(last[j], t):
+                            break
                     j -= 1
                 last.append(t)
                 length.append(i - j)
@@ -146,11 +153,11 @@ class TrieEncoder:
             while i > 0:
                 ids.append(last[i])
                 i -= length[i]
-            out.append(ids[::-1])
+            ids.reverse()
+            yield array("I", ids).tobytes()
             if closed:
                 del last[-1], length[-1]
             before = w
-        return out
 
     def split(self, text: str) -> list[str]:
         """Words of a text, as strings of its normalised characters, special tokens as they are."""
@@ -176,12 +183,11 @@ class TrieEncoder:
         if len(self.fits) > CACHE_PAIRS:
             self.fits.clear()
         new.difference_update(self.cache)
-        for s in [w for w in new if w in self.special]:
+        for s in new & self.special.keys():
             self.cache[s] = np.uint32(self.special[s]).tobytes()
             new.discard(s)
-        coded = sorted((w.encode("utf-8", "surrogateescape"), w) for w in new)
-        for (_, w), ids in zip(coded, self.encode_words([b for b, _ in coded]), strict=True):
-            self.cache[w] = np.array(ids, dtype="<u4").tobytes()
+        words = sorted(new)  # code points sort as their UTF-8
+        self.cache.update(zip(words, self.encode_words(map(str.encode, words)), strict=True))
 
     def encode_docs(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Texts are taken in groups of about 4 MB."""
