@@ -60,5 +60,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_jaccard_join, op4_packing, op6_bpe_codec, op7_exact_top_k, op9_token_store, op10_warc)}
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .runtime import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    from .runtime import held_out
+
+    docs, pieces = table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")
+    out = langid.predict(docs, pieces, *langid.train(docs, pieces))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_packing, op5_line_quality, op6_bpe_codec, op7_exact_top_k, op8_pii, op9_token_store, op10_warc)
+}
 SQL: dict[str, str] = {}

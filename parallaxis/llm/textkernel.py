@@ -77,13 +77,14 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def words(b: Block, lower: bool) -> Words:
-    """All words of a block in order, with the block's document number and a 64-bit hash."""
+def words(b: Block, lower: bool, inside: np.ndarray | None = None) -> Words:
+    """All words of a block in order, with the block's document number and a 64-bit hash. inside: the bytes of words, by
+    default all but white space."""
     data, n = b.data, len(b.data)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(z, z, z, np.zeros(0, U))
-    inside = ~_SPACE[data]
+    inside = ~_SPACE[data] if inside is None else inside[data]
     cut = np.zeros(n + 1, bool)
     cut[b.bounds] = True
     start = np.flatnonzero(inside & (cut[:n] | np.concatenate(([True], ~inside[:-1]))))
@@ -97,11 +98,11 @@ def words(b: Block, lower: bool) -> Words:
     return Words(start, end, np.searchsorted(b.bounds, start, "right") - 1, h)
 
 
-def spans_hash(b: Block, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def spans_hash(b: Block, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
     """Hash of the bytes of each span."""
     up, down = powers(max(len(b.data), 1))
     with np.errstate(over="ignore"):
-        sums = np.concatenate((np.zeros(1, U), np.cumsum(_BYTES[b.data] * up[: len(b.data)], dtype=U)))
+        sums = np.concatenate((np.zeros(1, U), np.cumsum((_FOLDED if lower else _BYTES)[b.data] * up[: len(b.data)], dtype=U)))
         return mix((sums[end] - sums[start]) * down[np.minimum(start, len(down) - 1)] + (end - start).astype(U), 3)
 
 
