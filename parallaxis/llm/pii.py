@@ -84,7 +84,8 @@ def base_spans(text: Column) -> dict[str, Column]:
         "phone": text.contains("+"),
     }
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-    return {k: F.filter(matches(text, p, guards[k]), lambda m, k=k: valid(k, m["hit"])) for k, p in patterns.items()}
+    passes = lambda k: lambda m: valid(k, m["hit"])
+    return {k: F.filter(matches(text, p, guards[k]), passes(k)) for k, p in patterns.items()}
 
 
 def vote(yes: Column, no: Column) -> Column:
@@ -107,10 +108,11 @@ def judged(token: Column, before: Column) -> dict[str, Column]:
     }
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base spans and candidates with their votes, one row per document; no shuffle."""
+def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in keep, base spans and candidates with their votes, one row per document; no shuffle."""
     text = F.col("text")
-    slim = columns_or_null(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
+    kinds = dict(docs.dtypes)
+    slim = columns_or_null(docs, **({c: kinds[c] for c in keep} | {"doc_id": "long", "text": "string"})).withColumn("text", F.coalesce("text", F.lit("")))
     spans = {k: F.transform(v, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k, v in base_spans(text).items()}
     tokens = matches(text, TOKEN, text.rlike(TOKEN))
 
@@ -118,7 +120,7 @@ def find(docs: DataFrame) -> DataFrame:
         before = F.substring(text, F.greatest(m["start"] - BEFORE, F.lit(0)) + 1, F.least(m["start"], F.lit(BEFORE)))
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), *[v.alias(k) for k, v in judged(m["hit"], before).items()])
 
-    return slim.select("doc_id", "text", *spans.values(), F.transform(tokens, described).alias("candidates"))
+    return slim.select("doc_id", *keep, *spans.values(), F.transform(tokens, described).alias("candidates"))
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> list[float]:
@@ -179,10 +181,10 @@ def train(found: DataFrame) -> tuple[float, dict[tuple[int, int], float]] | None
     return logistic(sorted((tuple(r[: len(FEATURES)]), belief[tuple(r[:k])], r["count"]) for r in cells))
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, text, base (array of start, end, kind number of the base spans) and spans (with the added ones), both in
+def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in keep, base (array of start, end, kind number of the base spans) and spans (with the added ones), both in
     order of start, then of kind."""
-    found = materialize(find(docs), "spans")
+    found = materialize(find(docs, keep), "spans")
     model = train(found)
 
     def tagged(name: str, array: Column) -> Column:
@@ -190,7 +192,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     base = F.array_sort(F.concat(*[tagged(k, F.col(k)) for k in KINDS[:4]]))
     if model is None:
-        return found.select("doc_id", "text", base.alias("base"), base.alias("spans"))
+        return found.select("doc_id", *keep, base.alias("base"), base.alias("spans"))
     bias, weights = model
 
     def logit(c: Column) -> Column:
@@ -198,7 +200,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     overlaps = lambda c: F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     added = tagged("secret", F.filter("candidates", lambda c: (logit(c) > 0) & ~overlaps(c)))
-    return found.withColumn("base", base).select("doc_id", "text", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return found.withColumn("base", base).select("doc_id", *keep, "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -208,7 +210,8 @@ def listed(spans: str) -> Column:
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """doc_id and text with every span replaced by its kind in brackets; of overlapping spans the first gives its name."""
+    """Documents (detected with their text kept) with every span replaced by its kind in brackets; of
+    overlapping spans the first gives its name."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -96,20 +96,17 @@ def count_lines(docs: DataFrame) -> DataFrame:
             cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
             offsets = pa.array(np.append(cat(starts), at).astype(np.int32))
             yield pa.record_batch(
-                [batch.column("row"), batch.column("doc_id"), batch.column("host"), *(pa.array(cat(c)) for c in base), pa.ListArray.from_arrays(offsets, pa.array(cat(lines))), pa.ListArray.from_arrays(offsets, pa.array(cat(sizes)))],
-                ["row", "doc_id", "host", *(x.split()[0] for x in BASE.split(", ")), "lines", "sizes"],
+                [batch.column(c) for c in ("row", "doc_id", "text_key", "host")] + [*(pa.array(cat(c)) for c in base), pa.ListArray.from_arrays(offsets, pa.array(cat(lines))), pa.ListArray.from_arrays(offsets, pa.array(cat(sizes)))],
+                ["row", "doc_id", "text_key", "host", *(x.split()[0] for x in BASE.split(", ")), "lines", "sizes"],
             )
 
-    return docs.select("row", "doc_id", "host", "text").mapInArrow(run, f"row long, doc_id long, host string, {BASE}, lines array<long>, sizes array<long>")
+    return docs.select("row", "doc_id", "text_key", "host", "text").mapInArrow(run, f"row long, doc_id long, text_key long, host string, {BASE}, lines array<long>, sizes array<long>")
 
 
 def judge(docs: DataFrame, host: str = "source", least_docs: int = 50, share: float = 0.005, left: int = 30, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
-    """row, doc_id, base columns, removed_words, base_failed and kept of every document. A `row` column that the input has is kept as the rows' key."""
+    """doc_id, text_key (a hash of doc_id and text), base columns, removed_words, base_failed and kept of every document."""
     ship(docs.sparkSession)
-    kept_row = "row" in docs.columns and dict(docs.dtypes)["row"] == "bigint"
-    slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).withColumnRenamed(host, "host") if not kept_row else columns_or_null(docs, row="long", doc_id="long", text="string", **{host: "string"}).withColumnRenamed(host, "host")
-    if not kept_row:
-        slim = slim.withColumn("row", F.monotonically_increasing_id())
+    slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("doc_id", "text").alias("text_key"), F.monotonically_increasing_id().alias("row"))
     base = materialize(count_lines(slim), "lines")
     lines = base.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     hosts = base.groupBy("host").agg(F.greatest(F.lit(least_docs).cast("double"), F.count(F.lit(1)) * F.lit(share)).alias("most"))
@@ -118,6 +115,6 @@ def judge(docs: DataFrame, host: str = "source", least_docs: int = 50, share: fl
     named = maybe_broadcast(common.withColumnsRenamed({"host": "h", "line": "l"}))
     gone = lines.join(named, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).where("doc_id is null or first is null or doc_id <> first")
     removed = gone.groupBy("row").agg(F.sum("size").alias("removed_words"))
-    out = base.drop("lines", "sizes", "host").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = base.drop("lines", "sizes", "host").join(removed, "row", "left").drop("row").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("removed_words")) >= left * F.col("n_words")))

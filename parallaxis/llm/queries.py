@@ -81,14 +81,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
-    return quality.judge(table(spark, sf_dir, "documents")).drop("row")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
     found = pii.detect(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
+    of_kind = lambda i: lambda s: s["kind"] == i
+    counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
