@@ -130,7 +130,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def signature_groups(docs: DataFrame) -> DataFrame:
     """Groups of two or more classes with a signature in common: key, f1, flags, and the f1 of the group's leader."""
-    buckets = 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed signatures (48 bits of key, 12 of document, 4 of flags) dealt to buckets, some thousand documents at a time."""
@@ -147,10 +147,16 @@ def signature_groups(docs: DataFrame) -> DataFrame:
                 order = np.argsort(own.astype(np.uint16) if buckets <= 1 << 16 else own, kind="stable")
                 own, entry = own[order], entry[order]
                 cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True])))
-                known = np.concatenate(sets).tobytes()
+                known = np.concatenate(sets)
                 for lo in range(0, len(cut) - 1, 256):
                     part = range(lo, min(lo + 256, len(cut) - 1))
-                    yield pa.record_batch([pa.array([int(own[cut[i]]) for i in part], pa.int64()), pa.array([entry[cut[i] : cut[i + 1]].tobytes() for i in part], pa.binary()), pa.array([known for _ in part], pa.binary())], ["bucket", "entries", "sets"])
+                    found, names = [], []
+                    for i in part:  # a bucket's entries number the documents it has
+                        e = entry[cut[i] : cut[i + 1]]
+                        here, at = np.unique((e >> U(4)) & U(4095), return_inverse=True)
+                        found.append(((e & ~U(4095 << 4)) | (at.astype(U) << U(4))).tobytes())
+                        names.append(known[here.astype(np.int64)].tobytes())
+                    yield pa.record_batch([pa.array([int(own[cut[i]]) for i in part], pa.int64()), pa.array(found, pa.binary()), pa.array(names, pa.binary())], ["bucket", "entries", "sets"])
             held, sets, docs, rows = [], [], 0, 0
 
         for batch in batches:
@@ -258,23 +264,53 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     near = near.join(side("x"), "x").join(side("y"), "y").where("x_rep <> y_rep and 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)")
     tested = materialize(near.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), "pairs")
     links = materialize(verify(docs, tested), "links")
-    while True:
-        parts = connected(links)
-        own = classes.select("f1", "rep", "n_shingles").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-        named = groups.join(own, "f1")
-        torn = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        rest = named.join(torn, "key", "left_semi").select("key", "rep", "n_shingles", "component", "flags")
-        x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "n_shingles", "component", "flags")]) for p in "xy")
-        cross = x.join(y, "key").where(
-            f"x_rep < y_rep and x_component <> y_component and 5 * least(x_n_shingles, y_n_shingles) >= 4 * greatest(x_n_shingles, y_n_shingles) and (x_flags | y_flags) & {PROBE} > 0 and x_flags & y_flags & {DELETED} = 0"
-        )
-        pairs = cross.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            return known, classes, links
-        found = materialize(verify(docs, fresh), "links")
-        return known, classes, materialize(links.unionByName(found), "links")
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    parts = connected(links)
+    own = classes.select("f1", "rep", "n_shingles").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    rest = materialize(torn(groups.join(own, "f1").select("key", "rep", "n_shingles", "component", "flags")), "torn")
+    # a set's elements that no other of these has are in no intersection: what is left bounds every intersection
+    for _ in range(2):
+        rest = materialize(torn(within_reach(rest, shared_sizes(docs, rest))), "torn")
+    x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "n_shingles", "shared", "component", "flags")]) for p in "xy")
+    cross = x.join(y, "key").where(
+        f"x_rep < y_rep and x_component <> y_component and (x_flags | y_flags) & {PROBE} > 0 and x_flags & y_flags & {DELETED} = 0"
+        " and 5 * least(x_n_shingles, y_n_shingles) >= 4 * greatest(x_n_shingles, y_n_shingles) and 9 * least(x_shared, y_shared) >= 4 * (x_n_shingles + y_n_shingles)"
+    )
+    pairs = cross.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+    fresh = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    if fresh.isEmpty():
+        return known, classes, links
+    return known, classes, materialize(links.unionByName(verify(docs, fresh)), "links")
+
+
+def torn(groups: DataFrame) -> DataFrame:
+    """Members of the groups that several components share."""
+    keys = groups.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return groups.join(keys, "key", "left_semi")
+
+
+def shared_sizes(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """rep and the number of its set's elements that another of these members has too."""
+    reps = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "members")
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for b in tk.blocks(batch.column("text")):
+                s = tk.shingle_sets(b, WORDS)
+                yield pa.record_batch([pa.array(ids[b.first + s.doc]), pa.array(s.element.view(np.int64))], ["rep", "element"])
+
+    rows = docs.join(maybe_broadcast(reps), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(elements, "rep long, element long")
+    alone = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
+    return reps.select(F.col("doc_id").alias("rep")).join(alone, "rep", "left").select("rep", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def within_reach(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members that may still link with some member of their group, by the size of the group's smallest set: a link needs
+    9 |intersection| >= 4 (|x| + |y|)."""
+    known = groups.drop("shared").join(sizes, "rep").withColumn("shared", F.col("n_shingles") - F.col("alone")).drop("alone")
+    least = known.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    return known.join(least, "key").where("5 * shared >= 4 * n_shingles and 9 * shared >= 4 * (n_shingles + greatest(least, 4 * n_shingles / 5))").drop("least")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
