@@ -81,29 +81,58 @@ class Model:
         return self.base + np.bincount(key // size, self.weights[key % size] if len(key) else None, len(b.bounds) - 1)
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, swaps: list[tuple[np.ndarray, float]], width: int, ridge: float = 1.0, swap_weight: float = 10.0, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic weights by accelerated gradient descent; (rows, columns) are the features present. Each swap is a change
-    of the feature vector and its number: the mean squared change of the logit is penalised by swap_weight."""
-    n, total = len(label), sum(c for _, c in swaps) or 1.0
-    w, b = np.zeros(width), float(np.log((label.sum() + 1) / (n - label.sum() + 1)))
-    look, base, moment = w.copy(), b, 1.0
-    degree = np.bincount(rows, minlength=n).max(initial=1)
+def fit(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, swaps: list[tuple[np.ndarray, float]], width: int, ridge: float = 0.3, swap_weight: float = 10.0, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Logistic weights by Newton steps with conjugate gradients; (rows, columns) are the features present, the last weight
+    is the base. Each swap is a change of the feature vector and its number: the mean squared change of the logit is
+    penalised by swap_weight."""
+    n = len(label)
     changes = np.array([d for d, _ in swaps]).reshape(len(swaps), width)
-    shares = np.array([c for _, c in swaps]) / total
-    step = 1.0 / (0.25 * (degree + 1) + ridge / n + (2 * swap_weight * (changes**2).sum(1).max(initial=0)))
+    shares = np.array([c for _, c in swaps])
+    shares = shares / max(shares.sum(), 1.0)
+    decay = np.full(width + 1, ridge / n)
+    decay[-1] = 0
+
+    def forth(w: np.ndarray) -> np.ndarray:
+        return w[-1] + np.bincount(rows, w[columns], n)
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(columns, r[rows], width), r.sum())
+
+    def penalty(w: np.ndarray) -> np.ndarray:
+        return decay * w + np.append(2 * swap_weight * changes.T @ (shares * (changes @ w[:-1])), 0)
+
+    def loss(w: np.ndarray) -> float:
+        z = forth(w)
+        return float(np.mean(np.logaddexp(0, z) - label * z) + 0.5 * w @ penalty(w))
+
+    w = np.zeros(width + 1)
+    w[-1] = np.log((label.sum() + 1) / (n - label.sum() + 1))
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(base + np.bincount(rows, look[columns], n))))
-        error = (p - label) / n
-        g = np.bincount(columns, error[rows], width) + ridge * look / n + 2 * swap_weight * changes.T @ (shares * (changes @ look))
-        after, after_b = look - step * g, base - step * error.sum()
-        next_moment = (1 + np.sqrt(1 + 4 * moment * moment)) / 2
-        look = after + (moment - 1) / next_moment * (after - w)
-        base = after_b + (moment - 1) / next_moment * (after_b - b)
-        w, b, moment = after, after_b, next_moment
-    return w, b
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 3000, least_texts: int = 8) -> Model:
+        p = 1 / (1 + np.exp(-forth(w)))
+        g = back((p - label) / n) + penalty(w)
+        curve = p * (1 - p) / n
+        # conjugate gradients on the Newton system
+        step, r = np.zeros(width + 1), -g
+        d, size = r.copy(), r @ r
+        for _ in range(60):
+            if size < 1e-16 or size < 1e-4 * (g @ g):
+                break
+            h = back(curve * forth(d)) + penalty(d)
+            alpha = size / (d @ h)
+            step, r = step + alpha * d, r - alpha * h
+            d, size = r + (r @ r / size) * d, r @ r
+        rate = 1.0
+        while rate > 1e-4 and loss(w + rate * step) > now + 1e-4 * rate * (g @ step):
+            rate /= 2
+        w = w + rate * step
+        before, now = now, loss(w)
+        if before - now < 1e-7:
+            break
+    return w[:-1], float(w[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 3000, least_share: float = 0.0004) -> Model:
     spark = docs.sparkSession
     ship(spark)
     docs = columns_or_null(docs, doc_id="long", text="string")
@@ -141,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_feature
     counted = held.select("features", "toxic").mapInArrow(counts, "feature long, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     # how far the toxic share of its texts stands out, in squared deviations
     strength = F.pow(F.col("n_toxic") - rate * F.col("n"), 2) / (rate * (1 - rate) * F.col("n"))
-    picked = counted.where(F.col("n") >= least_texts).withColumn("strength", strength).where("strength > 15").orderBy(F.desc("strength"), "feature").limit(most_features)
+    picked = counted.where(F.col("n") >= max(4, round(least_share * sizes["n"]))).withColumn("strength", strength).where("strength > 15").orderBy(F.desc("strength"), "feature").limit(most_features)
     hashes = np.unique(np.concatenate([np.array([r["feature"] for r in picked.select("feature").collect()], np.int64), terms]))
     place = {int(h): i for i, h in enumerate(hashes)}
     known = spark.sparkContext.broadcast(hashes)  # at most most_features and the identity terms
