@@ -129,7 +129,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def signature_groups(docs: DataFrame) -> DataFrame:
-    """Groups of two or more classes with a signature in common: key, f1, flags, and the f1 of the group's leader."""
+    """Groups of two or more classes with a signature in common: key, f1, flags and the group's size."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,17 +198,10 @@ def signature_groups(docs: DataFrame) -> DataFrame:
         first[np.unique(np.where(good, whole, U(0)), return_index=True)[1]] = True
         live = (good & first)[run]
         k, f, flags, run = k[live], f[live], flags[live], run[live]
-        # the leader is the member with most company in this bucket
-        names, who = np.unique(f, return_inverse=True)
-        company = np.bincount(who, size[run], len(names))[who]
-        order = np.lexsort((f, -company, run))
-        lead = order[np.concatenate(([True], run[order][1:] != run[order][:-1]))[: len(order)]]
-        leader = np.zeros(len(size), np.int64)
-        leader[run[lead]] = f[lead]
-        return pa.table({"key": k.view(np.int64), "f1": f, "leader": leader[run], "flags": flags})
+        return pa.table({"key": k.view(np.int64), "f1": f, "size": size[run], "flags": flags})
 
     dealt = docs.select("text").mapInArrow(deal, "bucket long, entries binary, sets binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "key long, f1 long, leader long, flags long")
+    return dealt.groupBy("bucket").applyInArrow(meet, "key long, f1 long, size long, flags long")
 
 
 #: Members that are tested against one copy of their leader's text.
@@ -259,8 +252,11 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = materialize(known.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     groups = materialize(signature_groups(docs.where("doc_id is not null")), "groups")
     side = lambda name: classes.select(F.col("f1").alias(name), F.col("rep").alias(f"{name}_rep"), F.col("n_shingles").alias(f"{name}_n"))
-    # first each group's members with its leader
-    near = groups.where("f1 <> leader").select(F.col("f1").alias("x"), F.col("leader").alias("y")).distinct()
+    # first each group's members with its leader, the one with most company in all groups: groups of one cluster have the same
+    company = materialize(groups.groupBy("f1").agg(F.sum("size").alias("company")), "company")
+    ranked = groups.select("key", "f1").join(maybe_broadcast(company), "f1")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("company", "f1")).alias("leader")).select("key", F.col("leader.f1").alias("leader"))
+    near = ranked.join(leaders, "key").where("f1 <> leader").select(F.col("f1").alias("x"), F.col("leader").alias("y")).distinct()
     near = near.join(side("x"), "x").join(side("y"), "y").where("x_rep <> y_rep and 5 * least(x_n, y_n) >= 4 * greatest(x_n, y_n)")
     tested = materialize(near.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct(), "pairs")
     links = materialize(verify(docs, tested), "links")
