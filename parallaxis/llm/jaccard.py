@@ -9,8 +9,9 @@ selective and cheap, a one-deletion neighbourhood costs a signature per element,
 Larger sets index all their segments, in their own band and in the one below it.
 
 Equal sets are one class throughout, so copies are never paired. Members of a signature's group are tested against one
-leader first; only where that leaves a group in several components, its members of different components are tested.
-Candidates are verified on exact sets rebuilt from the texts.
+leader first; only where that leaves a group in several components, those of its members are tested that are in different
+components and agree enough in what they differ in from the leader. Candidates are verified on exact sets rebuilt from
+the texts.
 
 Rows: null or empty text has an empty set, links with nothing and is its own component; a null doc_id has a null
 component when it is alone. Ties do not arise: a component is named by its smallest doc_id.
@@ -18,11 +19,12 @@ component when it is alone. Ties do not arise: a component is named by its small
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -160,12 +162,12 @@ def signature_groups(docs: DataFrame) -> DataFrame:
             held, sets, docs, rows = [], [], 0, 0
 
         for batch in batches:
-            for b in tk.blocks(batch.column("text")):
+            for b in tk.blocks(batch.column("text"), tk.BLOCK_BYTES // 2):
                 s = tk.shingle_sets(b, WORDS)
                 f, _ = fingerprints(s)
                 fresh = np.array([x not in seen and not seen.add(x) for x in f.tolist()], bool) & (s.size >= LEAST)
                 key, doc, flags = signatures(tk.Sets(s.doc, s.element, np.where(fresh, s.size, 0)))
-                if docs + len(f) >= tk.BLOCK_DOCS or rows + len(key) > 2_000_000:
+                if docs + len(f) >= tk.BLOCK_DOCS or rows + len(key) > 1_000_000:
                     yield from flush()
                 held.append((key, ((key & U((1 << 48) - 1)) << U(16)) | ((doc + docs).astype(U) << U(4)) | flags))
                 sets.append(f)
@@ -208,8 +210,9 @@ def signature_groups(docs: DataFrame) -> DataFrame:
 CHUNK = 64
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of doc_ids that link, by their exact sets. b's text goes to every CHUNK pairs of b."""
+def beside_leaders(docs: DataFrame, pairs: DataFrame, act: Callable, schema: str) -> DataFrame:
+    """act(a, own, b, lead) of the exact sets of each of the distinct pairs (a, b) of doc_ids; what it returns becomes a row,
+    None does not. b's text goes to every CHUNK pairs of b."""
     chunks = F.ceil(F.count(F.lit(1)) / CHUNK).cast("long")
     shares = pairs.groupBy("b").agg(chunks.alias("shares"))
     dealt = pairs.join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).alias("chunk"))
@@ -219,28 +222,106 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
     texts = docs.select("doc_id", "text").join(maybe_broadcast(roles), "doc_id")
     near = texts.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "member")
+    fields = pa.schema([(name, {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[kind]) for name, kind in (x.rsplit(" ", 1) for x in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.zeros(0, U)
         for batch in batches:
             member, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("member", "doc_id", "b"))
-            out = []
             for block in tk.blocks(batch.column("text")):
                 s = tk.shingle_sets(block, WORDS)
                 ends = np.concatenate(([0], np.cumsum(s.size)))
+                out = []
                 for i in range(len(s.size)):
                     own, row = s.element[ends[i] : ends[i + 1]], block.first + i
                     if member[row] == 0:
                         lead = own
-                    else:
-                        both = np.concatenate((lead, own))
-                        both.sort()
-                        common = int(np.count_nonzero(both[1:] == both[:-1]))
-                        if 100 * common >= 80 * (len(lead) + len(own) - common):
-                            out.append((a[row], b[row]))
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                    elif (found := act(a[row], own, b[row], lead)) is not None:
+                        out.append(found)
+                columns = list(zip(*out, strict=True)) or [()] * len(fields)
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
 
-    return near.select("doc_id", "b", "member", "text").mapInArrow(run, "a long, b long")
+    return near.select("doc_id", "b", "member", "text").mapInArrow(run, schema)
+
+
+def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) of doc_ids that link, by their exact sets."""
+
+    def links(a: int, own: np.ndarray, b: int, lead: np.ndarray) -> tuple | None:
+        both = np.concatenate((lead, own))
+        both.sort()
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return (a, b) if 100 * common >= 80 * (len(lead) + len(own) - common) else None
+
+    return beside_leaders(docs, pairs, links, "a long, b long")
+
+
+def differences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, linked (1 if so), n_lead, weight and differ: what of leader b's set a lacks (even codes) and what a has besides
+    (odd codes)."""
+
+    def apart(a: int, own: np.ndarray, b: int, lead: np.ndarray) -> tuple:
+        lacks, more = np.setdiff1d(lead, own, assume_unique=True), np.setdiff1d(own, lead, assume_unique=True)
+        linked = 9 * (len(lead) - len(lacks)) >= 4 * (len(lead) + len(own))
+        return a, b, int(linked), len(lead), 4 * len(own) + 9 * len(lacks), np.concatenate((2 * lacks, 2 * more + U(1))).view(np.int64)
+
+    return beside_leaders(docs, pairs, apart, "a long, b long, linked long, n_lead long, weight long, differ array<long>")
+
+
+def hubs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """lead and its hub: of the leader and the leaders that link with it, the one with the most members. So a cluster's
+    members have few leaders, all much like it."""
+    sizes = members.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+    near = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(sizes.select(F.col("lead").alias("a"), F.col("lead").alias("b")))
+    best = near.join(sizes.select(F.col("lead").alias("b"), "n"), "b").groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
+    return best.select(F.col("a").alias("lead"), F.col("best.b").alias("hub"))
+
+
+NEED = "greatest(1, ceil((weight + {other} - 9 * n_lead) / 9))"
+
+
+def within_reach_of_some(rows: DataFrame) -> DataFrame:
+    """Members that may have a partner under their leader, with the weight of the lightest one as low. With d differences a
+    member reaches partners of weight 9 (|L| + d) - weight at most; partners are looked up by classes of that reach."""
+    reach = F.expr("9 * (n_lead + d) - weight")
+    classes = rows.groupBy("b", F.floor(8 * F.log2(F.greatest(reach, F.lit(1)))).alias("class")).agg(F.max(reach).alias("reach"), F.min("weight").alias("any"), F.min(F.when(F.col("outside"), F.col("weight"))).alias("out"))
+    lists = classes.groupBy("b").agg(F.collect_list(F.struct("reach", "any", "out")).alias("classes"))  # some dozens at most
+    low = F.array_min(F.transform(F.filter("classes", lambda c: c["reach"] >= F.col("weight")), lambda c: F.when(F.col("outside"), c["any"]).otherwise(c["out"])))
+    return rows.drop("low").join(lists, "b").withColumn("low", low).drop("classes").where(F.col("low").isNotNull() & (F.expr(NEED.format(other="low")) <= F.col("d")))
+
+
+def agreeing(differing: DataFrame, members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of members of one leader and different components, by what they differ in from the leader.
+
+    With M_x = L - x and E_x = x - L, |x & y| = |L| - |M_x| - |M_y| + |M_x & M_y| + |E_x & E_y|. So a link, 9 |x & y| >= 4 (|x| + |y|),
+    asks that the differences have at least (weight_x + weight_y) / 9 - |L| elements in common, where weight_x = 4 |x| + 9 |M_x|.
+    If that is no more than 0, both link with the leader. Else both have a common element among the rarest of their
+    differences (prefix filter): the lighter one among few of them, as its partner is heavier."""
+    rows = members.withColumnsRenamed({"rep": "a", "lead": "b"}).join(differing, ["a", "b"]).withColumn("component", F.expr("if(linked = 1, l_component, component)")).withColumn("outside", F.col("component") != F.col("l_component"))
+    need = lambda other: F.expr(NEED.format(other=other))
+    rows = rows.select("a", "b", "n_lead", "weight", "n_shingles", "component", "outside", "differ", F.size("differ").alias("d"))
+    bounded = materialize(within_reach_of_some(rows), "bounded")
+    # elements of one component's members alone are in no common part of a pair; first a look at half of what members have besides
+    seen = lambda x: x.groupBy("b", "e").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    half = materialize(bounded.select("a", "b", "component", F.explode(F.filter("differ", lambda e: e.bitwiseAND(F.lit(3)) == 1)).alias("e")), "half")
+    lone = half.join(seen(half).where("lo = hi").select("b", "e"), ["b", "e"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lone"))
+    fewer = materialize(bounded.join(lone, ["a", "b"], "left").withColumn("d", F.col("d") - F.coalesce("lone", F.lit(0))).drop("lone"), "bounded")
+    bounded = materialize(within_reach_of_some(fewer).drop("d", "outside"), "bounded")
+    elements = materialize(bounded.select("a", "b", "component", F.explode("differ").alias("e")), "differing")
+    counts = seen(elements).where("lo < hi").select("b", "e", "n")
+    elements = elements.drop("component")
+    own = Window.partitionBy("a", "b")
+    ranked = elements.join(counts, ["b", "e"]).withColumn("at", F.row_number().over(own.orderBy("n", "e"))).withColumn("d", F.count(F.lit(1)).over(own))
+    placed = ranked.join(maybe_broadcast(bounded.drop("differ")), ["a", "b"])
+    light = F.col("at") <= F.col("d") - need("greatest(weight, low)") + 1
+    heavy = (F.col("low") <= F.col("weight")) & (F.col("at") <= F.col("d") - need("low") + 1)
+    placed = materialize(placed.withColumn("light", light).withColumn("heavy", heavy).where("light or heavy").drop("low", "n"), "prefixes")
+    x, y = (placed.where(role).select("b", "e", *[F.col(c).alias(f"{p}_{c}") for c in ("a", "component", "n_shingles", "weight", "at", "d")], *(["n_lead"] if p == "x" else [])) for p, role in (("x", "light"), ("y", "heavy")))
+    cross = x.join(y, ["b", "e"]).where(
+        "x_component <> y_component and (x_weight < y_weight or x_weight = y_weight and x_a < y_a) and 5 * least(x_n_shingles, y_n_shingles) >= 4 * greatest(x_n_shingles, y_n_shingles)"
+        " and 9 * (1 + least(x_d - x_at, y_d - y_at)) >= x_weight + y_weight - 9 * n_lead and x_weight + y_weight > 9 * n_lead"
+    )
+    return cross.select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
 
 
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -267,16 +348,14 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # a set's elements that no other of these has are in no intersection: what is left bounds every intersection
     for _ in range(2):
         rest = materialize(torn(within_reach(rest, shared_sizes(docs, rest))), "torn")
-    x, y = (rest.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "n_shingles", "shared", "component", "flags")]) for p in "xy")
-    cross = x.join(y, "key").where(
-        f"x_rep < y_rep and x_component <> y_component and (x_flags | y_flags) & {PROBE} > 0 and x_flags & y_flags & {DELETED} = 0"
-        " and 5 * least(x_n_shingles, y_n_shingles) >= 4 * greatest(x_n_shingles, y_n_shingles) and 9 * least(x_shared, y_shared) >= 4 * (x_n_shingles + y_n_shingles)"
-    )
-    pairs = cross.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-    fresh = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    if fresh.isEmpty():
-        return known, classes, links
-    return known, classes, materialize(links.unionByName(verify(docs, fresh)), "links")
+    by_leader = leaders.join(side("leader"), "leader").join(own.select(F.col("f1").alias("leader"), F.col("component").alias("l_component")), "leader").select("key", F.col("leader_rep").alias("lead"), "l_component")
+    members = materialize(rest.join(by_leader, "key").select("rep", "lead", "n_shingles", "component", "l_component").distinct(), "members")
+    members = members.join(hubs(members, links), "lead").drop("lead").withColumnRenamed("hub", "lead").where("rep <> lead").distinct()
+    members = materialize(members, "members")
+    differing = materialize(differences(docs, members.select(F.col("rep").alias("a"), F.col("lead").alias("b"))), "differences")
+    fresh = materialize(agreeing(differing, members).join(done, ["a", "b"], "left_anti"), "pairs")
+    more = [differing.where("linked = 1").select("a", "b")] + ([] if fresh.isEmpty() else [verify(docs, fresh)])
+    return known, classes, materialize(reduce(DataFrame.unionByName, more, links), "links")
 
 
 def torn(groups: DataFrame) -> DataFrame:
