@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import send
+
 SOURCE, TARGET = ("x", "y", "z"), ("tx", "ty", "tz")
 
 
@@ -54,6 +56,7 @@ def similarity(pairs: DataFrame, scene: str = "scene", rotate: bool = True, resc
                 out.append((r[scene], t.ravel().tolist(), float(s)))
             yield pd.DataFrame(out, columns=[scene, "transform", "scale"])
 
+    send(pairs.sparkSession)
     kind = dict(pairs.dtypes)[scene]
     return moments(pairs, scene).mapInPandas(solve, f"{scene} {kind}, transform array<double>, scale double")
 
@@ -70,6 +73,7 @@ def affine(pairs: DataFrame, scene: str = "scene") -> DataFrame:
                 out.append((r[scene], a.ravel().tolist(), (mt - a @ ms).tolist(), nearest_rotation(a).ravel().tolist()))
             yield pd.DataFrame(out, columns=[scene, "linear", "shift", "rotation"])
 
+    send(pairs.sparkSession)
     kind = dict(pairs.dtypes)[scene]
     return moments(pairs, scene).mapInPandas(solve, f"{scene} {kind}, linear array<double>, shift array<double>, rotation array<double>")
 
@@ -89,6 +93,7 @@ def focus_point(rays: DataFrame, scene: str = "scene") -> DataFrame:
             at = np.array([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(m, q, strict=True)]).reshape(-1, 3)
             yield pd.DataFrame({scene: pdf[scene], "x": at[:, 0], "y": at[:, 1], "z": at[:, 2]})
 
+    send(rays.sparkSession)
     kind = dict(rays.dtypes)[scene]
     return rays.groupBy(scene).agg(*sums, *right).mapInPandas(solve, f"{scene} {kind}, x double, y double, z double")
 
@@ -110,5 +115,6 @@ def sphere(points: DataFrame, scene: str = "scene") -> DataFrame:
             centre = w[:, :3] / 2
             yield pd.DataFrame({scene: pdf[scene], **{n: centre[:, k] for k, n in enumerate(axes)}, "radius": np.sqrt(np.maximum(0, w[:, 3] + (centre**2).sum(1)))})
 
+    send(points.sparkSession)
     kind = dict(points.dtypes)[scene]
     return points.groupBy(scene).agg(*left, *right).mapInPandas(solve, f"{scene} {kind}, x double, y double, z double, radius double")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import send
+
 #: glTF sampler codes and the wrap modes they name.
 WRAP_MODES = {33071: "clamp", 33648: "mirror", 10497: "repeat"}
 
@@ -37,6 +39,7 @@ def array_points(spark: SparkSession, path: str) -> DataFrame:
                 a = _arrays(content).astype(np.float64)
                 yield pa.record_batch([pa.array([name] * len(a)), pa.array(np.arange(len(a))), *(pa.array(np.ascontiguousarray(a[:, k])) for k in range(3))], ["file", "point_id", "x", "y", "z"])
 
+    send(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, point_id long, x double, y double, z double")
 
 
@@ -55,6 +58,7 @@ def depth_arrays(spark: SparkSession, path: str) -> DataFrame:
                 conf = a[:, :, 1].ravel() if n == 2 else np.ones(h * w)
                 yield pa.record_batch([pa.array([name] * (h * w)), pa.array(row), pa.array(col), pa.array(a[:, :, 0].ravel()), pa.array(conf)], ["file", "row", "col", "depth", "conf"])
 
+    send(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, row int, col int, depth double, conf double")
 
 
