@@ -24,9 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or keep too few of their words once their host's common lines are taken out, go."""
-    rejected = materialize(quality.judge(docs).where("not kept").select("text_key").distinct(), "rejected")
-    return docs.withColumn("text_key", F.xxhash64("doc_id", "text")).join(maybe_broadcast(rejected), "text_key", "left_anti").select(*COLUMNS)
+    """Documents that fail the base rules, or keep too few of their words once their host's common lines are taken out, go;
+    the others lose those lines, and the character count follows the text."""
+    return quality.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

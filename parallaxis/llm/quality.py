@@ -3,7 +3,8 @@
 Each text's lines are normalised (A-Z lower-cased, words joined by single blanks) and hashed; every host counts in how
 many of its documents a line stands. Lines above the limit - more documents than `least_docs` and than `share` of the
 host's documents - are removed everywhere but in the host's first document that has them (the smallest doc_id), and a
-document that keeps less than `left` percent of its words is depleted and rejected, as is one that fails the base rules.
+document that keeps less than `left` percent of its words is depleted and rejected, as is one that fails the base rules. `judge` gives the decisions, `clean` the kept
+texts without the removed lines; line breaks and lines without a word stay as they are.
 
 Rows: null text has no words and fails the base rules. A null host is a host. Rows with a null doc_id are counted and
 judged too; they are never a line's first document. Repeated rows are documents of their own. An empty table gives no
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .runtime import columns_or_null, materialize, maybe_broadcast, ship
+from .runtime import BROADCAST_ROWS, columns_or_null, materialize, maybe_broadcast, ship
 
 U = np.uint64
 SYMBOLS = b"#*$%&|<>"
@@ -29,6 +30,28 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
+def worded_lines(b: tk.Block, w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, start and end of all lines that have a word: from the break (or text's start) before it to the next."""
+    breaks = np.flatnonzero(b.data == 10)
+    edge = np.concatenate((b.bounds, breaks, breaks + 1))
+    edge.sort()
+    line_of = np.searchsorted(edge, w.start, "right")
+    if len(line_of):
+        head = np.flatnonzero(np.concatenate(([True], line_of[1:] != line_of[:-1])))
+    else:
+        head = np.zeros(0, np.int64)
+    return head, edge[line_of[head] - 1], edge[np.minimum(line_of[head], len(edge) - 1)]
+
+
+def line_hash(low: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of each normalised line: its lower-cased words in order."""
+    with np.errstate(over="ignore"):
+        place = np.arange(len(low)) - np.repeat(head, size)
+        up, _ = tk.powers(max(len(low), 1))
+        line = tk.mix(np.add.reduceat(low * up[place], head) + size.astype(U), 41) if len(head) else np.zeros(0, U)
+    return line.view(np.int64)
+
+
 def base_counts(b: tk.Block) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """The base columns of a block's texts, and document, normalised hash and words of all lines that have a word."""
     docs = len(b.bounds) - 1
@@ -50,28 +73,13 @@ def base_counts(b: tk.Block) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     for k in range(3):
         covered[again + k] = True
     n_repeat = total(covered[: len(w.hash)], w.doc)
-    # lines with a word: from the break (or text's start) before their first word to the next
-    breaks = np.flatnonzero(b.data == 10)
-    edge = np.concatenate((b.bounds, breaks, breaks + 1))
-    edge.sort()
-    line_of = np.searchsorted(edge, w.start, "right")
-    if len(line_of):
-        head = np.flatnonzero(np.concatenate(([True], line_of[1:] != line_of[:-1])))
-    else:
-        head = np.zeros(0, np.int64)
-    start, end = edge[line_of[head] - 1], edge[np.minimum(line_of[head], len(edge) - 1)]
-    doc, size = w.doc[head], np.diff(np.append(head, len(line_of)))
+    head, start, end = worded_lines(b, w)
+    doc, size = w.doc[head], np.diff(np.append(head, len(w.start)))
     raw = tk.spans_hash(b, start, end)
     order = np.lexsort((raw, doc))
     dup = np.concatenate(([False], (raw[order][1:] == raw[order][:-1]) & (doc[order][1:] == doc[order][:-1]))) if len(order) else np.zeros(0, bool)
     n_dup = np.bincount(doc[order], dup, docs).astype(np.int64)
-    # the normalised line: its lower-cased words in order
-    low = tk.words(b, lower=True).hash
-    with np.errstate(over="ignore"):
-        place = np.arange(len(low)) - np.repeat(head, size)
-        up, _ = tk.powers(max(len(low), 1))
-        line = tk.mix(np.add.reduceat(low * up[place], head) + size.astype(U), 41) if len(head) else np.zeros(0, U)
-    return [n_words, word_chars, n_symbols, n_dup, n_repeat], doc, line.view(np.int64), size
+    return [n_words, word_chars, n_symbols, n_dup, n_repeat], doc, line_hash(tk.words(b, lower=True).hash, head, size), size
 
 
 def count_lines(docs: DataFrame) -> DataFrame:
@@ -96,17 +104,22 @@ def count_lines(docs: DataFrame) -> DataFrame:
             cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
             offsets = pa.array(np.append(cat(starts), at).astype(np.int32))
             yield pa.record_batch(
-                [batch.column(c) for c in ("row", "doc_id", "text_key", "host")] + [*(pa.array(cat(c)) for c in base), pa.ListArray.from_arrays(offsets, pa.array(cat(lines))), pa.ListArray.from_arrays(offsets, pa.array(cat(sizes)))],
-                ["row", "doc_id", "text_key", "host", *(x.split()[0] for x in BASE.split(", ")), "lines", "sizes"],
+                [batch.column(c) for c in ("row", "doc_id", "text_key", "key", "host")] + [*(pa.array(cat(c)) for c in base), pa.ListArray.from_arrays(offsets, pa.array(cat(lines))), pa.ListArray.from_arrays(offsets, pa.array(cat(sizes)))],
+                ["row", "doc_id", "text_key", "key", "host", *(x.split()[0] for x in BASE.split(", ")), "lines", "sizes"],
             )
 
-    return docs.select("row", "doc_id", "text_key", "host", "text").mapInArrow(run, f"row long, doc_id long, text_key long, host string, {BASE}, lines array<long>, sizes array<long>")
+    return docs.select("row", "doc_id", "text_key", "key", "host", "text").mapInArrow(run, f"row long, doc_id long, text_key long, key long, host string, {BASE}, lines array<long>, sizes array<long>")
 
 
-def judge(docs: DataFrame, host: str = "source", least_docs: int = 50, share: float = 0.005, left: int = 30, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
-    """doc_id, text_key (a hash of doc_id and text), base columns, removed_words, base_failed and kept of every document."""
+def row_key(host: str) -> Column:
+    """Rows that agree in it (in doc_id, text and host) get the same decisions and lose the same lines."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(host).isNull(), F.col(host).cast("string"))
+
+
+def decide(docs: DataFrame, host: str = "source", least_docs: int = 50, share: float = 0.005, left: int = 30, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
+    """`judge`'s columns, and of each row its key and the hashes of the lines it loses (null for none)."""
     ship(docs.sparkSession)
-    slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("doc_id", "text").alias("text_key"), F.monotonically_increasing_id().alias("row"))
+    slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("doc_id", "text").alias("text_key"), row_key(host).alias("key"), F.monotonically_increasing_id().alias("row"))
     base = materialize(count_lines(slim), "lines")
     lines = base.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     hosts = base.groupBy("host").agg(F.greatest(F.lit(least_docs).cast("double"), F.count(F.lit(1)) * F.lit(share)).alias("most"))
@@ -114,7 +127,59 @@ def judge(docs: DataFrame, host: str = "source", least_docs: int = 50, share: fl
     common = materialize(counted.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where("docs > most").select("host", "line", "first"), "common-lines")
     named = maybe_broadcast(common.withColumnsRenamed({"host": "h", "line": "l"}))
     gone = lines.join(named, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).where("doc_id is null or first is null or doc_id <> first")
-    removed = gone.groupBy("row").agg(F.sum("size").alias("removed_words"))
+    removed = gone.groupBy("row").agg(F.sum("size").alias("removed_words"), F.collect_list("line").alias("gone"))
     out = base.drop("lines", "sizes", "host").join(removed, "row", "left").drop("row").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("removed_words")) >= left * F.col("n_words")))
+
+
+def judge(docs: DataFrame, **rules) -> DataFrame:
+    """doc_id, text_key (a hash of doc_id and text), base columns, removed_words, base_failed and kept of every document."""
+    return decide(docs, **rules).drop("key", "gone")
+
+
+def without_lines(texts: pa.Array, gone: list[np.ndarray]) -> list[str]:
+    """The texts without the lines whose hashes are given for each."""
+    out = []
+    for b in tk.blocks(texts):
+        w = tk.words(b, lower=True)
+        head, start, _ = worded_lines(b, w)
+        line = line_hash(w.hash, head, np.diff(np.append(head, len(w.hash))))
+        breaks = np.flatnonzero(b.data == 10)
+        place = np.searchsorted(breaks, start) - np.searchsorted(breaks, b.bounds[w.doc[head]])
+        first = np.searchsorted(w.doc[head], np.arange(len(b.bounds)))
+        for k in range(len(b.bounds) - 1):
+            at = slice(first[k], first[k + 1])
+            drop = set(place[at][np.isin(line[at], gone[b.first + k])].tolist())
+            parts = b.data[b.bounds[k] : b.bounds[k + 1]].tobytes().decode().split("\n")
+            out.append("\n".join(x for i, x in enumerate(parts) if i not in drop))
+    return out
+
+
+def rebuild(docs: DataFrame, decided: DataFrame, host: str = "source") -> DataFrame:
+    """The kept rows of docs with their key, their texts without the lines that `decide` removes."""
+    verdicts = decided.where("not kept or gone is not null")
+    verdicts = materialize(verdicts.groupBy("key").agg(F.first("kept").alias("kept"), F.first(F.when(F.col("kept"), F.col("gone"))).alias("gone")), "verdicts")
+    longs = verdicts.agg(F.coalesce(F.sum(2 + F.greatest(F.size("gone"), F.lit(0))), F.lit(0))).first()[0]
+    marked = docs.withColumn("key", row_key(host)).join(F.broadcast(verdicts) if longs <= BROADCAST_ROWS else verdicts, "key", "left").where("coalesce(kept, true)")
+    columns = [*docs.columns, "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, gone = batch.column("text"), batch.column("gone")
+            at = np.flatnonzero(gone.is_valid())
+            if len(at):
+                held = gone.take(pa.array(at))
+                hashes = np.split(held.flatten().to_numpy(zero_copy_only=False), np.cumsum(held.value_lengths())[:-1])
+                new = without_lines(texts.take(pa.array(at)), hashes)
+                rows = np.arange(len(texts))
+                rows[at] = len(texts) + np.arange(len(at))
+                texts = pa.concat_arrays([texts, pa.array(new, texts.type)]).take(pa.array(rows))
+            yield pa.record_batch([texts if c == "text" else batch.column(c) for c in columns], columns)
+
+    return marked.select(*columns, "gone").mapInArrow(run, marked.select(*columns).schema)
+
+
+def clean(docs: DataFrame, host: str = "source", **rules) -> DataFrame:
+    """The kept rows of docs, all columns, their texts without the removed lines."""
+    return rebuild(docs, decide(docs, host, **rules), host).drop("key")

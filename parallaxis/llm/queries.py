@@ -80,8 +80,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
+    from .runtime import materialize
 
-    return quality.judge(table(spark, sf_dir, "documents")).drop("text_key")
+    docs = table(spark, sf_dir, "documents")
+    decided = materialize(quality.decide(docs), "decided")
+    texts = quality.rebuild(docs, decided).select("key", F.sha2("text", 256).alias("text_sha256")).dropDuplicates(["key"])
+    return decided.join(texts, "key", "left").drop("key", "gone", "text_key")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

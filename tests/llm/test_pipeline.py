@@ -37,3 +37,12 @@ def test_stages(spark, sf):
 def test_run_is_the_stages_in_turn(spark, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "near_duplicates", "personal_data", "pack"]
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() > 50
+
+
+def test_quality_rules_take_common_lines_out_of_the_texts(spark):
+    line = "All rights reserved by the owners of this site"
+    rows = [(i, f"{line}\n" + " ".join(f"{i}w{k}" for k in range(60)), "en", "host", 1) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert len(got) == 80 and [r["doc_id"] for r in got if line in r["text"]] == [0]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)

@@ -78,3 +78,39 @@ def test_edges(spark):
     assert quality.judge(df.limit(0)).count() == 0
     many = spark.createDataFrame([(9, "\n".join(f"line {i} of a text" for i in range(30)), "a")] * 2, "doc_id long, text string, source string")
     assert [r["removed_words"] for r in quality.judge(many, least_docs=1, share=0).collect()] == [0, 0]
+
+
+def cleaned(rows, least_docs, share, left):
+    """Texts of the kept rows without the removed lines."""
+    norm = lambda x: " ".join(WORD.findall(x.translate(LOWER)))
+    found, hosts = defaultdict(set), Counter(h for _, _, h in rows)
+    for i, t, h in rows:
+        for x in (t or "").split("\n"):
+            found[h, norm(x)].add(i)
+    common = {k: min(v) for k, v in found.items() if k[1] and len(v) > max(least_docs, share * hosts[k[0]])}
+    verdicts = brute(rows, least_docs, share, left)
+    return {i: "\n".join(x for x in t.split("\n") if common.get((h, norm(x)), i) == i) for i, t, h in rows if verdicts[i][-1]}
+
+
+def test_common_lines_are_gone_from_kept_texts(spark):
+    rng = random.Random(5)
+    common = ["All rights RESERVED\tby the owners", "Click  here to read on \r", "é 東 common"]
+    rows = []
+    for i in range(120):
+        own = [" ".join(f"w{rng.randrange(9999)}é" for _ in range(rng.randrange(20, 40))) for _ in range(4)] + ["", " \t"]
+        lines = own + [x.lower() if rng.random() < 0.3 else x for x in common if rng.random() < 0.6] * rng.randrange(1, 3)
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), rng.choice(["hot", "hot", "cold", None])))
+    rows += [(200 + i, "the same line of a group of copies " * 3 + "\n" + " ".join(f"k{k}" for k in range(60)), "hot") for i in range(20)]
+    rows.append((300, None, "hot"))
+    df = spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id long, text string, source string, other double").repartition(3)
+    got = quality.clean(df, least_docs=10, share=0.1)
+    assert got.columns == df.columns
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == cleaned(rows, 10, 0.1, 30)
+    assert 120 <= got.count() < len(rows) and got.where("other <> 1.5").count() == 0
+    assert quality.clean(df.limit(0)).count() == 0
+    # the same id and text in two hosts: each by its own host's lines; both rows of a repeated one lose the line
+    text = "a line of the host\n" + " ".join(f"u{k}" for k in range(60))
+    rows = [(i, "a line of the host\nother " + " ".join(f"{i}v{k}" for k in range(60)), "hot") for i in range(4)] + [(9, text, "hot"), (9, text, "hot"), (9, text, "cold"), (9, text, None)]
+    got = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), least_docs=3, share=0).where("doc_id = 9")
+    assert sorted((r["source"] or "", len(r["text"].split("\n"))) for r in got.collect()) == [("", 2), ("cold", 2), ("hot", 1), ("hot", 1)]
