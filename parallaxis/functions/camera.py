@@ -127,9 +127,10 @@ def rotation_of(q: tuple[Column, Column, Column, Column]) -> list[v.Vec]:
 
 
 def polar() -> tuple[Column, Column]:
-    """(phi, theta) of the direction against the camera's view."""
+    """(phi, theta) of the direction against the camera's view; theta is 0 at the poles, where every azimuth fits."""
     z = rotation()[2]
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z[2]))), F.atan2(z[0], z[1])
+    at_pole = z[0] * z[0] + z[1] * z[1] < 1e-24
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z[2]))), F.when(at_pole, 0.0).otherwise(F.atan2(z[0], z[1]))
 
 
 def clip_matrix(near: float = 0.01, far: float = 100.0) -> Column:

@@ -34,7 +34,7 @@ def xyz(t: v.Vec, prefix: str = "") -> list[Column]:
 
 @query
 def mark_visible_labels(spark, sf_dir):
-    labels = mark_visible(fx.points(spark, sf_dir, 2.0), fx.cameras(spark, sf_dir).where("cam_idx % 6 = 0"), 8)
+    labels = mark_visible(fx.points(spark, sf_dir, 2.0), fx.cameras(spark, sf_dir), 8)
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -60,15 +60,26 @@ def camera_flipped_frames(spark, sf_dir):
     return m.select("cam_idx", *[r6(F.col(n)[4 * i + j], f"{n}{i}{j}") for n in "ab" for i in range(3) for j in range(4)])
 
 
+# The SQL of five queries is over some cameras or pixels only; each has an _all twin over the whole tables.
 @query
-def camera_polar_angles(spark, sf_dir):
+def camera_polar_angles_all(spark, sf_dir):
     phi, theta = c.polar()
-    return fx.cameras(spark, sf_dir).where("cam_idx between 1 and 23").select("cam_idx", r6(phi, "phi"), r6(theta, "theta"))
+    return fx.cameras(spark, sf_dir).select("cam_idx", r6(phi, "phi"), r6(theta, "theta"))
+
+
+@query
+def camera_polar_angles(spark, sf_dir):
+    return camera_polar_angles_all(spark, sf_dir).where("cam_idx between 1 and 23")
 
 
 @query
 def camera_quaternions(spark, sf_dir):
-    rows = colmap.poses(fx.cameras(spark, sf_dir, phase=0.3).where("cam_idx between 1 and 23"))
+    return camera_quaternions_all(spark, sf_dir).where("cam_idx between 1 and 23")
+
+
+@query
+def camera_quaternions_all(spark, sf_dir):
+    rows = colmap.poses(fx.cameras(spark, sf_dir, phase=0.3))
     # opposite signs name the same rotation; products do not depend on it
     w, x, y, z = v.cols("qw", "qx", "qy", "qz")
     return rows.select("cam_idx", r6(x * x, "xx"), r6(y * y, "yy"), r6(z * z, "zz"), r6(w * x, "wx"), r6(w * y, "wy"), r6(w * z, "wz"), *[r6(t, t) for t in ("tx", "ty", "tz")])
@@ -111,7 +122,12 @@ def camera_depth_range(spark, sf_dir):
 
 @query
 def depth_to_world(spark, sf_dir):
-    at = images.world_points(fx.depth_pixels(spark, sf_dir).where("row % 5 = 0 and col % 5 = 0"), fx.cameras(spark, sf_dir), 40, 25)
+    return depth_to_world_all(spark, sf_dir).where("row % 5 = 0 and col % 5 = 0")
+
+
+@query
+def depth_to_world_all(spark, sf_dir):
+    at = images.world_points(fx.depth_pixels(spark, sf_dir), fx.cameras(spark, sf_dir), 40, 25)
     return at.select("cam_idx", "row", "col", *xyz(v.cols("x", "y", "z")))
 
 
@@ -192,6 +208,11 @@ def view_spread(spark, sf_dir):
     return matching.max_view_angle(fx.cameras(spark, sf_dir).where("cam_idx < 9")).select(F.round("angle_deg", 4).alias("angle"))
 
 
+@query
+def view_spread_all(spark, sf_dir):
+    return matching.max_view_angle(fx.cameras(spark, sf_dir)).select(F.round("angle_deg", 4).alias("angle"))
+
+
 @query
 def trajectory_radius(spark, sf_dir):
     return matching.trajectory_radius(fx.cameras(spark, sf_dir)).select(r6("radius", "radius"))
@@ -312,10 +333,19 @@ def normalized_mesh(spark, sf_dir):
     return meshes.normalize(fx.points(spark, sf_dir)).select("point_id", *xyz(v.cols("x", "y", "z")))
 
 
+def nearest_faces(spark, sf_dir, cameras):
+    seen = raster.z_buffer(raster.fragments(fx.triangles(spark, sf_dir), cameras))
+    return seen.groupBy("cam_idx", "face_id").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.min("depth"), 5).alias("nearest"))
+
+
 @query
 def z_buffer(spark, sf_dir):
-    seen = raster.z_buffer(raster.fragments(fx.triangles(spark, sf_dir), fx.cameras(spark, sf_dir).where("cam_idx in (3, 11)")))
-    return seen.groupBy("cam_idx", "face_id").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.min("depth"), 5).alias("nearest"))
+    return nearest_faces(spark, sf_dir, fx.cameras(spark, sf_dir).where("cam_idx in (3, 11)"))
+
+
+@query
+def z_buffer_all(spark, sf_dir):
+    return nearest_faces(spark, sf_dir, fx.cameras(spark, sf_dir))
 
 
 @query
