@@ -1,8 +1,8 @@
 """Cross-document line frequency as a quality rule.
 
 Each text's lines are normalised (A-Z lower-cased, words joined by single blanks) and hashed; every host counts in how
-many of its documents a line stands. Lines above the limit - more documents than `least_docs` and than `share` of the
-host's documents - are removed everywhere but in the host's first document that has them (the smallest doc_id), and a
+many of its documents a line stands. Lines above the limit - more documents than `least_docs`, a few that keep chance
+repeats of small hosts, and than `share` of the host's documents, which decides from 1000 documents on - are removed everywhere but in the host's first document that has them (the smallest doc_id), and a
 document that keeps less than `left` percent of its words is depleted and rejected, as is one that fails the base rules. `judge` gives the decisions, `clean` the kept
 texts without the removed lines; line breaks and lines without a word stay as they are.
 
@@ -116,7 +116,7 @@ def row_key(host: str) -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(host).isNull(), F.col(host).cast("string"))
 
 
-def decide(docs: DataFrame, host: str = "source", least_docs: int = 50, share: float = 0.005, left: int = 30, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
+def decide(docs: DataFrame, host: str = "source", least_docs: int = 5, share: float = 0.005, left: int = 30, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
     """`judge`'s columns, and of each row its key and the hashes of the lines it loses (null for none)."""
     ship(docs.sparkSession)
     slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("doc_id", "text").alias("text_key"), row_key(host).alias("key"), F.monotonically_increasing_id().alias("row"))

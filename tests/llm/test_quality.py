@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from parallaxis.llm import quality
 from parallaxis.llm import textkernel as tk
@@ -114,3 +115,17 @@ def test_common_lines_are_gone_from_kept_texts(spark):
     rows = [(i, "a line of the host\nother " + " ".join(f"{i}v{k}" for k in range(60)), "hot") for i in range(4)] + [(9, text, "hot"), (9, text, "hot"), (9, text, "cold"), (9, text, None)]
     got = quality.clean(spark.createDataFrame(rows, "doc_id long, text string, source string"), least_docs=3, share=0).where("doc_id = 9")
     assert sorted((r["source"] or "", len(r["text"].split("\n"))) for r in got.collect()) == [("", 2), ("cold", 2), ("hot", 1), ("hot", 1)]
+
+
+def test_small_and_middle_hosts_lose_common_lines_at_the_defaults(spark):
+    words = lambda *k: " ".join("w" + "_".join(map(str, (*k, n))) for n in range(60))
+    line, rows = "All rights reserved by the owners of this site", []
+    for h, (size, planted) in enumerate([(6, 6), (12, 5), (40, 40), (300, 20), (1400, 7), (1400, 8)]):
+        rows += [(10_000 * h + i, (f"{line}\n" if i < planted else "") + words(h, i), f"host{h}") for i in range(size)]
+    passage = words("a", 1)
+    rows += [(90_000 + i, f"{passage}\n{words('b', i)[:60]}", "copies") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality.judge(df).where("removed_words > 0").groupBy((F.floor(F.col("doc_id") / 10_000)).alias("h")).count().collect()
+    assert {r["h"]: r["count"] for r in out} == {0: 5, 2: 39, 3: 19, 5: 7, 9: 11}
+    kept = quality.clean(df).where(F.col("text").contains(line) | (F.col("source") == "copies")).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in kept} == {"host0": 1, "host1": 5, "host2": 1, "host3": 1, "host4": 7, "host5": 1, "copies": 1}
