@@ -30,9 +30,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    copies = materialize(jaccard.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(maybe_broadcast(copies), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates the document with the smallest id stays, one without an id only where none has one.
+    Rows are told apart by a key of their own, so ids may be null or repeated."""
+    keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    found = materialize(jaccard.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "components")
+    several = found.where("row <> component_id").select("component_id").distinct()
+    grouped = materialize(found.join(several, "component_id").join(keyed.select("row", "doc_id"), "row"), "grouped")
+    stay = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    copies = materialize(grouped.select("row").join(stay, "row", "left_anti"), "copies")
+    return keyed.join(maybe_broadcast(copies), "row", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

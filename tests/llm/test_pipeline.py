@@ -46,3 +46,11 @@ def test_quality_rules_take_common_lines_out_of_the_texts(spark):
     got = corpus_pipeline.quality_rules(spark, docs, "").collect()
     assert len(got) == 80 and [r["doc_id"] for r in got if line in r["text"]] == [0]
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    text = lambda k: " ".join(f"{k}w{n}" for n in range(60))
+    rows = [(7, text(0)), (7, text(0)), (3, text(0) + " more"), (None, text(0)), (None, text(1)), (None, text(1)), (5, text(2)), (5, text(3)), (None, "few words")]
+    docs = spark.createDataFrame([(*r, "en", "host", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(3, text(0) + " more"), (None, text(1)), (5, text(2)), (5, text(3)), (None, "few words")], key=repr)
