@@ -280,14 +280,24 @@ def hubs(members: DataFrame, links: DataFrame) -> DataFrame:
 NEED = "greatest(1, ceil((weight + {other} - 9 * n_lead) / 9))"
 
 
-def within_reach_of_some(rows: DataFrame) -> DataFrame:
-    """Members that may have a partner under their leader, with the weight of the lightest one as low. With d differences a
-    member reaches partners of weight 9 (|L| + d) - weight at most; partners are looked up by classes of that reach."""
-    reach = F.expr("9 * (n_lead + d) - weight")
-    classes = rows.groupBy("b", F.floor(8 * F.log2(F.greatest(reach, F.lit(1)))).alias("class")).agg(F.max(reach).alias("reach"), F.min("weight").alias("any"), F.min(F.when(F.col("outside"), F.col("weight"))).alias("out"))
+def within_reach_of_some(rows: DataFrame, own: str, reach: str, low: str) -> DataFrame:
+    """Members that may have a partner under their leader: one whose own is within the member's reach, the member's own being
+    within the partner's; low is the least own of such partners. Partners are looked up by classes of their reach."""
+    own, reach = F.expr(own), F.expr(reach)
+    classes = rows.groupBy("b", F.floor(8 * F.log2(F.greatest(reach, F.lit(1)))).alias("class")).agg(F.max(reach).alias("reach"), F.min(own).alias("any"), F.min(F.when(F.col("outside"), own)).alias("out"))
     lists = classes.groupBy("b").agg(F.collect_list(F.struct("reach", "any", "out")).alias("classes"))  # some dozens at most
-    low = F.array_min(F.transform(F.filter("classes", lambda c: c["reach"] >= F.col("weight")), lambda c: F.when(F.col("outside"), c["any"]).otherwise(c["out"])))
-    return rows.drop("low").join(lists, "b").withColumn("low", low).drop("classes").where(F.col("low").isNotNull() & (F.expr(NEED.format(other="low")) <= F.col("d")))
+    least = F.array_min(F.transform(F.filter("classes", lambda c: c["reach"] >= own), lambda c: F.when(F.col("outside"), c["any"]).otherwise(c["out"])))
+    return rows.drop(low).join(lists, "b").withColumn(low, least).drop("classes").where(F.col(low).isNotNull() & (F.col(low) <= reach))
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Members that a link may still reach by the number of their differences, d of them and besides of these in addition to
+    the leader's elements. A link of x and y asks for 9 |M_x & M_y| + 9 |E_x & E_y| >= 4 |x| + 9 |M_x| + 4 |y| + 9 |M_y| - 9 |L|
+    (see agreeing). As M_x & M_y is within M_y, 4 |y| is at most 9 (|L| + |E_x|) - weight_x; and weight_y is at most
+    9 (|L| + d_x) - weight_x. Both hold with x and y exchanged."""
+    rows = rows.withColumn("d", F.size("differ").cast("long")).withColumn("besides", F.expr("d - (weight - 4 * n_shingles) div 9")).where("d > 0")
+    rows = within_reach_of_some(rows, "4 * n_shingles", "9 * (n_lead + besides) - weight", "least_size")
+    return materialize(within_reach_of_some(rows, "weight", "9 * (n_lead + d) - weight", "low").drop("least_size"), "bounded")
 
 
 def agreeing(differing: DataFrame, members: DataFrame) -> DataFrame:
@@ -299,20 +309,22 @@ def agreeing(differing: DataFrame, members: DataFrame) -> DataFrame:
     differences (prefix filter): the lighter one among few of them, as its partner is heavier."""
     rows = members.withColumnsRenamed({"rep": "a", "lead": "b"}).join(differing, ["a", "b"]).withColumn("component", F.expr("if(linked = 1, l_component, component)")).withColumn("outside", F.col("component") != F.col("l_component"))
     need = lambda other: F.expr(NEED.format(other=other))
-    rows = rows.select("a", "b", "n_lead", "weight", "n_shingles", "component", "outside", "differ", F.size("differ").alias("d"))
-    bounded = materialize(within_reach_of_some(rows), "bounded")
-    # elements of one component's members alone are in no common part of a pair; first a look at half of what members have besides
-    seen = lambda x: x.groupBy("b", "e").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    half = materialize(bounded.select("a", "b", "component", F.explode(F.filter("differ", lambda e: e.bitwiseAND(F.lit(3)) == 1)).alias("e")), "half")
-    lone = half.join(seen(half).where("lo = hi").select("b", "e"), ["b", "e"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lone"))
-    fewer = materialize(bounded.join(lone, ["a", "b"], "left").withColumn("d", F.col("d") - F.coalesce("lone", F.lit(0))).drop("lone"), "bounded")
-    bounded = materialize(within_reach_of_some(fewer).drop("d", "outside"), "bounded")
-    elements = materialize(bounded.select("a", "b", "component", F.explode("differ").alias("e")), "differing")
-    counts = seen(elements).where("lo < hi").select("b", "e", "n")
+    rows = bounded(rows.select("a", "b", "n_lead", "weight", "n_shingles", "component", "outside", "differ"))
+    # elements of one component's members alone are in no common part of a pair; what members have besides goes first, by halves:
+    # copies with edits of their own have nothing left in common then, and drop out before their lacks are looked at
+    seen = lambda x: x.groupBy("b", "e").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("b", "e", "n")
+    for half in (1, 3):
+        some = materialize(rows.select("a", "b", "component", F.explode(F.filter("differ", lambda e: e.bitwiseAND(F.lit(3)) == half)).alias("e")), "half")
+        common = some.join(seen(some).drop("n"), ["b", "e"]).groupBy("a", "b").agg(F.collect_list("e").alias("common"))  # at most a set
+        left = F.concat(F.filter("differ", lambda e: e.bitwiseAND(F.lit(3)) != half), F.coalesce("common", F.array().cast("array<long>")))
+        rows = bounded(rows.join(common, ["a", "b"], "left").withColumn("differ", left).drop("common"))
+    rows = rows.drop("d", "outside", "besides")
+    elements = materialize(rows.select("a", "b", "component", F.explode("differ").alias("e")), "differing")
+    counts = seen(elements)
     elements = elements.drop("component")
     own = Window.partitionBy("a", "b")
     ranked = elements.join(counts, ["b", "e"]).withColumn("at", F.row_number().over(own.orderBy("n", "e"))).withColumn("d", F.count(F.lit(1)).over(own))
-    placed = ranked.join(maybe_broadcast(bounded.drop("differ")), ["a", "b"])
+    placed = ranked.join(maybe_broadcast(rows.drop("differ")), ["a", "b"])
     light = F.col("at") <= F.col("d") - need("greatest(weight, low)") + 1
     heavy = (F.col("low") <= F.col("weight")) & (F.col("at") <= F.col("d") - need("low") + 1)
     placed = materialize(placed.withColumn("light", light).withColumn("heavy", heavy).where("light or heavy").drop("low", "n"), "prefixes")
