@@ -2,8 +2,10 @@
 
 Features are the presence of words (runs of letters, A-Z lower-cased) and of words' beginnings, hashed. Those that
 stand out between toxic and other labelled texts are selected by their counts, and a logistic model is fitted on them.
-In every labelled text that names a group, the identity term is swapped for the others of its kind, and the squared
-change of the score's logit is penalised: what a text says about a group may count, which group it names may not.
+Every labelled text gives counterfactual sentences: one that names a group has the identity term swapped for each other
+of its kind, the swapped text's features being taken anew; one that names none is given a term, and the next of its kind
+instead (which ones, a hash of its id says). The squared change of the logit between the two is penalised: what a text
+says about a group may count, which group it names may not.
 
 Labels are learned from at most about `sample` labelled texts (a documented bound, chosen by a hash of their id).
 
@@ -14,7 +16,11 @@ the share of toxic labels (0 without any). Empty tables give no rows; other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -65,12 +71,66 @@ def pairs_of(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[keep], h[keep]
 
 
+def word_hash(term: str) -> int:
+    return int(term_features(term)[0])  # the first feature is the whole word
+
+
+def counterfactuals(text: str, choice: int) -> list[tuple[str, str]]:
+    """Pairs of sentences that differ in the group they name: the text with each of its identity terms swapped (every
+    mention of it) for each other of its kind, or, where it names none, with one term and with the next of its kind added;
+    choice says which. A null text has none."""
+    out = []
+    for kind in IDENTITIES:
+        for term in kind:
+            mention = re.compile(rf"(?<![^\W\d_]){term}(?![^\W\d_])", re.IGNORECASE)
+            if mention.search(text):
+                out += [(text, mention.sub(other, text)) for other in kind if other != term]
+    if not out:
+        kind = IDENTITIES[choice % len(IDENTITIES)]
+        at = choice // len(IDENTITIES) % len(kind)
+        out = [(f"{text} {kind[at]}", f"{text} {kind[(at + 1) % len(kind)]}")]
+    return out
+
+
+def changes_of(pairs: list[tuple[str, str]], known: np.ndarray) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Places among the known features that each pair's second sentence gains and loses."""
+    if not pairs:
+        return []
+    sets: list[np.ndarray] = []
+    for b in tk.blocks(pa.array([t for pair in pairs for t in pair])):
+        doc, h = pairs_of(*features(b))
+        live = np.isin(h, known)
+        doc, at = doc[live], np.searchsorted(known, h[live])
+        sets += np.split(at, np.searchsorted(doc, np.arange(1, len(b.bounds) - 1)))
+    return [(tuple(np.setdiff1d(b, a).tolist()), tuple(np.setdiff1d(a, b).tolist())) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+
+
+class Swaps(NamedTuple):
+    """Distinct changes of the feature vector between counterfactual sentences, as triples (change, feature, 1 or -1), and
+    how many pairs have each."""
+
+    change: np.ndarray
+    feature: np.ndarray
+    sign: np.ndarray
+    pairs: np.ndarray
+
+    @classmethod
+    def of(cls, found: Iterable[tuple[tuple[int, ...], tuple[int, ...], int]]) -> "Swaps":
+        cells, pairs = [], []
+        for i, (gains, losses, n) in enumerate(found):
+            cells += [(i, f, 1) for f in gains] + [(i, f, -1) for f in losses]
+            pairs.append(n)
+        table = np.array(cells, np.int64).reshape(-1, 3)
+        return cls(table[:, 0], table[:, 1], table[:, 2].astype(float), np.array(pairs, float))
+
+
 class Model:
-    """Selected features in order of their hashes, their weights, and the base logit."""
+    """Selected features in order of their hashes, their weights, the base logit, and the number of counterfactual pairs
+    that the fit saw."""
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray, base: float):
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, base: float, pairs: int = 0):
         order = np.argsort(hashes)
-        self.hashes, self.weights, self.base = hashes[order], weights[order], base
+        self.hashes, self.weights, self.base, self.pairs = hashes[order], weights[order], base, pairs
 
     def logits(self, b: tk.Block) -> np.ndarray:
         doc, h = features(b)
@@ -81,14 +141,11 @@ class Model:
         return self.base + np.bincount(key // size, self.weights[key % size] if len(key) else None, len(b.bounds) - 1)
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, swaps: list[tuple[np.ndarray, float]], width: int, ridge: float = 0.3, swap_weight: float = 10.0, rounds: int = 25) -> tuple[np.ndarray, float]:
+def fit(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, swaps: Swaps, width: int, ridge: float = 0.3, swap_weight: float = 10.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Logistic weights by Newton steps with conjugate gradients; (rows, columns) are the features present, the last weight
-    is the base. Each swap is a change of the feature vector and its number: the mean squared change of the logit is
-    penalised by swap_weight."""
+    is the base. The mean squared change of the logit between counterfactual sentences is penalised by swap_weight."""
     n = len(label)
-    changes = np.array([d for d, _ in swaps]).reshape(len(swaps), width)
-    shares = np.array([c for _, c in swaps])
-    shares = shares / max(shares.sum(), 1.0)
+    shares = swaps.pairs / max(swaps.pairs.sum(), 1.0)
     decay = np.full(width + 1, ridge / n)
     decay[-1] = 0
 
@@ -99,7 +156,8 @@ def fit(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, swaps: list[tu
         return np.append(np.bincount(columns, r[rows], width), r.sum())
 
     def penalty(w: np.ndarray) -> np.ndarray:
-        return decay * w + np.append(2 * swap_weight * changes.T @ (shares * (changes @ w[:-1])), 0)
+        moved = shares * np.bincount(swaps.change, swaps.sign * w[swaps.feature], len(shares))
+        return decay * w + np.append(2 * swap_weight * np.bincount(swaps.feature, swaps.sign * moved[swaps.change], width), 0)
 
     def loss(w: np.ndarray) -> float:
         z = forth(w)
@@ -141,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_feature
     share = int(min(1.0, sample / max(n, 1)) * 1_000_000)
     # at most about `sample` rows of two numbers, so the broadcast's size is bounded
     chosen = materialize(labels.where(F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1_000_000)) < share), "labelled")
-    texts = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    texts = materialize(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")), "labelled-texts")
     terms = np.unique(np.concatenate([term_features(t) for kind in IDENTITIES for t in kind]))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +230,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_feature
     strength = F.pow(F.col("n_toxic") - rate * F.col("n"), 2) / (rate * (1 - rate) * F.col("n"))
     picked = counted.where(F.col("n") >= max(4, round(least_share * sizes["n"]))).withColumn("strength", strength).where("strength > 15").orderBy(F.desc("strength"), "feature").limit(most_features)
     hashes = np.unique(np.concatenate([np.array([r["feature"] for r in picked.select("feature").collect()], np.int64), terms]))
-    place = {int(h): i for i, h in enumerate(hashes)}
     known = spark.sparkContext.broadcast(hashes)  # at most most_features and the identity terms
 
     def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,25 +237,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_feature
             lists = [np.flatnonzero(np.isin(known.value, np.asarray(x.values))).tolist() for x in b.column("features")]
             yield pa.record_batch([b.column("toxic"), pa.array(lists, pa.list_(pa.int64()))], ["toxic", "picked"])
 
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                pairs = [p for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for p in counterfactuals(t or "", zlib.crc32(str(d).encode()))]
+                seen.update(changes_of(pairs, known.value))
+            yield pa.record_batch([pa.array([g for g, _ in seen], pa.list_(pa.int64())), pa.array([x for _, x in seen], pa.list_(pa.int64())), pa.array(list(seen.values()), pa.int64())], ["gains", "losses", "n"])
+
     table = held.select("toxic", "features").mapInArrow(slim, "toxic int, picked array<long>").toArrow()  # `sample` rows of few numbers
     label = (table.column("toxic").to_numpy() > 0).astype(float)
     lists = table.column("picked").to_pylist()
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     columns = np.array([c for x in lists for c in x], np.int64)
-    swaps = []
-    own = {t: [place[int(h)] for h in term_features(t)] for kind in IDENTITIES for t in kind}
-    word = {t: place[int(term_features(t)[0])] for t in own}  # the first feature is the whole word
-    texts_with = np.bincount(columns, minlength=len(hashes))
-    for kind in IDENTITIES:
-        for t in kind:
-            for other in kind:
-                if other != t and texts_with[word[t]]:
-                    change = np.zeros(len(hashes))
-                    change[own[other]] += 1
-                    change[own[t]] -= 1
-                    swaps.append((change, float(texts_with[word[t]])))
+    # distinct changes and their numbers: as most texts name no group, few more than there are pairs of terms
+    found = texts.select("doc_id", "text").mapInArrow(moved, "gains array<long>, losses array<long>, n long").groupBy("gains", "losses").agg(F.sum("n").alias("n")).collect()
+    swaps = Swaps.of(sorted((tuple(r["gains"]), tuple(r["losses"]), r["n"]) for r in found))
     weights, base = fit(rows, columns, label, swaps, len(hashes))
-    return Model(hashes, weights, base)
+    return Model(hashes, weights, base, int(swaps.pairs.sum()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

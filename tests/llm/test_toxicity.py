@@ -54,8 +54,8 @@ def test_swaps_spare_neutral_mentions(spark):
 def test_the_penalty_is_what_does_it():
     rows, columns = np.array([0, 0, 1, 1, 2, 3]), np.array([0, 1, 0, 1, 2, 2])
     label = np.array([1.0, 1, 0, 0])
-    swap = [(np.array([0.0, 1, -1]), 4.0)]
-    free, _ = toxicity.fit(rows, columns, label, [], 3)
+    swap = toxicity.Swaps.of([((1,), (2,), 4)])
+    free, _ = toxicity.fit(rows, columns, label, toxicity.Swaps.of([]), 3)
     held, _ = toxicity.fit(rows, columns, label, swap, 3)
     assert abs(held[1] - held[2]) < 0.2 * abs(free[1] - free[2])
 
@@ -70,3 +70,40 @@ def test_edges(spark):
         got = scores(docs, toxicity.train(docs, some))
         assert len(set(got.values())) == 1
     assert toxicity.score(rows.limit(0), model).count() == 0
+
+
+def test_counterfactual_sentences():
+    pairs = toxicity.counterfactuals("Women and men; the woMEN", 3)
+    assert ("Women and men; the woMEN", "girls and men; the girls") in pairs and ("Women and men; the woMEN", "Women and boys; the woMEN") in pairs and len(pairs) == 6
+    for choice in range(60):
+        (a, b), = toxicity.counterfactuals("nobody, womenfolk", choice)
+        assert a != b and a.startswith("nobody, womenfolk ") and any({a[18:], b[18:]} <= set(kind) for kind in toxicity.IDENTITIES)
+    assert len(toxicity.counterfactuals("", 0)) == 1
+
+
+def test_changes_are_of_the_whole_sentences():
+    """A text that has the other term already, or a word with the same beginning, changes in fewer features."""
+    known = np.unique(np.concatenate([toxicity.term_features(t) for t in ("women", "girls", "girlsome")]))
+    name = lambda *hs: {int(np.searchsorted(known, h)) for h in hs}
+    women, girls = toxicity.term_features("women"), toxicity.term_features("girls")
+    (plain, both, head) = toxicity.changes_of([("women x", "girls x"), ("women girls", "girls girls"), ("women girlsome", "girls girlsome")], known)
+    assert (set(plain[0]), set(plain[1])) == (name(*girls), name(*women))
+    assert (set(both[0]), set(both[1])) == (set(), name(*women))
+    assert set(head[0]) == name(girls[0]) and set(head[1]) == name(*women)
+
+
+def test_held_out_recall_on_the_given_documents(spark):
+    from parallaxis.llm.queries import op1_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = [(labels[r["doc_id"]], r["predicted"]) for r in op1_toxicity(spark, sf).where("held_out").collect() if r["doc_id"] in labels]
+    toxic = [p for t, p in out if t == 1]
+    clean = [p for t, p in out if t == 0]
+    assert len(toxic) > 100 and sum(toxic) / len(toxic) >= 0.9 and sum(clean) / len(clean) <= 0.01
+
+
+def test_every_labelled_text_has_a_counterfactual(spark):
+    docs, labels = corpus(spark, bias=True, n=300)
+    learned = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(300))
+    assert toxicity.train(docs, labels).pairs >= learned
