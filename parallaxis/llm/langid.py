@@ -26,8 +26,6 @@ from .runtime import columns_or_null, held_out, materialize, ship
 
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters of the longest piece that is used.
-LONGEST = 8
 #: Longer words go through the forward algorithm in logarithms, one by one.
 LONG_WORD = 60
 #: Scaling per letter, which keeps products near one.
@@ -49,7 +47,8 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        self.pieces = ["", *sorted(p for p in pieces if len(p) <= LONGEST and p == p.lower() and WORD.fullmatch(p.removeprefix(MARK) or "a"))]
+        self.pieces = ["", *sorted(p for p in pieces if p == p.lower() and WORD.fullmatch(p.removeprefix(MARK) or "a"))]
+        self.longest = max(map(len, self.pieces))
         hashes = np.array([self.hash_one(p) for p in self.pieces[1:]], np.uint64)
         order = np.argsort(hashes)
         # an open-addressed table: one or two looks find a piece or its absence
@@ -91,7 +90,7 @@ class Vocabulary:
             terms = words.astype(np.uint64) * _M
             rolling: list[np.ndarray] = []
             for end in range(size):
-                rolling = [terms[:, end], *(h * np.uint64(0x5851F42D4C957F2D) + terms[:, end] for h in rolling[: LONGEST - 1])]
+                rolling = [terms[:, end], *(h * np.uint64(0x5851F42D4C957F2D) + terms[:, end] for h in rolling[: self.longest - 1])]
                 out.append([self.find(h) for h in rolling])
         return out
 
@@ -102,13 +101,13 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and code points of the marked words of each length, at most 20,000 at a time."""
+def by_length(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and code points of the marked words of each length, at most so many at a time."""
     sizes = np.array([len(w) for w in words])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        for lo in range(0, len(at), 20_000):
-            part = at[lo : lo + 20_000]
+        for lo in range(0, len(at), most):
+            part = at[lo : lo + most]
             text = "".join(MARK + words[i] for i in part)
             yield part, np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(part), size + 1)
 
@@ -135,28 +134,43 @@ def log_scores(vocab: Vocabulary, words: list[str], logp: np.ndarray) -> np.ndar
     p = scaled(vocab, logp)
     out = np.zeros((len(words), logp.shape[1]))
     short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-    for part, points in by_length([words[i] for i in short]):
+    for part, points in by_length([words[i] for i in short], max(64, 80_000 // logp.shape[1])):  # bounded whatever the languages' number
         out[np.array(short)[part]] = np.log(forward(vocab.lattice(points), p)[-1]) - points.shape[1] * np.log(SCALE)
     for i in [i for i, w in enumerate(words) if len(w) > LONG_WORD]:
-        w = MARK + words[i]
-        points = np.frombuffer(w.encode("utf-32-le"), "<u4")[None, :]
-        held, total = [np.ones(logp.shape[1])], 0.0
-        for sizes in vocab.lattice(points):
-            now = sum(held[-k] * p[ids[0]] for k, ids in enumerate(sizes, 1) if k <= len(held) and (ids[0] or k == 1))
-            top = now.max()
-            held = [h / top for h in held[-LONGEST:]] + [now / top]
-            total += np.log(top)
-        out[i] = np.log(held[-1]) + total - points.shape[1] * np.log(SCALE)
+        out[i] = forward_log(vocab, words[i], logp)[0][-1]
     return out
 
 
+def forward_log(vocab: Vocabulary, word: str, logp: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Log-probability (end, language) of all segmentations of one marked word up to there, and for each end the sizes and ids
+    of the pieces that end there. For words of any length: there is no scale to run out of."""
+    points = np.frombuffer((MARK + word).encode("utf-32-le"), "<u4")[None, :]
+    arcs = [[(k, int(ids[0])) for k, ids in enumerate(sizes, 1) if ids[0] or k == 1] for sizes in vocab.lattice(points)]
+    alpha = np.zeros((len(arcs) + 1, logp.shape[1]))
+    for end, pieces in enumerate(arcs, 1):
+        alpha[end] = np.logaddexp.reduce([alpha[end - k] + logp[i] for k, i in pieces])
+    return alpha, arcs
+
+
+def expect_long(vocab: Vocabulary, word: str, count: float, logp: np.ndarray, expected: np.ndarray) -> None:
+    """Add a long word's expected piece counts."""
+    alpha, arcs = forward_log(vocab, word, logp)
+    beta = np.full(len(alpha), -np.inf)
+    beta[-1] = 0
+    for end in range(len(arcs), 0, -1):
+        for k, i in arcs[end - 1]:
+            flow = beta[end] + logp[i, 0]
+            expected[i] += count * np.exp(alpha[end - k, 0] + flow - alpha[-1, 0])
+            beta[end - k] = np.logaddexp(beta[end - k], flow)
+
+
 def fit(vocab: Vocabulary, words: list[str], counts: np.ndarray, rounds: int = 4) -> np.ndarray:
     """Log-probabilities of the pieces by expectation-maximisation; every piece keeps a little mass."""
     v = len(vocab.pieces)
     p = np.full((v, 1), -np.log(v))
-    short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-    counts = np.asarray(counts, float)[short]
-    groups = list(by_length([words[i] for i in short]))
+    counts = np.asarray(counts, float)
+    short, long = ([i for i, w in enumerate(words) if (len(w) <= LONG_WORD) is fits] for fits in (True, False))
+    groups = [(np.array(short)[part], points) for part, points in by_length([words[i] for i in short])]
     for _ in range(rounds):
         q = scaled(vocab, p)
         expected = np.zeros(v)
@@ -171,6 +185,8 @@ def fit(vocab: Vocabulary, words: list[str], counts: np.ndarray, rounds: int = 4
                     flow = beta[end, live] * q[ids[live], 0]
                     expected += np.bincount(ids[live], alpha[end - k, live] * flow, v)
                     beta[end - k, live] += flow
+        for i in long:
+            expect_long(vocab, words[i], counts[i], p, expected)
         expected += 0.01
         p = np.log(expected / expected.sum())[:, None]
     return p[:, 0]
@@ -212,7 +228,8 @@ def train(docs: DataFrame, vocab_path: str, sample: int = 2000) -> tuple[list[st
 
 
 def predict(docs: DataFrame, vocab_path: str, langs: list[str], logp: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score of every whole text, with the columns named in keep."""
+    """doc_id, lang_pred and score of every whole text, with the columns named in keep (without those of docs that are named
+    like a result's, whose place the result takes)."""
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast((langs, logp))  # languages x vocabulary, whatever the input's size
@@ -248,7 +265,8 @@ def predict(docs: DataFrame, vocab_path: str, langs: list[str], logp: np.ndarray
                 names = np.array([*langs, UND], object)
                 yield pa.record_batch([*(part.column(c) for c in ("doc_id", *keep)), pa.array(names[pred].tolist(), pa.string()), pa.array(score)], ["doc_id", *keep, "lang_pred", "score"])
 
-    kinds = dict(docs.dtypes)
-    more = "".join(f"{c} {kinds[c]}, " for c in keep)
-    slim = docs.select(F.col("doc_id").cast("long"), *[c for c in keep if c != "text"], F.col("text").cast("string"))
+    kinds = dict(docs.dtypes) | {"doc_id": "long", "text": "string"}
+    keep = tuple(c for c in dict.fromkeys(keep) if c in kinds and c not in ("doc_id", "lang_pred", "score"))
+    more = "".join(f"`{c}` {kinds[c]}, " for c in keep)
+    slim = columns_or_null(docs, **{c: kinds[c] for c in ("doc_id", *keep, "text")})
     return slim.mapInArrow(run, f"doc_id long, {more}lang_pred string, score double")

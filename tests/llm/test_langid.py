@@ -22,7 +22,7 @@ def test_forward_sums_all_segmentations():
         if len(word) > 12:
             alpha = [np.ones(2)] + [None] * len(marked)
             for end in range(1, len(marked) + 1):
-                alpha[end] = sum((alpha[end - k] * np.exp(logp[place[marked[end - k : end]]]) for k in range(1, min(end, langid.LONGEST) + 1) if marked[end - k : end] in place), np.zeros(2)) + (0 if marked[end - 1] in place else alpha[end - 1] * np.exp(logp[0]))
+                alpha[end] = sum((alpha[end - k] * np.exp(logp[place[marked[end - k : end]]]) for k in range(1, end + 1) if marked[end - k : end] in place), np.zeros(2)) + (0 if marked[end - 1] in place else alpha[end - 1] * np.exp(logp[0]))
             want = np.log(alpha[-1])
         else:
             total = np.zeros(2)
@@ -33,7 +33,7 @@ def test_forward_sums_all_segmentations():
                         parts.append(marked[at:i])
                         at = i
                 ids = [place.get(p, 0 if len(p) == 1 else None) for p in parts]
-                if None not in ids and all(len(p) <= langid.LONGEST for p in parts):
+                if None not in ids:
                     total += np.exp(sum(logp[i] for i in ids))
             want = np.log(total)
         assert np.allclose(langid.log_scores(vocab, [word], logp)[0], want)
@@ -70,3 +70,13 @@ def test_edges(spark):
     none = langid.train(spark.createDataFrame([(1, "a", None)], "doc_id long, text string, lang string"), PIECES)
     assert [r["lang_pred"] for r in langid.predict(docs, PIECES, *none).collect()] == ["und"] * 40
     assert langid.predict(docs.limit(0), PIECES, *model).count() == 0
+
+
+def test_long_words_count_as_short_ones_do(monkeypatch):
+    vocab = langid.vocabulary(PIECES)
+    words, counts = ["station", "internationalisation", "thethethethethethe"], np.array([5.0, 3, 2])
+    logp = langid.fit(vocab, words, counts)
+    scores = langid.log_scores(vocab, words, logp[:, None])
+    monkeypatch.setattr(langid, "LONG_WORD", 6)
+    assert np.allclose(langid.fit(vocab, words, counts), logp) and np.allclose(langid.log_scores(vocab, words, logp[:, None]), scores)
+    assert np.isfinite(langid.fit(vocab, ["x" * 3000, "the"], np.array([1.0, 1]))).all() and vocab.longest > 8
