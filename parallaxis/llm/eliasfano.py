@@ -1,4 +1,7 @@
-"""Elias-Fano coding of a non-decreasing sequence, with a select directory for random access."""
+"""Elias-Fano coding of a non-decreasing sequence, with a select directory for random access.
+
+An empty sequence has no values; equal neighbours are kept, each in its place; negative values are offsets from the first.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ import numpy as np
 
 #: Ones between two entries of the select directory.
 STEP = 256
+#: Values whose low bits are spread out at a time.
+CELLS = 1 << 16
 HEAD = struct.Struct("<4sBxxxQQQ")
 
 
@@ -23,11 +28,14 @@ class EliasFano:
         v = (np.asarray(values, np.int64) - base).astype(np.uint64)
         top = int(v[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        bits = ((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+        packed = []
+        for i in range(0, n, CELLS):  # a multiple of 8 values fills whole bytes
+            bits = ((v[i : i + CELLS, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
+            packed.append(np.packbits(bits, bitorder="little"))
         at = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         upper = np.zeros((int(at[-1]) + 1 if n else 0), np.uint8)
         upper[at] = 1
-        return cls(n, low_bits, base, np.packbits(bits, bitorder="little"), np.packbits(upper, bitorder="little"), at[::STEP].astype("<u4"))
+        return cls(n, low_bits, base, np.concatenate([np.zeros(0, np.uint8), *packed]), np.packbits(upper, bitorder="little"), at[::STEP].astype("<u4"))
 
     def to_bytes(self) -> bytes:
         return HEAD.pack(b"EFS1", self.low_bits, self.n, self.base & (2**64 - 1), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.directory.tobytes()
@@ -51,20 +59,22 @@ class EliasFano:
         cells = bits[skip : skip + count * self.low_bits].reshape(count, self.low_bits).astype(np.int64)
         return cells @ (1 << np.arange(self.low_bits, dtype=np.int64)) if self.low_bits else np.zeros(count, np.int64)
 
-    def select(self, i: int) -> int:
-        """The i-th value, from the nearest directory entry before it."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        block, skip = divmod(i, STEP)
+    def select(self, first: int, count: int = 1) -> np.ndarray:
+        """The values from the first-th on, so many: only the bits between the directory's entries around them are looked at."""
+        if count < 0 or not 0 <= first <= first + count <= self.n:
+            raise IndexError((first, count))
+        if not count:
+            return np.zeros(0, np.int64)
+        block, skip = divmod(first, STEP)
+        after = (first + count - 1) // STEP + 1
         start = int(self.directory[block])
-        end = int(self.directory[block + 1]) + 1 if block + 1 < len(self.directory) else 8 * len(self.high)
+        end = int(self.directory[after]) + 1 if after < len(self.directory) else 8 * len(self.high)
         bits = np.unpackbits(self.high[start // 8 : -(-end // 8)], bitorder="little")[start % 8 :]
-        at = start + int(np.flatnonzero(bits)[skip])
-        return self.base + (at - i << self.low_bits) + int(self.lows(i, 1)[0])
+        at = start + np.flatnonzero(bits)[skip : skip + count]
+        return self.base + ((at - np.arange(first, first + count)) << self.low_bits) + self.lows(first, count)
 
     def values(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return self.base + ((at - np.arange(self.n)) << self.low_bits) + self.lows(0, self.n)
+        return self.select(0, self.n)
 
     @property
     def nbytes(self) -> int:

@@ -22,6 +22,8 @@ from . import files, wordbpe
 from .eliasfano import EliasFano
 from .runtime import columns_or_null, fresh_path, materialize, ship
 
+#: Bytes of text that a shard is made of, about: shards grow in number, not in size.
+SHARD_BYTES = 256 << 20
 MANIFEST = "shard long, documents long, ids long, width int, data string, index string"
 
 
@@ -55,7 +57,8 @@ def write(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None
         yield pa.record_batch([pa.array([v], k) for v, k in ((task.partitionId(), pa.int64()), (len(sizes), pa.int64()), (int(bounds[-1]), pa.int64()), (kind.itemsize, pa.int32()), (f"{name}.ids", pa.string()), (f"{name}.index", pa.string()))], [x.split()[0] for x in MANIFEST.split(", ")])
 
     docs = columns_or_null(docs, doc_id="long", text="string").where("doc_id is not null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     shards = materialize(ordered.mapInArrow(run, MANIFEST), "manifest")
     before = F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row per shard
@@ -72,14 +75,14 @@ def read(manifest: DataFrame) -> DataFrame:
                 index = files.read(r["index"])
                 bounds, at = EliasFano.from_bytes(index)
                 names, _ = EliasFano.from_bytes(index, at)
-                ends, doc_ids = bounds.values(), names.values()
                 with files.open_random(r["data"]) as f:
                     for lo in range(0, r["documents"], 1000):
                         hi = min(lo + 1000, r["documents"])
-                        f.seek(int(ends[lo]) * r["width"])
-                        ids = np.frombuffer(f.read(int(ends[hi] - ends[lo]) * r["width"]), f"<u{r['width']}").astype("<u4")
-                        cut = ends[lo : hi + 1] - ends[lo]
-                        yield pa.record_batch([pa.array(doc_ids[lo:hi]), pa.array(ends[lo:hi] + r["ids_before"]), pa.array([ids[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["doc_id", "start", "ids"])
+                        ends = bounds.select(lo, hi - lo + 1)
+                        cut = ends - ends[0]
+                        f.seek(int(ends[0]) * r["width"])
+                        ids = np.frombuffer(f.read(int(cut[-1]) * r["width"]), f"<u{r['width']}").astype("<u4")
+                        yield pa.record_batch([pa.array(names.select(lo, hi - lo)), pa.array(ends[:-1] + r["ids_before"]), pa.array([ids[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["doc_id", "start", "ids"])
 
     tasks = max(1, min(manifest.count(), 1 << 16))
     return manifest.repartition(tasks).mapInArrow(run, "doc_id long, start long, ids binary")

@@ -18,7 +18,19 @@ def test_elias_fano(values):
     data = b"head" + EliasFano.build(values).to_bytes() + b"tail"
     back, end = EliasFano.from_bytes(data, 4)
     assert data[end:] == b"tail" and back.values().tolist() == values.tolist()
-    assert [back.select(i) for i in range(len(values))] == values.tolist()
+    assert [back.select(i)[0] for i in range(len(values))] == values.tolist()
+    assert all(back.select(i, n).tolist() == values[i : i + n].tolist() for i, n in ((0, len(values)), (len(values), 0), (len(values) // 3, len(values) // 2)))
+
+
+def test_long_sequences_and_places_out_of_range():
+    import pytest
+
+    values = np.cumsum(np.random.default_rng(1).integers(0, 50, 200_003))
+    coded = EliasFano.build(values)
+    assert (coded.values() == values).all() and (coded.select(131_000, 69_003) == values[131_000:]).all()
+    for wrong in ((-1, 1), (200_003, 1), (0, 200_004)):
+        with pytest.raises(IndexError):
+            coded.select(*wrong)
 
 
 def test_space_is_near_the_bound():
