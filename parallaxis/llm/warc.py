@@ -2,7 +2,7 @@
 
 Every partition writes one archive, a gzip member per record, and sorts the captures it wrote by URL key and timestamp:
 a run. Ranges of the key space then merge the runs' slices with a k-way loser tree, giving globally ordered capture
-histories. Pages whose payload another page with a smaller page_id has too become revisit records that refer to it.
+histories, and number the captures of each URL key. Pages whose payload another page with a smaller page_id has too become revisit records that refer to it.
 Reading back goes by the index: each archive's captures in the order of their offsets.
 
 Rows: a null html is an empty payload, a null url has an empty key; a null page_id is kept, takes part in no choice of
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
@@ -29,7 +29,12 @@ from .runtime import columns_or_null, fresh_path, materialize, maybe_broadcast,
 DATE = "2000-01-01T00:00:00Z"
 INDEX = "urlkey string, ts string, page_id long, archive string, position long, length long"
 NAMES = [x.split()[0] for x in INDEX.split(", ")]
-RECORD = "page_id long, url string, ts string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+#: Index entries that one merge task holds, about.
+RANGE_ROWS = 200_000
+#: Bytes of archives that one reading task goes through, about.
+READ_BYTES = 256 << 20
+ORDER = [*NAMES, "range", "place", "capture"]
+RECORD = "page_id long, url string, ts string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, capture long"
 
 
 def url_key(url: str) -> str:
@@ -101,7 +106,7 @@ def roles(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id and refers_to of the pages that revisit another one's payload; counts and minima meet per digest before any join."""
     seen = materialize(pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sum"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")).where(F.col("size") >= least_bytes), "digests")
     first = seen.groupBy("sum", "size").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("captures")).where("captures > 1 and refers_to is not null")
-    return seen.join(first, ["sum", "size"]).where("page_id is null or page_id > refers_to")
+    return seen.join(maybe_broadcast(materialize(first, "repeated")), ["sum", "size"]).where("page_id is null or page_id > refers_to")
 
 
 def write(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
@@ -146,9 +151,9 @@ def order_key(entry: tuple) -> tuple:
     return key, ts, page_id is not None, page_id or 0, archive, position
 
 
-def index_batch(entries: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*entries, strict=True)) or [[]] * 6, kinds, strict=True)], NAMES)
+def index_batch(entries: list[tuple], names: list[str] = NAMES) -> pa.RecordBatch:
+    kinds = [pa.string() if x in ("urlkey", "ts", "archive") else pa.int64() for x in names]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*entries, strict=True)) or [[]] * len(names), kinds, strict=True)], names)
 
 
 class LoserTree:
@@ -190,12 +195,16 @@ class LoserTree:
 
 
 def merge(runs: DataFrame) -> DataFrame:
-    """The index in global order of URL key, timestamp and page: partitions are consecutive ranges, each a merge of the
-    runs' slices. Entries of one run arrive in its order; what is read out of order starts another run."""
-    ship(runs.sparkSession)
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The index in global order of URL key, timestamp and page: the captures of range 0, then of range 1 and so on, each in
+    the order of place; capture numbers those of a URL key from 1. A range is one task's merge of the runs' slices, which it
+    holds; there are as many ranges as keep it to about RANGE_ROWS. Entries of one run arrive in its order; what is read out
+    of order starts another run."""
+    spark = runs.sparkSession
+    ship(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, place, key, capture = TaskContext.get().partitionId(), 0, None, 0
         slices: dict[str, list[list[tuple]]] = {}
         for b in batches:
             for entry in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -205,34 +214,49 @@ def merge(runs: DataFrame) -> DataFrame:
                 own[-1].append(entry)
         out = []
         for entry in LoserTree([r for own in slices.values() for r in own]):
-            out.append(entry)
+            capture = capture + 1 if entry[0] == key else 1
+            key = entry[0]
+            out.append((*entry, at, place, capture))
+            place += 1
             if len(out) == 10_000:
-                yield index_batch(out)
+                yield index_batch(out, ORDER)
                 out = []
-        yield index_batch(out)
+        yield index_batch(out, ORDER)
 
-    return runs.repartitionByRange(parts, "urlkey", "ts", "page_id", "archive", "position").mapInArrow(run, INDEX)
+    merged = materialize(runs.repartitionByRange(parts, "urlkey", "ts", "page_id", "archive", "position").mapInArrow(run, f"{INDEX}, range long, place long, capture long"), "index")
+    # a key that goes on in the next range is counted on: of each range the first key, and the last one with its captures
+    ends = merged.groupBy("range").agg(F.min("urlkey").alias("first"), F.max(F.struct("urlkey", "capture")).alias("last"))
+    keys = ends.select("range", F.col("first").alias("urlkey"), F.lit(0).cast("long").alias("n")).unionByName(ends.select("range", "last.urlkey", F.col("last.capture").alias("n")))
+    before = Window.partitionBy("urlkey").orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
+    starts = keys.withColumn("counted", F.sum("n").over(before)).where("counted > 0").select("range", "urlkey", "counted").distinct()
+    full = merged.join(maybe_broadcast(starts), ["range", "urlkey"], "left")
+    return full.select(*NAMES, "range", "place", (F.col("capture") + F.coalesce("counted", F.lit(0))).alias("capture"))
 
 
 def read(index: DataFrame) -> DataFrame:
-    """The records that the index names: each archive is read once, front to back."""
-    ship(index.sparkSession)
+    """The records that the index names, with their capture numbers: each archive is read front to back, in slices of about
+    READ_BYTES by tasks of their own."""
+    spark = index.sparkSession
+    ship(spark)
+    index = columns_or_null(index, archive="string", position="long", length="long", capture="long")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, f = None, None
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
         names = [x.split()[0] for x in RECORD.split(", ")]
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 out = []
-                for archive, position, length in zip(*(b.slice(i, 500).column(c).to_pylist() for c in ("archive", "position", "length")), strict=True):
+                for archive, position, length, capture in zip(*(b.slice(i, 500).column(c).to_pylist() for c in ("archive", "position", "length", "capture")), strict=True):
                     if archive != name:
                         if f is not None:
                             f.close()
                         name, f = archive, files.open_random(archive)
                     f.seek(position)
-                    out.append(parse(gzip.decompress(f.read(length))))
+                    out.append((*parse(gzip.decompress(f.read(length))), capture))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    ordered = index.select("archive", "position", "length").repartition("archive").sortWithinPartitions("archive", "position")
+    ordered = index.withColumn("slice", F.expr(f"position div {READ_BYTES}")).repartition(tasks, "archive", "slice").sortWithinPartitions("archive", "position").drop("slice")
     return ordered.mapInArrow(run, RECORD)
