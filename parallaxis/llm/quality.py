@@ -1,14 +1,15 @@
 """Cross-document line frequency as a quality rule.
 
 Each text's lines are normalised (A-Z lower-cased, words joined by single blanks) and hashed; every host counts in how
-many of its documents a line stands. Lines above the limit - more documents than `least_docs`, a few that keep chance
-repeats of small hosts, and than `share` of the host's documents, which decides from 1000 documents on - are removed everywhere but in the host's first document that has them (the smallest doc_id), and a
-document that keeps less than `left` percent of its words is depleted and rejected, as is one that fails the base rules. `judge` gives the decisions, `clean` the kept
-texts without the removed lines; line breaks and lines without a word stay as they are.
-
-Rows: null text has no words and fails the base rules. A null host is a host. Rows with a null doc_id are counted and
-judged too; they are never a line's first document. Repeated rows are documents of their own. An empty table gives no
-rows; other columns take no part.
+many of its documents of distinct texts a line stands (copies of a text are one document: they are no sign of
+boilerplate, and another operator's work). Lines above the limit - more documents than `least_docs`, a few that keep chance
+repeats of small hosts, and than `share` of the host's documents, which decides from 1000 documents on - are removed from
+all of them, and a document that keeps less than `left` percent of its words is depleted and rejected, as is one that
+fails the base rules. `judge` gives the decisions, `clean` the kept texts without the removed lines; line breaks and lines
+without a word stay as they are.
+
+Rows: texts are told apart by 64-bit hashes. Null text has no words and fails the base rules. A null host is a host. Rows with a null doc_id are counted and
+judged too. Repeated rows are documents of their own. An empty table gives no rows; other columns take no part.
 """
 
 from __future__ import annotations
@@ -104,11 +105,11 @@ def count_lines(docs: DataFrame) -> DataFrame:
             cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
             offsets = pa.array(np.append(cat(starts), at).astype(np.int32))
             yield pa.record_batch(
-                [batch.column(c) for c in ("row", "doc_id", "text_key", "key", "host")] + [*(pa.array(cat(c)) for c in base), pa.ListArray.from_arrays(offsets, pa.array(cat(lines))), pa.ListArray.from_arrays(offsets, pa.array(cat(sizes)))],
-                ["row", "doc_id", "text_key", "key", "host", *(x.split()[0] for x in BASE.split(", ")), "lines", "sizes"],
+                [batch.column(c) for c in ("row", "doc_id", "text_key", "key", "print", "host")] + [*(pa.array(cat(c)) for c in base), pa.ListArray.from_arrays(offsets, pa.array(cat(lines))), pa.ListArray.from_arrays(offsets, pa.array(cat(sizes)))],
+                ["row", "doc_id", "text_key", "key", "print", "host", *(x.split()[0] for x in BASE.split(", ")), "lines", "sizes"],
             )
 
-    return docs.select("row", "doc_id", "text_key", "key", "host", "text").mapInArrow(run, f"row long, doc_id long, text_key long, key long, host string, {BASE}, lines array<long>, sizes array<long>")
+    return docs.select("row", "doc_id", "text_key", "key", "print", "host", "text").mapInArrow(run, f"row long, doc_id long, text_key long, key long, print long, host string, {BASE}, lines array<long>, sizes array<long>")
 
 
 def row_key(host: str) -> Column:
@@ -119,16 +120,16 @@ def row_key(host: str) -> Column:
 def decide(docs: DataFrame, host: str = "source", least_docs: int = 5, share: float = 0.005, left: int = 30, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
     """`judge`'s columns, and of each row its key and the hashes of the lines it loses (null for none)."""
     ship(docs.sparkSession)
-    slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("doc_id", "text").alias("text_key"), row_key(host).alias("key"), F.monotonically_increasing_id().alias("row"))
+    slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("doc_id", "text").alias("text_key"), row_key(host).alias("key"), F.xxhash64("text").alias("print"), F.monotonically_increasing_id().alias("row"))
     base = materialize(count_lines(slim), "lines")
-    lines = base.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
-    hosts = base.groupBy("host").agg(F.greatest(F.lit(least_docs).cast("double"), F.count(F.lit(1)) * F.lit(share)).alias("most"))
-    counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") > least_docs)
-    common = materialize(counted.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where("docs > most").select("host", "line", "first"), "common-lines")
+    lines = base.select("row", "print", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "print", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
+    hosts = base.groupBy("host").agg(F.greatest(F.lit(least_docs).cast("double"), F.count_distinct("print") * F.lit(share)).alias("most"))
+    counted = lines.groupBy("host", "line").agg(F.count_distinct("print").alias("docs")).where(F.col("docs") > least_docs)
+    common = materialize(counted.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where("docs > most").select("host", "line"), "common-lines")
     named = maybe_broadcast(common.withColumnsRenamed({"host": "h", "line": "l"}))
-    gone = lines.join(named, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h"))).where("doc_id is null or first is null or doc_id <> first")
+    gone = lines.join(named, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
     removed = gone.groupBy("row").agg(F.sum("size").alias("removed_words"), F.collect_list("line").alias("gone"))
-    out = base.drop("lines", "sizes", "host").join(removed, "row", "left").drop("row").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    out = base.drop("lines", "sizes", "print", "host").join(removed, "row", "left").drop("row").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("removed_words")) >= left * F.col("n_words")))
 
