@@ -5,7 +5,7 @@ bounding box and the smallest id per node. A query first searches its own shard;
 with it to all other shards, whose trees are descended only where a box's bound on the inner product reaches that score,
 leaves best first, the score rising as hits are found. Ties go to the smaller id, also in pruning.
 
-Rows: vectors that are null or hold a null or non-finite component, and null ids, take no part. A query meets the
+Rows: vectors that are null, empty or hold a null or non-finite component, and null ids, take no part. A query meets the
 vectors of its own length. Of several query rows with one id, the smallest vector is searched for; repeated candidate
 rows count each. Fewer candidates than k are all returned; an empty table gives no rows.
 """
@@ -115,7 +115,7 @@ class Tree:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best vectors; both inputs have vec_id and vector (array<double>)."""
     ship(vectors.sparkSession)
-    fit = "vec_id is not null and vector is not null and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
+    fit = "vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
     vectors = columns_or_null(vectors, vec_id="long", vector="array<double>").where(fit)
     queries = columns_or_null(queries, vec_id="long", vector="array<double>").where(fit).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     shards = max(1, -(-vectors.count() // shard_rows))

@@ -55,7 +55,7 @@ def codec(json_path: str, ranks_path: str | None):
             def encode(texts: list[str]) -> list:
                 try:
                     return [np.frombuffer(fast.encode_to_numpy(x, allowed_special="all"), np.uint32) for x in texts]
-                except Exception:  # its pattern engine gives up on some very long runs
+                except ValueError:  # its pattern engine gives up on some very long runs
                     return plain(texts)
 
             _codecs[key] = encode

@@ -1,7 +1,7 @@
 """Personal data and credentials by weak supervision, in DataFrame functions throughout.
 
 Base spans are those of four patterns with their checks (email, ip, card, phone). Candidates for credentials are long
-tokens with a digit; four labelers vote on each, or abstain: known key formats (regex), credential words before it
+tokens with a digit, and what is assigned to a word that names credentials; four labelers vote on each, or abstain: known key formats (regex), credential words before it
 (gazetteer), assignment and quoting around it (context), and the mix of its characters (shape). The numbers of each
 vote pattern are counted over all documents, expectation-maximisation estimates the labelers' reliabilities from these
 at most 3**4 counts, and a logistic span classifier is trained on the resulting probabilities over cells of span
@@ -28,11 +28,15 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Tokens that may be credentials: 16 or more characters with a digit among the first 40.
-TOKEN = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,39}[0-9])[A-Za-z0-9_/+-]{16,}+"
+NAMES = r"password|passwd|pwd|passphrase|secret|token|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|credential|bearer|auth"
+#: Tokens that may be credentials: what a word that names credentials and an assignment mark stand before, if 6 or more
+#: characters long, and other runs of 16 or more characters with a digit.
+GIVEN = rf"(?<=[=:][\x20\"']{{0,2}})(?<=(?i:{NAMES})[\"']?\x20?[=:]\x20?[\"']?)[^\x20\x09-\x0D\"',;]{{6,}}+"
+LONG = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+"
+TOKEN = f"{GIVEN}|{LONG}"
 #: Key formats, and the words that name credentials.
 FORMATS = r"^(?:AKIA[0-9A-Z]{16}|(?:ghp|gho|ghs)_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{16,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
-GAZETTEER = r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|auth)[\x20:=\"']*$"
+GAZETTEER = rf"(?i)(?:{NAMES})[\x20:=\"']*$"
 ASSIGNED = r"[=:]\x20?[\"']?$"
 PROSE = r"[A-Za-z,.;]\x20$"
 BEFORE = 24
@@ -104,17 +108,24 @@ def judged(token: Column, before: Column) -> dict[str, Column]:
         "by_word": vote(before.rlike(GAZETTEER), before.rlike(r"[A-Za-z]$|^$")),
         "by_context": vote(before.rlike(ASSIGNED), before.rlike(PROSE)),
         "by_shape": vote(share.between(0.15, 0.9) & ~token.rlike(r"[/_-].*[/_-].*[/_-]"), (share < 0.1) | (share == 1)),
-        "size": F.when(n < 20, 0).when(n < 32, 1).otherwise(2),
+        "size": F.when(n < 16, 3).when(n < 20, 0).when(n < 32, 1).otherwise(2),
         "share": F.when(share < 0.15, 0).when(share < 0.6, 1).when(share < 1, 2).otherwise(3),
         "upper": token.rlike("[A-Z]").cast("int"),
         "lower": token.rlike("[a-z]").cast("int"),
     }
 
 
+def kept(docs: DataFrame, keep: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns to keep that docs has, without those named like a result's, whose place the result takes."""
+    own = ("doc_id", *KINDS[:4], "candidates", "base", "spans")
+    return tuple(c for c in dict.fromkeys(keep) if c in (*docs.columns, "text") and c not in own)
+
+
 def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named in keep, base spans and candidates with their votes, one row per document; no shuffle."""
     text = F.col("text")
-    kinds = dict(docs.dtypes)
+    kinds = {"text": "string"} | dict(docs.dtypes)
+    keep = kept(docs, keep)
     slim = columns_or_null(docs, **({c: kinds[c] for c in keep} | {"doc_id": "long", "text": "string"})).withColumn("text", F.coalesce("text", F.lit("")))
     spans = {k: F.transform(v, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k, v in base_spans(text).items()}
     tokens = matches(text, TOKEN, text.rlike(TOKEN))
@@ -190,6 +201,7 @@ def train(found: DataFrame) -> tuple[float, dict[tuple[int, int], float]] | None
 def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named in keep, base (array of start, end, kind number of the base spans) and spans (with the added ones), both in
     order of start, then of kind."""
+    keep = kept(docs, keep)
     found = materialize(find(docs, keep), "spans")
     model = train(found)
 

@@ -42,3 +42,8 @@ def test_edges(spark):
     assert answer(spark, rows, 20, 100) == {(0, 1, 1, 5.0), (0, 2, 2, 5.0)}
     assert answer(spark, [], 20, 100) == set()
     assert answer(spark, [(0, [1.0]), (0, [1.0]), (1, [2.0])], 3, 100) == {(0, 1, 1, 2.0)}
+
+
+def test_empty_vectors_take_no_part(spark):
+    df = spark.createDataFrame([(1, []), (2, [1.0, 2.0]), (3, [2.0, 1.0]), (4, None)], "vec_id long, vector array<double>")
+    assert sorted(map(tuple, kdtree.top_k(df, df, 5).collect())) == [(2, 1, 3, 4.0), (3, 1, 2, 4.0)]

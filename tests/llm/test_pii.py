@@ -75,3 +75,17 @@ def test_reliabilities_side_with_the_majority():
     p = pii.reliabilities([((1, 1, 1, 1), 50), ((0, 0, 0, 0), 50), ((1, 1, -1, 1), 20), ((0, -1, 0, 0), 20)])
     assert p[0] > 0.9 and p[2] > 0.9 and p[1] < 0.1 and p[3] < 0.1
     assert F is not None
+
+
+def test_credentials_of_any_length_and_mix(spark):
+    prose = [f"plain words number {i}, the secret: of it and a token of love" for i in range(60)]
+    keys = ["password: hunter2secret9", "api_key=abc123def456", "passphrase = correct-horse-battery", 'pwd="S3cret!x"', "x " + "k" * 60 + "7" + "f" * 10 + " password=" + "z" * 50 + "9"] * 8
+    got = found(spark, prose + keys)
+    hit = [i for i in got if "secret:" in got[i][1]]
+    assert set(hit) >= set(range(60, 100)) and not [i for i in hit if i < 60]
+
+
+def test_columns_that_clash_are_left_out(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "x", "y")], "doc_id long, text string, email string, spans string")
+    out = pii.detect(df, keep=("text", "email", "spans", "missing"))
+    assert out.columns == ["doc_id", "text", "base", "spans"] and out.count() == 1
