@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import SQL  # noqa: F401  the queries' SQL stands beside them
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
     found = warc.read(warc.merge(warc.write(table(spark, sf_dir, "pages"))))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +103,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_packing, op5_line_quality, op6_bpe_codec, op7_exact_top_k, op8_pii, op9_token_store, op10_warc)
 }
-SQL: dict[str, str] = {}
