@@ -2,6 +2,11 @@
 
 Every stage works on all that its predecessor kept and returns the columns of `documents`, the last one the packed
 pieces. Between stages the documents are written as Parquet and read again.
+
+Rows, in every stage: columns beside those of `documents` are left out, missing ones are null. A null text has neither a
+letter nor a word, so it goes in the first two stages; by itself it is no near-duplicate, has no personal data and packs to
+the closing id. Null or repeated doc_ids stay what they are: each row is decided by itself, and of repeated rows, which are
+near-duplicates, one stays. Ties among near-duplicates go to the smallest id, then to any one row. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -11,28 +16,34 @@ from pyspark.sql import functions as F
 
 from parallaxis.llm import jaccard, langid, packing, pii, quality
 from parallaxis.llm.queries import tokenizer_file
-from parallaxis.llm.runtime import materialize, maybe_broadcast
+from parallaxis.llm.runtime import columns_or_null, materialize, maybe_broadcast
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+KINDS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+COLUMNS = tuple(KINDS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, so without a language, go. The languages are learned from the labelled documents."""
+    """Documents without a letter, so without a language, go. The languages are learned from the labelled documents; where
+    none is labelled, whether a text has a letter still decides."""
+    docs = columns_or_null(docs, **KINDS)
     pieces = tokenizer_file("piece_bpe_32k.model")
-    named = langid.predict(docs, pieces, *langid.train(docs, pieces), keep=COLUMNS[1:])
+    langs, logp = langid.train(docs, pieces)
+    if not langs:
+        return docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
+    named = langid.predict(docs, pieces, langs, logp, keep=COLUMNS[1:])
     return named.where(F.col("lang_pred") != langid.UND).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or keep too few of their words once their host's common lines are taken out, go;
     the others lose those lines, and the character count follows the text."""
-    return quality.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return quality.clean(columns_or_null(docs, **KINDS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, one without an id only where none has one.
     Rows are told apart by a key of their own, so ids may be null or repeated."""
-    keyed = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    keyed = materialize(columns_or_null(docs, **KINDS).withColumn("row", F.monotonically_increasing_id()), "keyed")
     found = materialize(jaccard.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "components")
     several = found.where("row <> component_id").select("component_id").distinct()
     grouped = materialize(found.join(several, "component_id").join(keyed.select("row", "doc_id"), "row"), "grouped")
@@ -43,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is replaced by its kind; the character count follows the text."""
-    clean = pii.redact(pii.detect(docs, keep=COLUMNS[1:]))
+    clean = pii.redact(pii.detect(columns_or_null(docs, **KINDS), keep=COLUMNS[1:]))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
