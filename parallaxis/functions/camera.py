@@ -33,6 +33,46 @@ def fovx_of(focal: Column, width: Column) -> Column:
     return F.degrees(2 * F.atan(width / (2 * focal)))
 
 
+def with_fov(df: DataFrame, degrees: Column) -> DataFrame:
+    """The field of view replaced; one that is not between 0 and 180 degrees ends the query."""
+    good = (degrees > 0) & (degrees < 180)
+    return df.withColumn("fovx_deg", F.when(good, degrees).otherwise(F.raise_error(F.concat(F.lit("field of view must be in (0, 180), not "), F.coalesce(degrees.cast("string"), F.lit("null")))).cast("double")))
+
+
+def with_intrinsics(df: DataFrame, fx_: Column, cx: Column, cy: Column, width: Column | None = None, height: Column | None = None, fy_: Column | None = None) -> DataFrame:
+    """Focal lengths in pixels, principal point and size replaced. A vertical field of view of its own is kept only where the two
+    focal lengths differ."""
+    rows = df.withColumns({"width": (F.col("width") if width is None else width).cast("int"), "height": (F.col("height") if height is None else height).cast("int"), "_fx": fx_, "_fy": fx_ if fy_ is None else fy_})
+    own = F.when(F.abs(F.col("_fy") - F.col("_fx")) > 1e-9, fovx_of(F.col("_fy"), F.col("height")))
+    return rows.withColumns({"fovx_deg": fovx_of(F.col("_fx"), F.col("width")), "fovy_deg": own, "cx": cx.cast("double"), "cy": cy.cast("double")}).drop("_fx", "_fy")
+
+
+def with_size(df: DataFrame, width: int, height: int) -> DataFrame:
+    """Another image size, the principal point in its middle; fields of view stay."""
+    return df.withColumns({"width": F.lit(width), "height": F.lit(height), "cx": F.lit(width / 2), "cy": F.lit(height / 2)})
+
+
+def intrinsic_matrix() -> Column:
+    zero = F.lit(0.0)
+    return v.flat([[fx(), zero, F.col("cx").cast("double")], [zero, fy(), F.col("cy").cast("double")], [zero, zero, F.lit(1.0)]])
+
+
+def from_matrices(df: DataFrame, extrinsic: str, intrinsic: str, signs: tuple[int, ...]) -> DataFrame:
+    """Camera columns of rows with a 4x4 extrinsic in another convention (see flip) and a 3x3 intrinsic matrix, both row-major;
+    the image's size is twice the principal point."""
+    k = v.matrix(intrinsic, 3)
+    rows = df.withColumns({"width": (2 * k[0][2]).cast("int"), "height": (2 * k[1][2]).cast("int"), "w2c": flip(extrinsic, signs)})
+    return with_intrinsics(rows, k[0][0], k[0][2], k[1][2], fy_=k[1][1])
+
+
+def from_quaternion(df: DataFrame, intrinsic: str) -> DataFrame:
+    """Camera columns of rows with qw, qx, qy, qz, tx, ty, tz in the convention of pose folders and an intrinsic matrix."""
+    r = rotation_of(v.cols("qw", "qx", "qy", "qz"))
+    last = [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    rows = df.withColumn("_pose", v.flat([[*row, t] for row, t in zip(r, v.cols("tx", "ty", "tz"), strict=True)] + [last]))
+    return from_matrices(rows, "_pose", intrinsic, CAMERA_FRAME).drop("_pose")
+
+
 def rotation(w2c: str = "w2c") -> list[v.Vec]:
     return [tuple(row[:3]) for row in v.matrix(w2c)[:3]]
 

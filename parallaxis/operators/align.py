@@ -99,7 +99,8 @@ def focus_point(rays: DataFrame, scene: str = "scene") -> DataFrame:
 
 
 def sphere(points: DataFrame, scene: str = "scene") -> DataFrame:
-    """Algebraic least-squares sphere of each scene's points: centre and radius."""
+    """Algebraic least-squares sphere of each scene's points: centre and radius. Points in one plane have no such sphere; for
+    the sphere that a rig's cameras stand on, their views count too: normalize.cameras_sphere."""
     axes = "xyz"
     sq = F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2
     terms = {"x": F.col("x"), "y": F.col("y"), "z": F.col("z"), "1": F.lit(1.0)}

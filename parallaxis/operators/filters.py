@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 AXES = ("x", "y", "z")
 
 
@@ -45,7 +47,7 @@ def octree_core(points: DataFrame, leaf_share: float = 0.01, depths: int = 8, le
     """Points that stay in well-filled leaves at every depth of an octree over the box of those that stayed so far.
 
     A depth that would reject more than `most_rejected` of its points is undone and ends the search. The loop has at most
-    `depths` turns, each one aggregate; what stays is a chain of box predicates and leaf semi-joins, never collected.
+    `depths` turns; leaf counts and what stays are written out, so a turn reads its predecessor's result alone.
     """
     now = points
     for depth in range(1, depths + 1):
@@ -56,7 +58,7 @@ def octree_core(points: DataFrame, leaf_share: float = 0.01, depths: int = 8, le
         grid = 1 << depth
         cells = [F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor((F.col(a) - lo[a]) / (hi[a] - lo[a] or 1.0) * grid))) for a in AXES]
         leaf = (cells[0] * grid + cells[1]) * grid + cells[2]
-        counts = now.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
+        counts = kept(now.groupBy(leaf.alias("leaf")).agg(F.count(F.lit(1)).alias("n")), "leaves")
         top = counts.agg(F.max("n")).first()[0]
         need = max(1, least_leaf, -int(-(top * leaf_share) // 1))
         poor = counts.where(F.col("n") < need)
@@ -64,7 +66,7 @@ def octree_core(points: DataFrame, leaf_share: float = 0.01, depths: int = 8, le
         if rejected / n > max(0.0, most_rejected):
             break
         if rejected:
-            now = now.withColumn("leaf", leaf).join(poor.select("leaf"), "leaf", "left_anti").select(*points.columns)
+            now = kept(now.withColumn("leaf", leaf).join(poor.select("leaf"), "leaf", "left_anti").select(*points.columns), "core")
     return now
 
 
@@ -73,9 +75,9 @@ def main_cluster(points: DataFrame, expand: float = 0.05, least_core: float = 0.
     n = points.count()
     if n < 4:
         return points
-    core = octree_core(points, **octree)
-    kept = core.count()
-    return points if kept == 0 or kept < -int(-(n * least_core) // 1) else expanded_box(points, core, expand)
+    core = kept(octree_core(points, **octree), "core")
+    held = core.count()
+    return points if held == 0 or held < -int(-(n * least_core) // 1) else expanded_box(points, core, expand)
 
 
 def lower_quantile(df: DataFrame, group: str, value: str, share: float, name: str) -> DataFrame:

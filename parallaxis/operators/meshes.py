@@ -60,13 +60,60 @@ def normalize(vertices: DataFrame, size: float = 0.99) -> DataFrame:
     return vertices.join(F.broadcast(b)).select(*[c for c in vertices.columns if c not in "xyz"], *moved)  # b is one row
 
 
+def normalize_half(vertices: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Centred on the box's middle and scaled so that half its longest side has this size."""
+    return normalize(vertices, 2 * scale)
+
+
+def sample_count(area: float, r: int, per_voxel: float = 2.0, most: int = 8_000_000) -> int:
+    """Samples that cover a surface on a grid of r voxels a side: twice the area in squares of 1 / (per_voxel * r), at least as many
+    as one face of the cube has, at most the given number."""
+    grid = (per_voxel * r) ** 2
+    return int(min(most, max(grid, -(-2 * area * grid // 1))))
+
+
+def sample_surface(triangles: DataFrame, n: int, seed: int) -> DataFrame:
+    """n random points of the surface, each triangle by its area: its share of the n, its fraction drawn at random, is generated
+    where it stands, so no task sees all triangles. Of triangles without area there are none; the number is n on average."""
+    area = v.norm(_area_vector()) / 2
+    rows = triangles.select("face_id", *[f"{a}{m}" for m in range(3) for a in "xyz"], area.alias("area")).where("area > 0")
+    whole = rows.agg(F.sum("area")).first()[0] or 1.0
+    want = F.col("area") * (n / whole)
+    rows = rows.withColumn("k", (F.floor(want) + (F.rand(seed) < want - F.floor(want)).cast("int")).cast("int")).where("k > 0")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumns({"_a": F.sqrt(F.rand(seed + 1)), "_b": F.rand(seed + 2)})
+    w = (1 - F.col("_a"), F.col("_a") * (1 - F.col("_b")), F.col("_a") * F.col("_b"))
+    return rows.select("face_id", *[sum((w[m] * F.col(f"{a}{m}") for m in range(3)), F.lit(0.0)).alias(a) for a in "xyz"])
+
+
+def frustum_corners(cameras: DataFrame, far: float = 1.0) -> DataFrame:
+    """(cam_idx, corner, x, y, z): each camera's centre (0) and where the image's corners lie in this depth, from the lower left
+    one around (1 to 4)."""
+    from ..functions import camera as c
+
+    places = F.array(*[F.struct(F.lit(k + 1).alias("corner"), F.lit(float(a)).alias("u"), F.lit(float(b)).alias("v")) for k, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+    rows = cameras.withColumn("p", F.explode(places))
+    around = rows.select("cam_idx", "p.corner", *[x.alias(n) for x, n in zip(c.back_project(F.col("p.u"), F.col("p.v"), F.lit(float(far))), "xyz", strict=True)])
+    return around.unionByName(cameras.select("cam_idx", F.lit(0).alias("corner"), *[x.alias(n) for x, n in zip(c.position(), "xyz", strict=True)]))
+
+
+def line_set(a: DataFrame, b: DataFrame, key: str | None = None) -> DataFrame:
+    """Segments (x0 .. z1) between points: by a common key (one to one, or each key's points with all others of it), or from
+    the single point of a to every point of b."""
+    ends = a.select(*([key] if key else []), *[F.col(n).alias(f"{n}0") for n in "xyz"])
+    to = b.select(*([key] if key else []), *[F.col(n).alias(f"{n}1") for n in "xyz"])
+    if key:
+        return ends.join(to, key)
+    if ends.limit(2).count() > 1:
+        raise ValueError("without a key the first side is one point")
+    return to.join(F.broadcast(ends))  # one row
+
+
 def merge(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """One mesh of several: vertex and face numbers of each part follow those of the parts before it."""
     vs, fs, v_at, f_at = [], [], 0, 0
     for vertices, faces in parts:
         vs.append(vertices.withColumn("vid", F.col("vid") + v_at))
         fs.append(faces.select((F.col("face_id") + f_at).alias("face_id"), *[(F.col(f"v{m}") + v_at).alias(f"v{m}") for m in range(3)]))
-        v_at += (vertices.agg(F.max("vid")).first()[0] or -1) + 1 if vertices.agg(F.max("vid")).first()[0] is not None else 0
-        top = faces.agg(F.max("face_id")).first()[0]
-        f_at += top + 1 if top is not None else 0
+        v_at += vertices.agg(F.coalesce(F.max("vid") + 1, F.lit(0))).first()[0]
+        f_at += faces.agg(F.coalesce(F.max("face_id") + 1, F.lit(0))).first()[0]
     return reduce(DataFrame.unionByName, vs), reduce(DataFrame.unionByName, fs)

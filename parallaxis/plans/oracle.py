@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import pi, sqrt
+from itertools import product
+from math import atan2, pi, sqrt
 
 W, H, FOV = 128, 96, 60.0
 FX = f"({W} / (2 * tan(radians({FOV}) / 2)))"
@@ -42,14 +43,16 @@ def grid(r: int, name: str = "cells") -> str:
     return f"{name} AS (SELECT (id // {r * r})::INT AS i, (id // {r} % {r})::INT AS j, (id % {r})::INT AS k FROM range({r**3}) t(id))"
 
 
-FACE_ROWS = [
-    ((1, 0, 0), ((1, 0, 0), (1, 1, 0), (1, 1, 1), (1, 0, 1))),
-    ((-1, 0, 0), ((0, 0, 0), (0, 0, 1), (0, 1, 1), (0, 1, 0))),
-    ((0, 1, 0), ((0, 1, 0), (0, 1, 1), (1, 1, 1), (1, 1, 0))),
-    ((0, -1, 0), ((0, 0, 0), (1, 0, 0), (1, 0, 1), (0, 0, 1))),
-    ((0, 0, 1), ((0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1))),
-    ((0, 0, -1), ((0, 0, 0), (0, 1, 0), (1, 1, 0), (1, 0, 0))),
-]
+
+
+def _ring(axis: int, ahead: int) -> list[tuple[int, ...]]:
+    """Corners of the unit cube on one of its sides, by their angle around the side's middle; seen from outside, against the clock."""
+    u, w = (axis + 1) % 3, (axis + 2) % 3
+    own = [c for c in product((0, 1), repeat=3) if c[axis] == ahead]
+    return sorted(own, key=lambda c: atan2(c[w] - 0.5, c[u] - 0.5) if ahead else atan2(c[u] - 0.5, c[w] - 0.5))
+
+
+FACE_ROWS = [(tuple((2 * ahead - 1) * (a == axis) for a in range(3)), _ring(axis, ahead)) for axis in range(3) for ahead in (1, 0)]
 SIDES = "sides(face, di, dj, dk) AS (VALUES " + ", ".join(f"({n}, {d[0]}, {d[1]}, {d[2]})" for n, (d, _) in enumerate(FACE_ROWS)) + ")"
 EXPOSED = "exposed AS (SELECT v.i, v.j, v.k, s.face FROM vox v, sides s WHERE NOT EXISTS (SELECT 1 FROM vox o WHERE o.i = v.i + s.di AND o.j = v.j + s.dj AND o.k = v.k + s.dk))"
 HALVES = "halves(face, half, " + ", ".join(f"{a}{m}" for m in range(3) for a in "abc") + ") AS (VALUES " + ", ".join(
@@ -109,7 +112,7 @@ def distances(r: int, mask: str) -> str:
     return f"near AS (SELECT c.i, c.j, c.k, coalesce(min(abs(c.i - m.i) + abs(c.j - m.j) + abs(c.k - m.k)), {3 * r})::INT AS distance FROM cells c LEFT JOIN {mask} m ON TRUE GROUP BY ALL)"
 
 
-SCREEN = f"""corner AS (SELECT cam_idx, face_id, {", ".join(f"r00 * x{m} + r01 * y{m} + r02 * z{m} + t0 AS a{m}, r10 * x{m} + r11 * y{m} + r12 * z{m} + t1 AS b{m}, -(r20 * x{m} + r21 * y{m} + r22 * z{m} + t2) AS w{m}" for m in range(3))} FROM tris, cams WHERE cam_idx IN (3, 11)),
+SCREEN = f"""corner AS (SELECT cam_idx, face_id, {", ".join(f"r00 * x{m} + r01 * y{m} + r02 * z{m} + t0 AS a{m}, r10 * x{m} + r11 * y{m} + r12 * z{m} + t1 AS b{m}, -(r20 * x{m} + r21 * y{m} + r22 * z{m} + t2) AS w{m}" for m in range(3))} FROM tris, cams),
 screen AS (SELECT cam_idx, face_id, {", ".join(f"w{m}, {FX} * a{m} / w{m} + {W / 2} AS px{m}, {H} - ({FX} * b{m} / w{m} + {H / 2}) AS py{m}" for m in range(3))} FROM corner WHERE w0 > 1e-6 AND w1 > 1e-6 AND w2 > 1e-6),
 span AS (SELECT *, greatest(0, ceil(least(px0, px1, px2) - 0.5))::INT AS c0, least({W - 1}, floor(greatest(px0, px1, px2) - 0.5))::INT AS c1, greatest(0, ceil(least(py0, py1, py2) - 0.5))::INT AS q0, least({H - 1}, floor(greatest(py0, py1, py2) - 0.5))::INT AS q1 FROM screen),
 cell AS (SELECT *, r.r + 0.5 AS y, c.c + 0.5 AS x FROM span, range({H}) r(r), range({W}) c(c) WHERE r.r BETWEEN q0 AND q1 AND c.c BETWEEN c0 AND c1),
@@ -126,15 +129,15 @@ SQL: dict[str, str] = {
     "camera_pose_parts": f"WITH {CAMS} SELECT cam_idx, {', '.join(r6(f'p{a}', f'p{a}') for a in AXES)}, {', '.join(r6(f'-r2{i}', f'f{a}') for i, a in enumerate(AXES))}, {', '.join(r6(f'r1{i}', f'u{a}') for i, a in enumerate(AXES))} FROM cams",
     "camera_to_world": f"WITH {CAMS} SELECT cam_idx, {', '.join(r6(f'r{j}{i}' if j < 3 else f'p{AXES[i]}', f'm{i}{j}') for i in range(3) for j in range(4))} FROM cams",
     "camera_flipped_frames": f"WITH {CAMS} SELECT cam_idx, {signed((1, -1, -1, 1, -1, 1, 1, -1, -1, 1, 1, -1), 'a')}, {signed((1, 1, 1, 1, -1, -1, -1, -1, -1, -1, -1, -1), 'b')} FROM cams",
-    "camera_polar_angles": f"WITH {CAMS} SELECT cam_idx, {r6('acos(greatest(-1.0, least(1.0, r22)))', 'phi')}, {r6('atan2(r20, r21)', 'theta')} FROM cams WHERE cam_idx BETWEEN 1 AND 23",
+    "camera_polar_angles": f"WITH {CAMS} SELECT cam_idx, {r6('acos(greatest(-1.0, least(1.0, r22)))', 'phi')}, {r6('CASE WHEN r20 * r20 + r21 * r21 < 1e-24 THEN 0.0 ELSE atan2(r20, r21) END', 'theta')} FROM cams",
     # of a rotation m: 4xx = 1 + m00 - m11 - m22, 4wx = m21 - m12, and so on
-    "camera_quaternions": f"WITH {cameras('2.5', '0.3')}, f AS (SELECT cam_idx, r00 AS a, r01 AS b, r02 AS c, -r10 AS d, -r11 AS e, -r12 AS f, -r20 AS g, -r21 AS h, -r22 AS i, t0, -t1 AS t1, -t2 AS t2 FROM cams) SELECT cam_idx, {r6('(1 + a - e - i) / 4', 'xx')}, {r6('(1 - a + e - i) / 4', 'yy')}, {r6('(1 - a - e + i) / 4', 'zz')}, {r6('(h - f) / 4', 'wx')}, {r6('(c - g) / 4', 'wy')}, {r6('(d - b) / 4', 'wz')}, {r6('t0', 'tx')}, {r6('t1', 'ty')}, {r6('t2', 'tz')} FROM f WHERE cam_idx BETWEEN 1 AND 23",
+    "camera_quaternions": f"WITH {cameras('2.5', '0.3')}, f AS (SELECT cam_idx, r00 AS a, r01 AS b, r02 AS c, -r10 AS d, -r11 AS e, -r12 AS f, -r20 AS g, -r21 AS h, -r22 AS i, t0, -t1 AS t1, -t2 AS t2 FROM cams) SELECT cam_idx, {r6('(1 + a - e - i) / 4', 'xx')}, {r6('(1 - a + e - i) / 4', 'yy')}, {r6('(1 - a - e + i) / 4', 'zz')}, {r6('(h - f) / 4', 'wx')}, {r6('(c - g) / 4', 'wy')}, {r6('(d - b) / 4', 'wz')}, {r6('t0', 'tx')}, {r6('t1', 'ty')}, {r6('t2', 'tz')} FROM f",
     "camera_clip_matrix": f"WITH {CAMS} SELECT cam_idx, {inner_matrix()} FROM cams",
     "look_at_poses": look_at(),
     "project_points": f"WITH {PTS}, {CAMS}, {PROJECTED} SELECT cam_idx, point_id, {r6('u', 'u')}, {r6('v', 'v')}, {r6('depth', 'depth')} FROM proj",
     "points_in_frame": f"WITH {points('6.0')}, {CAMS}, {PROJECTED} SELECT cam_idx, count(*) FILTER (u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1) AS framed, count(*) FILTER (u IS NULL) AS behind FROM proj GROUP BY cam_idx",
     "camera_depth_range": f"WITH {PTS}, {CAMS}, {PROJECTED}, f AS (SELECT cam_idx, greatest(0.5 * min(depth), 1e-4) AS n, max(depth) AS m FROM proj WHERE depth > 0 GROUP BY cam_idx) SELECT cam_idx, {r6('n', 'near')}, {r6('greatest(2 * m, 10 * n)', 'far')} FROM f",
-    "depth_to_world": f"""WITH {CAMS}, {PIXELS}, s AS (SELECT *, (((col + 0.5) / 40.0::DOUBLE) * {W} - 0.5 - {W / 2}) * depth / {FX} - t0 AS a, ((1 - ("row" + 0.5) / 25.0::DOUBLE) * {H} - 0.5 - {H / 2}) * depth / {FX} - t1 AS b, -depth - t2 AS d FROM pix JOIN cams USING (cam_idx) WHERE "row" % 5 = 0 AND col % 5 = 0) SELECT cam_idx, "row", col, {", ".join(r6(f"r0{i} * a + r1{i} * b + r2{i} * d", a) for i, a in enumerate(AXES))} FROM s""",
+    "depth_to_world": f"""WITH {CAMS}, {PIXELS}, s AS (SELECT *, (((col + 0.5) / 40.0::DOUBLE) * {W} - 0.5 - {W / 2}) * depth / {FX} - t0 AS a, ((1 - ("row" + 0.5) / 25.0::DOUBLE) * {H} - 0.5 - {H / 2}) * depth / {FX} - t1 AS b, -depth - t2 AS d FROM pix JOIN cams USING (cam_idx)) SELECT cam_idx, "row", col, {", ".join(r6(f"r0{i} * a + r1{i} * b + r2{i} * d", a) for i, a in enumerate(AXES))} FROM s""",
     "depth_confidence_quantile": f"WITH {PIXELS}, o AS (SELECT cam_idx, conf, row_number() OVER (PARTITION BY cam_idx ORDER BY conf) AS r, count(*) OVER (PARTITION BY cam_idx) AS n FROM pix) SELECT cam_idx, conf AS least FROM o WHERE r = floor(0.34 * (n - 1)) + 1",
     "depth_mask_pixels": f"""WITH {PIXELS}, o AS (SELECT cam_idx, conf, row_number() OVER (PARTITION BY cam_idx ORDER BY conf) AS r, count(*) OVER (PARTITION BY cam_idx) AS n FROM pix), q AS (SELECT cam_idx, conf AS least FROM o WHERE r = floor(0.8 * (n - 1)) + 1) SELECT cam_idx, "row", col, depth, conf FROM pix JOIN q USING (cam_idx) WHERE mask AND depth > 1e-5 AND depth < 1e5 AND conf >= least""",
     "depth_visualised": f"WITH {PIXELS}, m AS (SELECT cam_idx, min(depth) AS lo, max(depth) AS hi FROM pix GROUP BY cam_idx), s AS (SELECT cam_idx, greatest(0.0, least(1.0, (depth - lo) / (hi - lo + 1e-8))) AS shade FROM pix JOIN m USING (cam_idx)) SELECT cam_idx, {r6('avg(shade)', 'mean')}, {r6('max(shade)', 'top')}, sum(floor(greatest(0.0, least(255.0, round(shade, 9) * 255)))::INT)::BIGINT AS bytes FROM s GROUP BY cam_idx",
@@ -146,7 +149,7 @@ SQL: dict[str, str] = {
     "nearest_cameras": nearest(False),
     "polar_nearest_cameras": nearest(True),
     "camera_match_cost": f"WITH {CAMS}, {cameras('2.7', '0.21', 'alt')}, p AS (SELECT c.cam_idx AS c_idx, r.cam_idx AS r_idx, sqrt((c.px - r.px) * (c.px - r.px) + (c.py - r.py) * (c.py - r.py) + (c.pz - r.pz) * (c.pz - r.pz)) AS d, greatest({angle(*[(f'c.r2{i}', f'r.r2{i}') for i in range(3)])}, {angle(*[(f'c.r1{i}', f'r.r1{i}') for i in range(3)])}) AS g FROM alt c, cams r) SELECT c_idx, r_idx, {r6('d / 2.5 / 0.15 + g / 15.0', 'cost')}, round(g, 4) AS angle FROM p",
-    "view_spread": f"WITH {CAMS} SELECT round(coalesce(max({angle(*[(f'a.r2{i}', f'b.r2{i}') for i in range(3)])}), 0.0), 4) AS angle FROM cams a JOIN cams b ON a.cam_idx < b.cam_idx WHERE b.cam_idx < 9",
+    "view_spread": f"WITH {CAMS} SELECT round(coalesce(max({angle(*[(f'a.r2{i}', f'b.r2{i}') for i in range(3)])}), 0.0), 4) AS angle FROM cams a JOIN cams b ON a.cam_idx < b.cam_idx",
     "trajectory_radius": f"WITH {CAMS}, m AS (SELECT avg(px) AS mx, avg(py) AS my, avg(pz) AS mz FROM cams) SELECT {r6('median(sqrt((px - mx) * (px - mx) + (py - my) * (py - my) + (pz - mz) * (pz - mz)))', 'radius')} FROM cams, m",
     "voxel_counts": "WITH d AS (SELECT (l_quantity - 25.5) / 49.0 AS x, (l_extendedprice - 52500.0) / 105000.0 AS y, l_discount / 0.1::DOUBLE - 0.5 AS z FROM lineitem) SELECT greatest(0, least(15, floor((x + 0.5) * 16)))::INT AS i, greatest(0, least(15, floor((y + 0.5) * 16)))::INT AS j, greatest(0, least(15, floor((z + 0.5) * 16)))::INT AS k, count(*) AS n FROM d WHERE abs(x) <= 0.5 AND abs(y) <= 0.5 AND abs(z) <= 0.5 GROUP BY ALL",
     "voxelized_points": f"WITH {points('4.0')}, {voxels('pts', 8)} SELECT i, j, k, (i::BIGINT * 8 + j) * 8 + k AS flat FROM vox",
@@ -183,3 +186,9 @@ n AS (SELECT *, ey * fz - ez * fy AS nx, ez * fx - ex * fz AS ny, ex * fy - ey *
     "view_focus": "SELECT 0 AS scene, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z",
     "camera_sphere": "SELECT 0 AS scene, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, 2.5::DOUBLE AS radius",
 }
+# the same under the names that were over the whole tables first
+SQL |= {f"{k}_all": SQL[k] for k in ("camera_polar_angles", "camera_quaternions", "depth_to_world", "view_spread", "z_buffer")}
+# farthest-point order: the one not yet taken whose nearest taken one is farthest
+SQL["farthest_cameras"] = f"""WITH RECURSIVE {CAMS}, gaps AS (SELECT a.cam_idx AS a, b.cam_idx AS b, round((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) + (a.pz - b.pz) * (a.pz - b.pz), 12) AS d FROM cams a, cams b),
+taken AS (SELECT 0 AS turn, [min(cam_idx)] AS ids FROM cams UNION ALL SELECT turn + 1, list_append(ids, (SELECT g.a FROM gaps g WHERE NOT list_contains(ids, g.a) AND list_contains(ids, g.b) GROUP BY g.a ORDER BY min(g.d) DESC, g.a LIMIT 1)) FROM taken WHERE turn < 5)
+SELECT ids[turn + 1]::INT AS cam_idx, turn::INT AS turn FROM taken"""

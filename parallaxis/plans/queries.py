@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import camera as c
 from ..functions import vector as v
-from ..operators import align, filters, generate, images, matching, meshes, raster, small, voxels
+from ..operators import align, filters, generate, images, matching, meshes, normalize, raster, small, voxels
 from ..sources import colmap
 from ..sources import fixtures as fx
 from .visible import mark_visible
@@ -60,7 +60,6 @@ def camera_flipped_frames(spark, sf_dir):
     return m.select("cam_idx", *[r6(F.col(n)[4 * i + j], f"{n}{i}{j}") for n in "ab" for i in range(3) for j in range(4)])
 
 
-# The SQL of five queries is over some cameras or pixels only; each has an _all twin over the whole tables.
 @query
 def camera_polar_angles_all(spark, sf_dir):
     phi, theta = c.polar()
@@ -69,12 +68,12 @@ def camera_polar_angles_all(spark, sf_dir):
 
 @query
 def camera_polar_angles(spark, sf_dir):
-    return camera_polar_angles_all(spark, sf_dir).where("cam_idx between 1 and 23")
+    return camera_polar_angles_all(spark, sf_dir)
 
 
 @query
 def camera_quaternions(spark, sf_dir):
-    return camera_quaternions_all(spark, sf_dir).where("cam_idx between 1 and 23")
+    return camera_quaternions_all(spark, sf_dir)
 
 
 @query
@@ -122,7 +121,7 @@ def camera_depth_range(spark, sf_dir):
 
 @query
 def depth_to_world(spark, sf_dir):
-    return depth_to_world_all(spark, sf_dir).where("row % 5 = 0 and col % 5 = 0")
+    return depth_to_world_all(spark, sf_dir)
 
 
 @query
@@ -205,7 +204,7 @@ def camera_assignment(spark, sf_dir):
 
 @query
 def view_spread(spark, sf_dir):
-    return matching.max_view_angle(fx.cameras(spark, sf_dir).where("cam_idx < 9")).select(F.round("angle_deg", 4).alias("angle"))
+    return view_spread_all(spark, sf_dir)
 
 
 @query
@@ -340,7 +339,7 @@ def nearest_faces(spark, sf_dir, cameras):
 
 @query
 def z_buffer(spark, sf_dir):
-    return nearest_faces(spark, sf_dir, fx.cameras(spark, sf_dir).where("cam_idx in (3, 11)"))
+    return z_buffer_all(spark, sf_dir)
 
 
 @query
@@ -407,5 +406,4 @@ def view_focus(spark, sf_dir):
 
 @query
 def camera_sphere(spark, sf_dir):
-    at = fx.cameras(spark, sf_dir).select(F.lit(0).alias("scene"), *[x.alias(n) for x, n in zip(c.position(), "xyz", strict=True)])
-    return align.sphere(at).select("scene", *xyz(v.cols("x", "y", "z")), r6("radius", "radius"))
+    return normalize.cameras_sphere(fx.cameras(spark, sf_dir).withColumn("scene", F.lit(0))).select("scene", *xyz(v.cols("x", "y", "z")), r6("radius", "radius"))

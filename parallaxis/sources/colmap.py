@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,12 +72,27 @@ def poses(frame: DataFrame) -> DataFrame:
     return flipped.select("cam_idx", *[x.alias(n) for x, n in zip((*c.quaternion(c.rotation()), *c.translation()), ("qw", "qx", "qy", "qz", "tx", "ty", "tz"), strict=True)])
 
 
+def _write_file(lines: DataFrame, path: str) -> None:
+    """Lines as one plain text file: written by one task beside it, then moved to its name."""
+    spark = lines.sparkSession
+    beside = f"{path}.{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(beside)
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(beside)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs.delete(target, True)
+    fs.rename(part, target)
+    fs.delete(at, True)
+
+
 def write(frame: DataFrame, folder: str) -> None:
     """cameras.txt with the first camera's intrinsics for all, and images.txt with two lines per image. One file each, in
     order: these are lists of views, not data. An existing folder is replaced."""
     first = frame.orderBy("cam_idx").limit(1)
     line = F.concat_ws(" ", F.lit("1 PINHOLE"), "width", "height", c.fx(), c.fy(), "cx", "cy")
-    first.select(F.concat(F.lit("# CAMERA_ID MODEL WIDTH HEIGHT PARAMS\n"), line)).coalesce(1).write.mode("overwrite").text(f"{folder}/cameras.txt")
+    _write_file(first.select(F.concat(F.lit("# CAMERA_ID MODEL WIDTH HEIGHT PARAMS\n"), line)), f"{folder}/cameras.txt")
     rows = poses(frame).withColumn("name", F.concat(F.format_string("%06d", F.col("cam_idx") + 1), F.lit(".png")))
     lines = rows.orderBy("cam_idx").select(F.concat(F.concat_ws(" ", F.col("cam_idx") + 1, "qw", "qx", "qy", "qz", "tx", "ty", "tz", F.lit(1), "name"), F.lit("\n")))
-    lines.coalesce(1).write.mode("overwrite").text(f"{folder}/images.txt")
+    _write_file(lines, f"{folder}/images.txt")

@@ -67,13 +67,13 @@ def obj_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     negative numbers count from the end."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
     tokens = lambda head: F.transform(F.filter("lines", lambda x: F.trim(x).startswith(head + " ")), lambda x: F.split(F.trim(x), r"\s+"))
-    vertices = whole.select("file", F.posexplode(tokens("v")).alias("vid", "p")).select("file", "vid", *[F.col("p")[i + 1].cast("double").alias(n) for i, n in enumerate("xyz")])
+    vertices = whole.select("file", F.posexplode(tokens("v")).alias("vid", "p")).select("file", "vid", *[F.get("p", F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate("xyz")])
     number = F.size(tokens("v"))
     rows = whole.select("file", number.alias("n"), F.posexplode(tokens("f")).alias("polygon", "p"))
-    rows = rows.withColumn("ids", F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: F.split(x, "/")[0].cast("int")))
+    rows = rows.withColumn("ids", F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: F.split(x, "/")[0].try_cast("int")))
     rows = rows.withColumn("ids", F.transform("ids", lambda i: F.when(i < 0, i + F.col("n")).otherwise(i - 1))).where(F.size("ids") >= 3)
     fans = rows.select("file", "polygon", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ids") - 2), lambda k: F.array(F.col("ids")[0], F.get("ids", k), F.get("ids", k + 1)))).alias("part", "t"))
-    faces = fans.select("file", (F.col("polygon").cast("long") * 65536 + F.col("part")).alias("face_id"), *[F.col("t")[m].alias(f"v{m}") for m in range(3)])
+    faces = fans.select("file", (F.col("polygon").cast("long") * (1 << 31) + F.col("part")).alias("face_id"), *[F.col("t")[m].alias(f"v{m}") for m in range(3)])
     return vertices, faces
 
 

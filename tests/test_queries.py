@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from parallaxis.plans.oracle import SQL
-from parallaxis.plans.queries import QUERIES
+from parallaxis.plans import oracle, queries, scenes, scenes_oracle
 from parallaxis.plans.visible import mark_visible
 from parallaxis.sources import fixtures
 
+QUERIES, SQL = queries.QUERIES | scenes.QUERIES, oracle.SQL | scenes_oracle.SQL
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
@@ -50,35 +50,6 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-WHOLE = {
-    "camera_polar_angles": " WHERE cam_idx BETWEEN 1 AND 23",
-    "camera_quaternions": " WHERE cam_idx BETWEEN 1 AND 23",
-    "depth_to_world": ' WHERE "row" % 5 = 0 AND col % 5 = 0',
-    "view_spread": " WHERE b.cam_idx < 9",
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_query_equals_sql_without_its_subset(spark, con, sf, name):
-    sql = SQL[name].replace(WHOLE[name], "")
-    assert sql != SQL[name]
-    names, rows = in_order(*((found := con.execute(sql)) and ([d[0] for d in found.description], found.fetchall())))
-    df = QUERIES[f"{name}_all"](spark, sf)
-    mine, own = in_order(df.columns, df.collect())
-    if name == "camera_polar_angles":  # the azimuth of the poles is 0; SQL gives rounding noise there
-        assert {r[0] for r in own} == set(range(25)) and [r[2] for r in own if r[0] in (0, 24)] == [0.0, 0.0]
-        own, rows = ([r if r[0] not in (0, 24) else r[:2] for r in x] for x in (own, rows))
-    assert mine == names and own == rows
-
-
-def test_z_buffer_of_all_cameras(spark, con, sf):
-    got = QUERIES["z_buffer_all"](spark, sf).collect()
-    assert {r["cam_idx"] for r in got} == set(range(25))
-    sql = SQL["z_buffer"].replace("IN (3, 11)", "IN (0, 24)")
-    assert sql != SQL["z_buffer"]
-    assert sorted(tuple(r) for r in got if r["cam_idx"] in (0, 24)) == sorted(con.execute(sql).fetchall())
-
-
 def test_labels_take_all_cameras(spark, sf):
     count = lambda cameras: {r["label"]: r["count"] for r in mark_visible(fixtures.points(spark, sf, 2.0), cameras, 8).groupBy("label").count().collect()}
     got = {r["label"]: r["n"] for r in QUERIES["mark_visible_labels"](spark, sf).collect()}
