@@ -350,3 +350,58 @@ def test_fields_of_view_are_checked(spark):
     two = c.with_intrinsics(cams, F.lit(50.0), F.lit(31.0), F.lit(23.0), fy_=F.lit(60.0)).select(c.fx(), c.fy(), "cx").first()
     assert tuple(two) == pytest.approx((50, 60, 31))
     assert c.with_intrinsics(cams, F.lit(50.0), F.lit(31.0), F.lit(23.0)).where("fovy_deg is null").count() == 2
+
+
+def test_cameras_from_points_and_pixels(spark):
+    from parallaxis.operators import resection
+
+    rng = np.random.default_rng(4)
+    truth = cameras(spark, rig(4, seed=2)).withColumn("fovx_deg", 55.0 + F.col("cam_idx"))
+    points = spark.createDataFrame([tuple(map(float, p)) for p in rng.normal(size=(30, 3))], "x double, y double, z double")
+    pairs = c.project(points.crossJoin(truth), v.cols("x", "y", "z")).where("u is not null")
+    start = truth.withColumn("fovx_deg", F.lit(60.0)).withColumn("w2c", F.lit(None).cast("array<double>"))
+    got = {r["cam_idx"]: r for r in resection.resection(pairs, start, focal_weight=0.0).collect()}
+    for r in truth.collect():
+        assert got[r["cam_idx"]]["w2c"] == pytest.approx(r["w2c"], abs=1e-6) and got[r["cam_idx"]]["fovx_deg"] == pytest.approx(r["fovx_deg"], abs=1e-6)
+    assert resection.resection(pairs.where("cam_idx > 0 or x > 99"), start, rounds=1).count() == 3
+    # a held focal length stays between the start and the truth
+    near = {r["cam_idx"]: r["fovx_deg"] for r in resection.resection(pairs, start).collect()}
+    assert all(min(60, 55 + i) - 0.01 <= near[i] <= max(60, 55 + i) + 0.01 for i in near)
+
+
+def test_camera_files_round_trip(spark, tmp_path):
+    from parallaxis.sources import poses
+
+    cams = cameras(spark, rig(3)).drop("scene")
+    same = lambda a, b: {r["cam_idx"]: pytest.approx(r["w2c"], abs=1e-9) for r in a.collect()} == {r["cam_idx"]: r["w2c"] for r in b.collect()}
+    poses.write_records(cams, str(tmp_path / "r"))
+    poses.write_records(cams.limit(0), str(tmp_path / "r"))
+    assert same(poses.read_records(spark, str(tmp_path / "r")), cams)
+    poses.write_records(cams.limit(1), str(tmp_path / "r"), overwrite=True)
+    assert poses.read_records(spark, str(tmp_path / "r")).count() == 1
+    poses.write_view_texts(cams, str(tmp_path / "t"))
+    back = poses.read_view_texts(spark, str(tmp_path / "t" / "*"), 64, 48).withColumn("cam_idx", F.regexp_extract("file", r"name=(\d+)", 1).cast("int") - 1)
+    assert same(back, cams) and back.first()["fovx_deg"] == pytest.approx(60)
+    assert same(poses.from_stacked(poses.stacked(cams)), cams)
+    named = cams.withColumn("image_id", F.when(F.col("cam_idx") > 0, "a"))
+    with pytest.raises(ValueError, match="image_id"):
+        poses.check_image_ids(named)
+    poses.check_image_ids(named.where("cam_idx > 0"))
+
+
+def test_light_of_an_even_environment(spark):
+    from parallaxis.operators import lighting
+
+    env = spark.createDataFrame([(r, k, 0.5, 1.0, 2.0) for r in range(32) for k in range(64)], "row int, col int, r double, g double, b double")
+    sh = lighting.project_sh9(env, 64, 32)
+    normals = spark.createDataFrame([(i, *map(float, n / np.linalg.norm(n))) for i, n in enumerate(np.random.default_rng(0).normal(size=(9, 3)))], "id int, nx double, ny double, nz double")
+    for r in lighting.with_irradiance(normals, ("nx", "ny", "nz"), sh).collect():
+        assert (r["er"], r["eg"], r["eb"]) == pytest.approx((0.5 * np.pi, np.pi, 2 * np.pi), rel=0.01)
+    px = normals.select("id", "nx", "ny", "nz", *[F.col(f"n{a}").alias(f"v{a}") for a in "xyz"])
+    level = (env, 64, 32)
+    out = lighting.shade_environment(px, sh, [level, level], 0.5, 0.0)
+    got = out.collect()
+    assert len(got) == 9 and all(0 < r["r"] < r["g"] < r["b"] <= 1 for r in got) and max(r["g"] for r in got) - min(r["g"] for r in got) < 0.01
+    pole = spark.createDataFrame([(0.0, 1.0, 0.0), (0.0, 0.0, -1.0), (1.0, 0.0, 0.0)], "x double, y double, z double")
+    at = pole.select(*[e.alias(n) for e, n in zip(lighting.place_of(v.cols("x", "y", "z")), "uv", strict=True)]).collect()
+    assert at[0]["v"] == pytest.approx(1) and tuple(at[1]) == pytest.approx((0.5, 0.5)) and at[2]["u"] == pytest.approx(0.75)
