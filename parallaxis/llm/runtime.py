@@ -14,8 +14,16 @@ _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch at most: rows are whole documents, and every task holds a few batches on both sides.
+ARROW_ROWS = 2000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so tasks import it wherever they run."""
+    """Send this package to the executors once per application, so tasks import it wherever they run, and keep the session's
+    Arrow batches to ARROW_ROWS rows (smaller ones stay as they are set)."""
+    if not 0 < int(spark.conf.get(_ROWS_KEY)) <= ARROW_ROWS:
+        spark.conf.set(_ROWS_KEY, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
