@@ -47,3 +47,24 @@ def test_edges(spark):
 def test_empty_vectors_take_no_part(spark):
     df = spark.createDataFrame([(1, []), (2, [1.0, 2.0]), (3, [2.0, 1.0]), (4, None)], "vec_id long, vector array<double>")
     assert sorted(map(tuple, kdtree.top_k(df, df, 5).collect())) == [(2, 1, 3, 4.0), (3, 1, 2, 4.0)]
+
+
+def test_cells_part_the_space_and_deal_out_equal_vectors():
+    rng = np.random.default_rng(1)
+    x = np.concatenate((rng.normal(size=(2000, 5)), np.ones((1000, 5))))
+    cells = kdtree.Cells(x, 12)
+    at = cells.place(x, np.arange(len(x)))
+    sizes = np.bincount(at, minlength=cells.shards)
+    assert 12 <= cells.shards <= 20 and sizes.min() > 0 and sizes.max() < 600
+    assert len(set(at[2000:])) >= 4, "equal vectors are in several shards"
+    assert (kdtree.Cells(np.zeros((70, 3)), 5).place(np.zeros((10, 3)), np.arange(10)) == np.arange(10) % 5).all()
+
+
+def test_many_shards_widths_and_equal_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(900)] + [(2000 + i, [1.0] * 6) for i in range(200)] + [(3000 + i, rng.integers(-9, 9, 2).astype(float).tolist()) for i in range(90)]
+    want = brute(rows, {i: v for i, v in rows if i % 5 == 0}, 7)
+    monkeypatch.setattr(kdtree, "CHUNK", 20)
+    assert answer(spark, rows, 7, 64) == want
+    monkeypatch.setattr(kdtree, "MOST_BOXES", 3)
+    assert answer(spark, rows, 7, 64) == want
