@@ -1,4 +1,8 @@
-"""Connected components of an edge table by alternating large and small stars, all in Spark."""
+"""Connected components of an edge table by alternating large and small stars, all in Spark.
+
+Edges with a null end and edges of a node with itself are left out; repeated and reversed edges count once. A component is
+named by its smallest node, so there are no ties. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from .runtime import materialize
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the smallest node reached) of every node of an edge; each round's edges are written out."""
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u <> v").distinct(), "edges")
     while True:
         # large star: every larger neighbour is tied to the smallest neighbour
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -43,6 +43,16 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def check_rules(spec: dict, path: str) -> None:
+    """The splitting of words and the joining of tokens here are those of one kind of vocabulary file; others are refused."""
+    normal, split, model = (spec.get("normalizer") or {}), (spec.get("pre_tokenizer") or {}), spec["model"]
+    steps = [x["type"] for x in normal.get("normalizers", [])]
+    pieces = [x["type"] for x in split.get("pretokenizers", [])]
+    plain = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("ignore_merges"))
+    if model["type"] != "BPE" or not model.get("end_of_word_suffix") or steps != ["NFC", "Replace", "Lowercase"] or pieces != ["Split", "ByteLevel"] or spec.get("decoder") is not None or not plain:
+        raise ValueError(f"{path}: not a lower-case byte-level BPE vocabulary with word ends and without a decoder")
+
+
 class TrieEncoder:
     """Encodes words of a byte-level BPE vocabulary with word-end symbols."""
 
@@ -54,6 +64,7 @@ class TrieEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_rules(spec, path)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -212,6 +223,7 @@ class TokenTable:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_rules(spec, path)
         known = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.texts = [b""] * (max(known.values()) + 1)
         for t, i in known.items():

@@ -50,3 +50,11 @@ def test_a_full_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(wordbpe, "CACHE_WORDS", 10)
     monkeypatch.setattr(wordbpe, "CACHE_PAIRS", 10)
     same([" ".join(f"word{i}{k}" for k in range(8)) for i in range(30)])
+
+
+def test_other_vocabularies_are_refused():
+    import pytest
+
+    for kind in (wordbpe.TrieEncoder, wordbpe.TokenTable):
+        with pytest.raises(ValueError):
+            kind(tokenizer_file("byte_bpe_50k.json"))
