@@ -130,9 +130,15 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
 
-def signature_groups(docs: DataFrame) -> DataFrame:
-    """Groups of two or more classes with a signature in common: key, f1, flags and the group's size."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Elements of sets whose signatures one bucket has, about: buckets grow in number with the input, not in size.
+BUCKET_ELEMENTS = 8_000_000
+#: Fingerprints of sets that a task remembers, to leave out copies early; the signatures' groups see to the rest.
+SEEN = 1_000_000
+
+
+def signature_groups(docs: DataFrame, elements: int) -> DataFrame:
+    """Groups of two or more classes with a signature in common: key, f1, flags and the group's size. elements: of all sets."""
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), elements // BUCKET_ELEMENTS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed signatures (48 bits of key, 12 of document, 4 of flags) dealt to buckets, some thousand documents at a time."""
@@ -167,6 +173,8 @@ def signature_groups(docs: DataFrame) -> DataFrame:
                 f, _ = fingerprints(s)
                 fresh = np.array([x not in seen and not seen.add(x) for x in f.tolist()], bool) & (s.size >= LEAST)
                 key, doc, flags = signatures(tk.Sets(s.doc, s.element, np.where(fresh, s.size, 0)))
+                if len(seen) > SEEN:
+                    seen.clear()
                 if docs + len(f) >= tk.BLOCK_DOCS or rows + len(key) > 1_000_000:
                     yield from flush()
                 held.append((key, ((key & U((1 << 48) - 1)) << U(16)) | ((doc + docs).astype(U) << U(4)) | flags))
@@ -343,7 +351,8 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = columns_or_null(docs, doc_id="long", text="string")
     known = materialize(profiles(docs), "profiles")
     classes = materialize(known.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    groups = materialize(signature_groups(docs.where("doc_id is not null")), "groups")
+    elements = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    groups = materialize(signature_groups(docs.where("doc_id is not null"), elements), "groups")
     side = lambda name: classes.select(F.col("f1").alias(name), F.col("rep").alias(f"{name}_rep"), F.col("n_shingles").alias(f"{name}_n"))
     # first each group's members with its leader, the one with most company in all groups: groups of one cluster have the same
     company = materialize(groups.groupBy("f1").agg(F.sum("size").alias("company")), "company")

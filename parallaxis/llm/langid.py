@@ -137,31 +137,57 @@ def log_scores(vocab: Vocabulary, words: list[str], logp: np.ndarray) -> np.ndar
     for part, points in by_length([words[i] for i in short], max(64, 80_000 // logp.shape[1])):  # bounded whatever the languages' number
         out[np.array(short)[part]] = np.log(forward(vocab.lattice(points), p)[-1]) - points.shape[1] * np.log(SCALE)
     for i in [i for i, w in enumerate(words) if len(w) > LONG_WORD]:
-        out[i] = forward_log(vocab, words[i], logp)[0][-1]
+        out[i] = forward_log(vocab, words[i], logp)
     return out
 
 
-def forward_log(vocab: Vocabulary, word: str, logp: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Log-probability (end, language) of all segmentations of one marked word up to there, and for each end the sizes and ids
-    of the pieces that end there. For words of any length: there is no scale to run out of."""
-    points = np.frombuffer((MARK + word).encode("utf-32-le"), "<u4")[None, :]
-    arcs = [[(k, int(ids[0])) for k, ids in enumerate(sizes, 1) if ids[0] or k == 1] for sizes in vocab.lattice(points)]
-    alpha = np.zeros((len(arcs) + 1, logp.shape[1]))
-    for end, pieces in enumerate(arcs, 1):
-        alpha[end] = np.logaddexp.reduce([alpha[end - k] + logp[i] for k, i in pieces])
-    return alpha, arcs
+def long_pieces(vocab: Vocabulary, word: str) -> list[np.ndarray]:
+    """Of one marked word the piece ids of each size, by the place where they start; 0 where there is none."""
+    terms = np.frombuffer((MARK + word).encode("utf-32-le"), "<u4").astype(np.uint64) * _M
+    h, out = terms, []
+    with np.errstate(over="ignore"):
+        for k in range(min(vocab.longest, len(terms))):
+            h = h[:-1] * np.uint64(0x5851F42D4C957F2D) + terms[k:] if k else h
+            out.append(vocab.find(h))
+    return out
+
+
+def _chain(ids: list[np.ndarray], logp: np.ndarray, back: bool) -> np.ndarray:
+    """Log-probability (place, language) of all segmentations of the word up to each place, or from it to the end. Logarithms, so
+    words of any length have a sum; places in blocks, so memory grows with the word alone."""
+    n, most = len(ids[0]), len(ids)
+    none = np.full((most, logp.shape[1]), -np.inf)
+    # the other end of an arc of size k is k places before (or after); what lies beyond the word is never reached
+    out = np.concatenate((none, np.zeros((1, logp.shape[1])), np.full((n, logp.shape[1]), -np.inf)))
+    for lo in range(0, n, 4096):
+        at = np.arange(lo, min(lo + 4096, n))  # the at + 1-th place from the side that the chain starts on
+        arcs = np.full((len(at), most, logp.shape[1]), -np.inf)
+        for k in range(1, most + 1):
+            start = n - 1 - at if back else at + 1 - k
+            live = np.flatnonzero((start >= 0) & (start + k <= n))
+            own = ids[k - 1][start[live]]
+            known = live[(own > 0) | (k == 1)]
+            arcs[known, most - k] = logp[ids[k - 1][start[known]]]
+        for i, p in zip(at.tolist(), arcs, strict=True):
+            x = out[i + 1 : i + 1 + most] + p
+            top = x.max(0)
+            out[i + 1 + most] = top + np.log(np.exp(x - top).sum(0))
+    return out[most:][::-1] if back else out[most:]
+
+
+def forward_log(vocab: Vocabulary, word: str, logp: np.ndarray) -> np.ndarray:
+    """Log-probability of one long word in each language, over all segmentations."""
+    return _chain(long_pieces(vocab, word), logp, back=False)[-1]
 
 
 def expect_long(vocab: Vocabulary, word: str, count: float, logp: np.ndarray, expected: np.ndarray) -> None:
     """Add a long word's expected piece counts."""
-    alpha, arcs = forward_log(vocab, word, logp)
-    beta = np.full(len(alpha), -np.inf)
-    beta[-1] = 0
-    for end in range(len(arcs), 0, -1):
-        for k, i in arcs[end - 1]:
-            flow = beta[end] + logp[i, 0]
-            expected[i] += count * np.exp(alpha[end - k, 0] + flow - alpha[-1, 0])
-            beta[end - k] = np.logaddexp(beta[end - k], flow)
+    ids = long_pieces(vocab, word)
+    alpha, beta = (_chain(ids, logp, back)[:, 0] for back in (False, True))
+    for k, own in enumerate(ids, 1):
+        start = np.flatnonzero((own > 0) | (k == 1))
+        flow = alpha[start] + logp[own[start], 0] + beta[start + k] - alpha[-1]
+        expected += np.bincount(own[start], count * np.exp(flow), len(expected))
 
 
 def fit(vocab: Vocabulary, words: list[str], counts: np.ndarray, rounds: int = 4) -> np.ndarray:

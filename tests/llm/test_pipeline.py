@@ -54,3 +54,32 @@ def test_one_row_of_each_group_stays_whatever_its_ids(spark):
     docs = spark.createDataFrame([(*r, "en", "host", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=repr) == sorted([(3, text(0) + " more"), (None, text(1)), (5, text(2)), (5, text(3)), (None, "few words")], key=repr)
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, row long, kept boolean, spans string"
+
+
+def test_stages_on_nulls_repeats_and_clashing_names(spark):
+    words = lambda k: " ".join(f"word{'abcdefgh'[k]}{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(80))
+    rows = [(1, words(1), "en", "a", 5), (1, words(1), "en", "a", 5), (None, words(2), None, None, None), (None, None, None, None, None), (3, "", "en", "a", 0), (4, "123 !", "en", "a", 5), (5, words(3) + " mail me@x.org", "fr", "b", 9), (6, "x" * 100_000, "fr", "b", 1), (7, words(4) * 100, "en", "a", 1)]
+    docs = spark.createDataFrame([(*r, 9, True, "clash") for r in rows], EDGES).repartition(3)
+    docs = corpus_pipeline.language_id(spark, docs, "")
+    assert sorted(map(repr, (r["doc_id"] for r in docs.collect()))) == sorted(map(repr, (1, 1, None, 5, 6, 7)))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs.withColumn("row", docs.doc_id).withColumn("kept", docs.doc_id.isNull()).withColumn("spans", docs.text), "")
+        assert docs.columns == list(corpus_pipeline.COLUMNS), name
+    out = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(out) == {1, None, 5} and docs.count() == 3 and out[5].endswith("mail [EMAIL]")
+    packed = corpus_pipeline.pack(spark, docs, "").collect()
+    assert {r["doc_id"] for r in packed} == {1, None, 5}
+
+
+def test_stages_on_an_empty_table_and_without_labels(spark):
+    docs = spark.createDataFrame([], EDGES)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0
+    rows = [(1, "some text", None, "a", 9), (2, "12 -", None, "a", 4)]
+    got = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert [r["doc_id"] for r in got.collect()] == [1]
+    assert corpus_pipeline.language_id(spark, spark.createDataFrame([(1, None)], "doc_id long, lang string"), "").count() == 0
