@@ -31,8 +31,8 @@ def r5(x, name: str):
 
 
 def rig(spark, sf_dir) -> DataFrame:
-    """Cameras of two scenes, none at a pole."""
-    return fx.cameras(spark, sf_dir, phase=0.3).where("cam_idx between 1 and 23").withColumn("scene", F.col("cam_idx") % 2)
+    """Cameras of two scenes."""
+    return fx.cameras(spark, sf_dir, phase=0.3).withColumn("scene", F.col("cam_idx") % 2)
 
 
 def turned(spark) -> DataFrame:

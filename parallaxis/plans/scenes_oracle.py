@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .oracle import AXES, BOUNDARY, CAMS, CROSS, EDGES, EXPOSED, FX, HALVES, PIXELS, PTS, SCREEN, SIDES, TRIANGLES, H, W, angle, cameras, distances, grid, points, r6, voxels
 
-RIG = f"{cameras('2.5', '0.3')}, rig AS (SELECT *, cam_idx % 2 AS scene FROM cams WHERE cam_idx BETWEEN 1 AND 23)"
+RIG = f"{cameras('2.5', '0.3')}, rig AS (SELECT *, cam_idx % 2 AS scene FROM cams)"
 HOLED = PIXELS + """, holed AS (SELECT * REPLACE (CASE WHEN ("row" * 40 + col) % 7 = 3 THEN 0.0 ELSE depth END AS depth) FROM pix)"""
 GOOD = "mask AND depth > 1e-5 AND depth < 1e5"
 WORLD = f"""seen AS (SELECT p.*, (((col + 0.5) / 40.0::DOUBLE) * {W} - 0.5 - {W / 2}) * depth / {FX} - t0 AS a, ((1 - ("row" + 0.5) / 25.0::DOUBLE) * {H} - 0.5 - {H / 2}) * depth / {FX} - t1 AS b, -depth - t2 AS d, r00, r10, r20, r01, r11, r21, r02, r12, r22 FROM holed p JOIN cams USING (cam_idx)),
@@ -70,7 +70,7 @@ SQL: dict[str, str] = {
     "camera_sphere_fit": SPHERE_FIT,
     # the rig's sphere has radius 2.5 around the origin
     "sphere_frame": f"SELECT scene::INT AS scene, {rows([[str(1.6 * (i == j)) for j in range(4)] for i in range(3)])} FROM range(2) t(scene)",
-    "image_order": "WITH n AS (SELECT n_nationkey::INT % 2 AS scene, n_nationkey::INT AS cam_idx FROM nation WHERE n_nationkey BETWEEN 1 AND 23), m AS (SELECT scene, 24 - cam_idx AS cam_idx, 'im' || CASE WHEN scene = 1 AND cam_idx = 3 THEN 5 ELSE cam_idx END AS image_id FROM n), own AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY cam_idx) - 1 AS t FROM m), refs AS (SELECT scene, 'im' || cam_idx AS image_id, row_number() OVER (PARTITION BY scene ORDER BY cam_idx) - 1 AS place FROM n) SELECT o.scene, o.image_id, o.cam_idx, (CASE WHEN o.scene = 0 THEN place ELSE t END)::INT AS turn FROM own o LEFT JOIN refs r ON o.scene = r.scene AND o.image_id = r.image_id",
+    "image_order": "WITH n AS (SELECT n_nationkey::INT % 2 AS scene, n_nationkey::INT AS cam_idx FROM nation), m AS (SELECT scene, 24 - cam_idx AS cam_idx, 'im' || CASE WHEN scene = 1 AND cam_idx = 3 THEN 5 ELSE cam_idx END AS image_id FROM n), own AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY cam_idx) - 1 AS t FROM m), refs AS (SELECT scene, 'im' || cam_idx AS image_id, row_number() OVER (PARTITION BY scene ORDER BY cam_idx) - 1 AS place FROM n) SELECT o.scene, o.image_id, o.cam_idx, (CASE WHEN o.scene = 0 THEN place ELSE t END)::INT AS turn FROM own o LEFT JOIN refs r ON o.scene = r.scene AND o.image_id = r.image_id",
     "scene_radii": f"WITH {RIG}, m AS (SELECT scene, avg(px) AS mx, avg(py) AS my, avg(pz) AS mz FROM rig GROUP BY scene), a AS (SELECT a.scene, round(max({angle(*[(f'a.r2{i}', f'b.r2{i}') for i in range(3)])}), 4) AS spread FROM rig a JOIN rig b ON a.scene = b.scene AND a.cam_idx < b.cam_idx GROUP BY a.scene), r AS (SELECT scene, {r6('median(sqrt((px - mx) ** 2 + (py - my) ** 2 + (pz - mz) ** 2))', 'radius')} FROM rig JOIN m USING (scene) GROUP BY scene) SELECT * FROM r JOIN a USING (scene)",
     "depth_view": f"""WITH {HOLED}, b AS (SELECT cam_idx, min(depth) AS lo, max(depth) AS hi FROM holed WHERE {GOOD} GROUP BY cam_idx) SELECT cam_idx, "row", col, {r6(f"CASE WHEN {GOOD} THEN greatest(0.0, least(1.0, (depth - lo) / (hi - lo + 1e-8))) ELSE 1.0 END", "shade")} FROM holed LEFT JOIN b USING (cam_idx)""",
     "masked_depth": f"""WITH {HOLED}, {quantile(0.5)} SELECT cam_idx, "row", col, CASE WHEN {GOOD} AND conf >= least THEN depth ELSE 0.0 END AS depth FROM holed JOIN least USING (cam_idx)""",
