@@ -93,7 +93,7 @@ SQL: dict[str, str] = {
 SQL["vertex_colors"] = "SELECT n_nationkey::INT AS cam_idx, TRUE AS exact FROM nation"
 
 
-def marked() -> str:
+def marked(pts: str) -> str:
     """All steps of the labels of points seen by all cameras: faces, pixels, visible voxels, proofs of emptiness, distances."""
     project = f"""seen_points AS (SELECT cam_idx, i, j, k, exempt, r00 * x + r01 * y + r02 * z + t0 AS a, r10 * x + r11 * y + r12 * z + t1 AS b, -(r20 * x + r21 * y + r22 * z + t2) AS depth FROM query, cams),
 placed AS (SELECT *, CASE WHEN depth > 1e-6 THEN ({FX} * a / depth + {W / 2} + 0.5) / {W} END AS u, CASE WHEN depth > 1e-6 THEN ({FX} * b / depth + {H / 2} + 0.5) / {H} END AS v FROM seen_points),
@@ -101,7 +101,7 @@ framed AS (SELECT *, coalesce(u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1, FALSE) AS
 pixels AS (SELECT *, CASE WHEN inside THEN greatest(0, least({W - 1}, trunc(u * {W})))::INT END AS pc, CASE WHEN inside THEN greatest(0, least({H - 1}, trunc((1 - v) * {H})))::INT END AS pr FROM framed),
 proofs AS (SELECT p.cam_idx, i, j, k FROM pixels p LEFT JOIN nearest s ON s.cam_idx = p.cam_idx AND s.r = pr AND s.c = pc GROUP BY ALL HAVING bool_and(exempt OR (inside AND coalesce(p.depth < s.depth - greatest(abs(p.depth) * 1e-4, 1e-6), FALSE)))),
 free AS (SELECT DISTINCT i, j, k FROM proofs)"""
-    return f"""WITH {points('2.0')}, {voxels('pts', 8)}, {SIDES}, {EXPOSED}, {HALVES}, {BOUNDARY}, {CAMS}, tris AS (SELECT * FROM bound), {SCREEN},
+    return f"""WITH {CAMS}, {pts}, {voxels('pts', 8)}, {SIDES}, {EXPOSED}, {HALVES}, {BOUNDARY}, tris AS (SELECT * FROM bound), {SCREEN},
 nearest AS (SELECT cam_idx, r, c, face_id, depth FROM best WHERE n = 1), {grid(8)},
 visible AS (SELECT DISTINCT (o // 64)::INT AS i, (o // 8 % 8)::INT AS j, (o % 8)::INT AS k FROM (SELECT face_id // 12 AS o FROM nearest)),
 corners AS (SELECT 0 AS point, 0.5::DOUBLE AS a, 0.5::DOUBLE AS b, 0.5::DOUBLE AS c UNION ALL SELECT 1 + n, (n // 4)::DOUBLE, (n // 2 % 2)::DOUBLE, (n % 2)::DOUBLE FROM range(8) t(n)),
@@ -110,4 +110,5 @@ query AS (SELECT i, j, k, (i + a) / 8.0::DOUBLE - 0.5 AS x, (j + b) / 8.0::DOUBL
 SELECT label, count(*) AS n FROM (SELECT CASE WHEN n.distance > 0 THEN -n.distance WHEN v.i IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS label FROM near n LEFT JOIN visible v USING (i, j, k)) GROUP BY label"""
 
 
-SQL["mark_visible_labels"] = marked()
+SQL["mark_visible_labels"] = marked(points("2.0"))
+SQL["mark_visible_depth"] = marked(f"{HOLED}, {WORLD}, pts AS (SELECT x, y, z FROM world WHERE {GOOD})")

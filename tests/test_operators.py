@@ -133,3 +133,34 @@ def test_projection_and_its_inverse(spark):
     back = seen.select(*c.back_project(F.col("u"), F.col("v"), F.col("depth"))).first()
     assert tuple(back) == pytest.approx((0.2, -0.1, 0.3))
     assert c.project(rows.withColumn("z", F.lit(4.0)), v.cols("x", "y", "z")).first()["u"] is None
+
+
+def test_main_cluster_against_plain_numpy(spark):
+    import numpy as np
+
+    from parallaxis.operators import filters
+
+    rng = np.random.default_rng(11)
+    p = np.concatenate((rng.normal(0, 0.1, (3000, 3)), rng.uniform(-4, 4, (12, 3))))
+
+    def core(at, share=0.01, depths=8, most=0.01):
+        rows = np.arange(len(at))
+        for depth in range(1, depths + 1):
+            own = at[rows]
+            lo, hi = own.min(0), own.max(0)
+            if len(own) < 16 or (hi - lo).max() <= 0:
+                break
+            cell = np.clip(np.floor((own - lo) / np.where(hi > lo, hi - lo, 1) * 2**depth), 0, 2**depth - 1)
+            _, which, n = np.unique(cell, axis=0, return_inverse=True, return_counts=True)
+            good = n[which.ravel()] >= max(1, np.ceil(n.max() * share))
+            if (~good).mean() > most:
+                break
+            rows = rows[good]
+        return rows
+
+    kept = p[core(p)]
+    assert 0.5 * len(p) <= len(kept) < len(p)
+    pad = (kept.max(0) - kept.min(0)) * 0.05
+    want = set(np.flatnonzero(((p >= kept.min(0) - pad) & (p <= kept.max(0) + pad)).all(1)).tolist())
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "point_id long, x double, y double, z double")
+    assert {r["point_id"] for r in filters.main_cluster(df).collect()} == want and len(want) < len(p)
