@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .oracle import SQL as OTHER
 from .oracle import AXES, BOUNDARY, CAMS, CROSS, EDGES, EXPOSED, FX, HALVES, PIXELS, PTS, SCREEN, SIDES, TRIANGLES, H, W, angle, cameras, distances, grid, points, r6, voxels
 
 RIG = f"{cameras('2.5', '0.3')}, rig AS (SELECT *, cam_idx % 2 AS scene FROM cams)"
@@ -93,17 +94,27 @@ SQL: dict[str, str] = {
 SQL["vertex_colors"] = "SELECT n_nationkey::INT AS cam_idx, TRUE AS exact FROM nation"
 
 
-def marked(pts: str) -> str:
-    """All steps of the labels of points seen by all cameras: faces, pixels, visible voxels, proofs of emptiness, distances."""
+def marked(pts: str, masked: bool = False) -> str:
+    """All steps of the labels of points seen by all cameras: faces, pixels, visible voxels, proofs of emptiness, distances. masked: triangles count too,
+    the depth pixels' masks gate what is seen and empty the rays outside, and the points at three times their place stay unknown."""
+    near = lambda e, n: f"greatest(0, least({n - 1}, round_even({e} * {n} - 0.5, 0)))::INT"
+    has = "{0}.cam_idx IN (SELECT cam_idx FROM pix)"
     project = f"""seen_points AS (SELECT cam_idx, i, j, k, exempt, r00 * x + r01 * y + r02 * z + t0 AS a, r10 * x + r11 * y + r12 * z + t1 AS b, -(r20 * x + r21 * y + r22 * z + t2) AS depth FROM query, cams),
 placed AS (SELECT *, CASE WHEN depth > 1e-6 THEN ({FX} * a / depth + {W / 2} + 0.5) / {W} END AS u, CASE WHEN depth > 1e-6 THEN ({FX} * b / depth + {H / 2} + 0.5) / {H} END AS v FROM seen_points),
 framed AS (SELECT *, coalesce(u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1, FALSE) AS inside FROM placed),
 pixels AS (SELECT *, CASE WHEN inside THEN greatest(0, least({W - 1}, trunc(u * {W})))::INT END AS pc, CASE WHEN inside THEN greatest(0, least({H - 1}, trunc((1 - v) * {H})))::INT END AS pr FROM framed),
 proofs AS (SELECT p.cam_idx, i, j, k FROM pixels p LEFT JOIN nearest s ON s.cam_idx = p.cam_idx AND s.r = pr AND s.c = pc GROUP BY ALL HAVING bool_and(exempt OR (inside AND coalesce(p.depth < s.depth - greatest(abs(p.depth) * 1e-4, 1e-6), FALSE)))),
 free AS (SELECT DISTINCT i, j, k FROM proofs)"""
-    return f"""WITH {CAMS}, {pts}, {voxels('pts', 8)}, {SIDES}, {EXPOSED}, {HALVES}, {BOUNDARY}, tris AS (SELECT * FROM bound), {SCREEN},
+    shown, occupied = "nearest", voxels("pts", 8)
+    if masked:
+        shown = f"""(SELECT n.* FROM nearest n LEFT JOIN pix m ON m.cam_idx = n.cam_idx AND m."row" = {near(f"((n.r + 0.5) / {H}.0::DOUBLE)", 25)} AND m.col = {near(f"((n.c + 0.5) / {W}.0::DOUBLE)", 40)} WHERE m.mask OR NOT {has.format("n")})"""
+        project = project.replace("proofs AS (SELECT p.cam_idx, i, j, k FROM pixels p LEFT JOIN", f"""masks AS (SELECT p.*, inside AND {has.format("p")} AND NOT coalesce(m.mask, FALSE) AS open FROM pixels p LEFT JOIN pix m ON m.cam_idx = p.cam_idx AND m."row" = {near("(1 - v)", 25)} AND m.col = {near("u", 40)}),
+proofs AS (SELECT p.cam_idx, i, j, k FROM masks p LEFT JOIN""").replace("coalesce(p.depth < s.depth -", "coalesce(p.depth < CASE WHEN open THEN 'inf'::DOUBLE ELSE s.depth END -")
+        project = project.replace("FROM proofs)", "FROM proofs ANTI JOIN kept_back USING (i, j, k))")
+        occupied = f"{voxels('pts', 8, 'pv')}, tv AS ({OTHER['triangle_voxels']}), vox AS (SELECT i, j, k FROM pv UNION SELECT i, j, k FROM tv), {PIXELS}, {points('3.0', 'far')}, {voxels('far', 8, 'kept_back')}"
+    return f"""WITH {CAMS}, {pts}, {occupied}, {SIDES}, {EXPOSED}, {HALVES}, {BOUNDARY}, tris AS (SELECT * FROM bound), {SCREEN},
 nearest AS (SELECT cam_idx, r, c, face_id, depth FROM best WHERE n = 1), {grid(8)},
-visible AS (SELECT DISTINCT (o // 64)::INT AS i, (o // 8 % 8)::INT AS j, (o % 8)::INT AS k FROM (SELECT face_id // 12 AS o FROM nearest)),
+visible AS (SELECT DISTINCT (o // 64)::INT AS i, (o // 8 % 8)::INT AS j, (o % 8)::INT AS k FROM (SELECT face_id // 12 AS o FROM {shown})),
 corners AS (SELECT 0 AS point, 0.5::DOUBLE AS a, 0.5::DOUBLE AS b, 0.5::DOUBLE AS c UNION ALL SELECT 1 + n, (n // 4)::DOUBLE, (n // 2 % 2)::DOUBLE, (n % 2)::DOUBLE FROM range(8) t(n)),
 query AS (SELECT i, j, k, (i + a) / 8.0::DOUBLE - 0.5 AS x, (j + b) / 8.0::DOUBLE - 0.5 AS y, (k + c) / 8.0::DOUBLE - 0.5 AS z, point > 0 AND (i + a IN (0.0, 8.0) OR j + b IN (0.0, 8.0) OR k + c IN (0.0, 8.0)) AS exempt FROM cells ANTI JOIN vox USING (i, j, k), corners),
 {project}, held AS (SELECT i, j, k FROM cells ANTI JOIN free USING (i, j, k)), {distances(8, 'held')}
@@ -112,3 +123,4 @@ SELECT label, count(*) AS n FROM (SELECT CASE WHEN n.distance > 0 THEN -n.distan
 
 SQL["mark_visible_labels"] = marked(points("2.0"))
 SQL["mark_visible_depth"] = marked(f"{HOLED}, {WORLD}, pts AS (SELECT x, y, z FROM world WHERE {GOOD})")
+SQL["mark_visible_masked"] = marked(points("2.0"), masked=True)
