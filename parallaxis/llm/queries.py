@@ -99,7 +99,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import piecebpe
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    out = piecebpe.decode(piecebpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_packing, op5_line_quality, op6_bpe_codec, op7_exact_top_k, op8_pii, op9_token_store, op10_warc)
+    for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_packing, op5_line_quality, op6_bpe_codec, op7_exact_top_k, op8_pii, op9_token_store, op10_warc, op12_piece_codec)
 }
