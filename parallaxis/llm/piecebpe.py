@@ -84,6 +84,7 @@ class PieceCodec:
 
         #: What each id reads as; control ids read as nothing.
         self.texts = [sp.id_to_piece(i).replace(SPACE, " ").encode() if i in rank else " ⁇ ".encode() if sp.is_unknown(i) else b"" for i in ids]
+        self.leads = [i in rank and self.texts[i].startswith(b" ") for i in ids]
         for b, i in enumerate(self.byte_ids):
             self.texts[i] = bytes([b])
         self.cache: dict[str, bytes] = {}
@@ -243,9 +244,10 @@ class PieceCodec:
 
     def decode(self, ids: bytes) -> str:
         """The text of these ids: the blank that encoding adds goes, each byte that is no UTF-8 is U+FFFD."""
-        raw = b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        text = raw.decode("utf-8", "one_mark_a_byte")
-        return text.removeprefix(" ")
+        read = np.frombuffer(ids, "<u4").tolist()
+        text = b"".join(map(self.texts.__getitem__, read)).decode("utf-8", "one_mark_a_byte")
+        first = next((i for i in read if self.texts[i]), 0)
+        return text[1:] if self.leads[first] else text
 
 
 _kept: dict[str, PieceCodec] = {}

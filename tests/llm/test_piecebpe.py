@@ -56,7 +56,7 @@ def test_cache_starts_anew(library, codec, monkeypatch):
 
 
 def test_bytes_that_are_no_text(library, codec):
-    for ids in ([3 + 0xE4, 3 + 0xBD, 300], [3 + 0xFF, 3 + 0x80], [0, 300], [3 + 0xE4, 3 + 0xBD, 3 + 0xA0]):
+    for ids in ([3 + 0xE4, 3 + 0xBD, 300], [3 + 0xFF, 3 + 0x80], [0, 300], [3 + 0xE4, 3 + 0xBD, 3 + 0xA0], [1, 3 + 0x20, 300], [1, 260, 300, 2], [2]):
         assert codec.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids)
 
 
