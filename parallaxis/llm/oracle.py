@@ -67,4 +67,40 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
 FROM firsts
 """
 
-SQL = {"op3_jaccard_join": OP3, "op5_line_quality": OP5, "op7_exact_top_k": OP7, "op10_warc": OP10}
+#: Terms of documents and items, integer scores of all pairs that share one.
+OP11 = f"""
+WITH worded AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+spots AS (SELECT k, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM worded),
+counted AS (SELECT k, doc_id, n, term, count(*)::BIGINT AS tf FROM spots GROUP BY k, doc_id, n, term),
+sizes AS (SELECT count(*)::BIGINT AS all_docs, sum(len(w))::BIGINT AS all_terms FROM worded WHERE len(w) > 0),
+asked AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+wanted AS (SELECT DISTINCT item, item_id, unnest(w) AS term FROM asked),
+held AS (SELECT term, count(*)::BIGINT AS df FROM counted WHERE term IN (SELECT term FROM wanted) GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM held, sizes),
+posted AS (SELECT k, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_docs) // all_terms))) AS s FROM counted JOIN weights USING (term), sizes),
+summed AS (SELECT item, item_id, k, doc_id, sum(s)::BIGINT AS score FROM wanted JOIN posted USING (term) GROUP BY item, item_id, k, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM summed WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+#: crc32 of each distinct word by its table; gains of buckets; noise from sha256; the rank over all eligible rows.
+OP13 = f"""
+WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+texts AS (SELECT 's' AS part, row_number() OVER () AS k, doc_id, text FROM documents UNION ALL SELECT 't', NULL, NULL, text FROM benchmark),
+worded AS (SELECT part, k, doc_id, coalesce(regexp_extract_all({LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM texts),
+spots AS (SELECT part, k, unnest(w) AS word FROM worded),
+words AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM spots),
+hashed AS (SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+  lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM words, steps),
+counts AS (SELECT bucket, count(*) FILTER (WHERE part = 's')::BIGINT AS s, count(*) FILTER (WHERE part = 't')::BIGINT AS t FROM spots JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT sum(s)::BIGINT AS all_s, sum(t)::BIGINT AS all_t FROM counts),
+gained AS (SELECT bucket, floor(1000 * ln(((t + 1) * (all_s + 10000))::DOUBLE / ((s + 1) * (all_t + 10000))::DOUBLE))::BIGINT AS gain FROM counts, sums),
+added AS (SELECT k, sum(gain)::BIGINT AS total FROM spots JOIN hashed USING (word) JOIN gained USING (bucket) WHERE part = 's' GROUP BY k),
+weighed AS (SELECT doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE (total - ((total % len(w)) + len(w)) % len(w)) // len(w) END::BIGINT AS weight,
+  ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM worded LEFT JOIN added USING (k) WHERE part = 's'),
+scored AS (SELECT doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM weighed),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM drawn
+"""
+
+SQL = {"op11_lexical_search": OP11, "op13_importance_resampling": OP13, "op3_jaccard_join": OP3, "op5_line_quality": OP5, "op7_exact_top_k": OP7, "op10_warc": OP10}

@@ -99,6 +99,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ranked
+
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import resample
+
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import piecebpe
 
@@ -109,5 +121,5 @@ def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_packing, op5_line_quality, op6_bpe_codec, op7_exact_top_k, op8_pii, op9_token_store, op10_warc, op12_piece_codec)
+    for f in (op1_toxicity, op2_language_id, op3_jaccard_join, op4_packing, op5_line_quality, op6_bpe_codec, op7_exact_top_k, op8_pii, op9_token_store, op10_warc, op11_lexical_search, op12_piece_codec, op13_importance_resampling)
 }

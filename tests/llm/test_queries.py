@@ -25,7 +25,7 @@ def texts(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         db.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = db.sql(queries.SQL[name])
     got = queries.QUERIES[name](spark, sf)
