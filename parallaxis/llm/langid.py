@@ -4,7 +4,8 @@ Every language has probabilities of the pieces of one fixed public vocabulary. T
 over all its segmentations into pieces, which a forward algorithm gives; that of a text is the product over its words
 (runs of letters, lower-cased, with the vocabulary's mark of a word's beginning). The probabilities are fitted by
 expectation-maximisation over word counts of a bounded sample of labelled texts (`sample` per language, a documented
-bound; whole texts, chosen by a hash of their id). Distinct words are scored once per task, whole columns at a time.
+bound; whole texts, chosen by a hash of their id). Distinct words are scored once per task, whole columns at a time, words of
+all lengths by the same sums. Letters that no language uses count alike in all.
 
 Rows: null text, or text without a letter, is `und` with score 0, as is everything if no labelled text can be learned
 from. A null language or null doc_id is never learned from. Ties go to the alphabetically first language. An empty
@@ -26,10 +27,14 @@ from .runtime import columns_or_null, held_out, materialize, ship
 
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
-#: Longer words go through the forward algorithm in logarithms, one by one.
-LONG_WORD = 60
-#: Scaling per letter, which keeps products near one.
-SCALE = 12.0
+#: Places between two rescalings of the sums: products of that many of the smallest probabilities are far above what a double loses.
+RESCALE = 16
+#: Share of a language's mass that all pieces have alike, so that a piece no language knows says nothing.
+EVEN = 1e-3
+#: Letters rarer than this in every language count alike in all.
+RARE = 1e-5
+#: Places of a word whose pieces are looked up at a time.
+PLACES = 1 << 16
 #: Words whose scores a task keeps at a time.
 CACHE_WORDS = 300_000
 #: Words of a text that count in full towards its score; more words do not make it surer.
@@ -82,16 +87,14 @@ class Vocabulary:
             at[live] = (at[live] + 1) & self.mask
         return out
 
-    def lattice(self, words: np.ndarray) -> list[list[np.ndarray]]:
-        """Piece ids of words of one length, as code points: [end][size], 0 where no such piece ends there."""
-        n, size = words.shape
+    def lattice(self, words: np.ndarray) -> list[np.ndarray]:
+        """Piece ids of words of one length, as code points: of each size an array (word, start), 0 where no such piece is."""
+        h = terms = words.astype(np.uint64) * _M
         out = []
         with np.errstate(over="ignore"):
-            terms = words.astype(np.uint64) * _M
-            rolling: list[np.ndarray] = []
-            for end in range(size):
-                rolling = [terms[:, end], *(h * np.uint64(0x5851F42D4C957F2D) + terms[:, end] for h in rolling[: self.longest - 1])]
-                out.append([self.find(h) for h in rolling])
+            for k in range(min(self.longest, words.shape[1])):
+                h = h[:, :-1] * np.uint64(0x5851F42D4C957F2D) + terms[:, k:] if k else h
+                out.append(self.find(h.ravel()).reshape(h.shape))
         return out
 
 
@@ -102,120 +105,100 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def by_length(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and code points of the marked words of each length, at most so many at a time."""
+    """Places and code points of the marked words of each length, at most so many, and about a million letters, at a time."""
     sizes = np.array([len(w) for w in words])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        for lo in range(0, len(at), most):
-            part = at[lo : lo + most]
+        step = max(1, min(most, 1_000_000 // int(size + 1)))
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
             text = "".join(MARK + words[i] for i in part)
             yield part, np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(part), size + 1)
 
 
-def forward(lattice: list[list[np.ndarray]], p: np.ndarray) -> np.ndarray:
-    """alpha[end, word, language]: scaled probability of all segmentations up to there. p: (pieces, languages), scaled by size."""
-    n = len(lattice[0][0])
-    alpha = np.zeros((len(lattice) + 1, n, p.shape[1]))
-    alpha[0] = 1
-    for end, sizes in enumerate(lattice, 1):
-        for k, ids in enumerate(sizes, 1):
-            live = np.flatnonzero(ids) if k > 1 else slice(None)
-            alpha[end, live] += alpha[end - k, live] * p[ids[live]]
-    return alpha
-
-
-def scaled(vocab: Vocabulary, logp: np.ndarray) -> np.ndarray:
-    size = np.array([max(1, len(x)) for x in vocab.pieces])
-    return np.exp(logp) * SCALE ** size[:, None]
+def _arcs(vocab: Vocabulary, points: np.ndarray) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """For every place of words of one length, in order, the pieces that end there: size, words, piece ids. Single letters are
+    always there, as piece 0 where the vocabulary lacks them. Long words are looked up in blocks of places."""
+    size, every = points.shape[1], np.arange(len(points))
+    for lo in range(0, size, PLACES):
+        base = max(0, lo - vocab.longest + 1)
+        sizes = vocab.lattice(points[:, base : lo + PLACES])
+        some = [ids.any(0) for ids in sizes]
+        for end in range(lo + 1, min(lo + PLACES, size) + 1):
+            arcs = [(1, every, sizes[0][:, end - 1 - base])]
+            for k in range(2, min(len(sizes), end - base) + 1):
+                if some[k - 1][end - k - base]:
+                    ids = sizes[k - 1][:, end - k - base]
+                    live = np.flatnonzero(ids)
+                    arcs.append((k, live, ids[live]))
+            yield arcs
+
+
+def forward(vocab: Vocabulary, points: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """Log-probability (word, language) of words of one length, summed over all their segmentations.
+
+    The sums of the last places are kept relative to one of them, whose logarithm is kept apart: no product is lost, however
+    long the word and however rare its letters."""
+    p = np.exp(logp)
+    near, log = [np.ones((len(points), logp.shape[1]))], np.zeros((len(points), logp.shape[1]))
+    for end, arcs in enumerate(_arcs(vocab, points), 1):
+        here = near[-1] * p[arcs[0][2]]
+        for k, live, ids in arcs[1:]:
+            here[live] += near[-k][live] * p[ids]
+        near = [*near[-vocab.longest :], here]
+        if not end % RESCALE:
+            near, log = [x / here for x in near], log + np.log(here)
+    return log + np.log(near[-1])
 
 
 def log_scores(vocab: Vocabulary, words: list[str], logp: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language, over all segmentations."""
-    p = scaled(vocab, logp)
     out = np.zeros((len(words), logp.shape[1]))
-    short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-    for part, points in by_length([words[i] for i in short], max(64, 80_000 // logp.shape[1])):  # bounded whatever the languages' number
-        out[np.array(short)[part]] = np.log(forward(vocab.lattice(points), p)[-1]) - points.shape[1] * np.log(SCALE)
-    for i in [i for i, w in enumerate(words) if len(w) > LONG_WORD]:
-        out[i] = forward_log(vocab, words[i], logp)
+    for part, points in by_length(words, max(64, 80_000 // logp.shape[1])):  # bounded whatever the languages' number
+        out[part] = forward(vocab, points, logp)
     return out
 
 
-def long_pieces(vocab: Vocabulary, word: str) -> list[np.ndarray]:
-    """Of one marked word the piece ids of each size, by the place where they start; 0 where there is none."""
-    terms = np.frombuffer((MARK + word).encode("utf-32-le"), "<u4").astype(np.uint64) * _M
-    h, out = terms, []
-    with np.errstate(over="ignore"):
-        for k in range(min(vocab.longest, len(terms))):
-            h = h[:-1] * np.uint64(0x5851F42D4C957F2D) + terms[k:] if k else h
-            out.append(vocab.find(h))
-    return out
-
-
-def _chain(ids: list[np.ndarray], logp: np.ndarray, back: bool) -> np.ndarray:
-    """Log-probability (place, language) of all segmentations of the word up to each place, or from it to the end. Logarithms, so
-    words of any length have a sum; places in blocks, so memory grows with the word alone."""
-    n, most = len(ids[0]), len(ids)
-    none = np.full((most, logp.shape[1]), -np.inf)
-    # the other end of an arc of size k is k places before (or after); what lies beyond the word is never reached
-    out = np.concatenate((none, np.zeros((1, logp.shape[1])), np.full((n, logp.shape[1]), -np.inf)))
-    for lo in range(0, n, 4096):
-        at = np.arange(lo, min(lo + 4096, n))  # the at + 1-th place from the side that the chain starts on
-        arcs = np.full((len(at), most, logp.shape[1]), -np.inf)
-        for k in range(1, most + 1):
-            start = n - 1 - at if back else at + 1 - k
-            live = np.flatnonzero((start >= 0) & (start + k <= n))
-            own = ids[k - 1][start[live]]
-            known = live[(own > 0) | (k == 1)]
-            arcs[known, most - k] = logp[ids[k - 1][start[known]]]
-        for i, p in zip(at.tolist(), arcs, strict=True):
-            x = out[i + 1 : i + 1 + most] + p
-            top = x.max(0)
-            out[i + 1 + most] = top + np.log(np.exp(x - top).sum(0))
-    return out[most:][::-1] if back else out[most:]
-
-
-def forward_log(vocab: Vocabulary, word: str, logp: np.ndarray) -> np.ndarray:
-    """Log-probability of one long word in each language, over all segmentations."""
-    return _chain(long_pieces(vocab, word), logp, back=False)[-1]
-
-
-def expect_long(vocab: Vocabulary, word: str, count: float, logp: np.ndarray, expected: np.ndarray) -> None:
-    """Add a long word's expected piece counts."""
-    ids = long_pieces(vocab, word)
-    alpha, beta = (_chain(ids, logp, back)[:, 0] for back in (False, True))
-    for k, own in enumerate(ids, 1):
-        start = np.flatnonzero((own > 0) | (k == 1))
-        flow = alpha[start] + logp[own[start], 0] + beta[start + k] - alpha[-1]
-        expected += np.bincount(own[start], count * np.exp(flow), len(expected))
+def expect(vocab: Vocabulary, points: np.ndarray, counts: np.ndarray, p: np.ndarray, expected: np.ndarray) -> None:
+    """Add the expected piece counts of words of one length: forward sums, then the same backwards, each place's sums relative
+    to its own mean over the words' arcs, in logarithms between places."""
+    arcs = list(_arcs(vocab, points))
+    alpha, log = [np.ones(len(points))], [np.zeros(len(points))]
+    for here in arcs:
+        # relative to the sum one place before
+        total = alpha[-1] * p[here[0][2]]
+        for k, live, ids in here[1:]:
+            total[live] += alpha[-k][live] * np.exp(log[-k][live] - log[-1][live]) * p[ids]
+        alpha.append(np.ones(len(points)))
+        log.append(log[-1] + np.log(total))
+    whole = log[-1]
+    beta = [np.full(len(points), -np.inf) for _ in range(len(arcs))] + [np.zeros(len(points))]
+    for end in range(len(arcs), 0, -1):
+        for k, live, ids in arcs[end - 1]:
+            way = beta[end][live] + np.log(p[ids])
+            beta[end - k][live] = np.logaddexp(beta[end - k][live], way)
+            expected += np.bincount(ids, counts[live] * np.exp(log[end - k][live] + way - whole[live]), len(expected))
 
 
 def fit(vocab: Vocabulary, words: list[str], counts: np.ndarray, rounds: int = 4) -> np.ndarray:
-    """Log-probabilities of the pieces by expectation-maximisation; every piece keeps a little mass."""
+    """Log-probabilities of the pieces by expectation-maximisation; every piece keeps an even share of a little mass."""
     v = len(vocab.pieces)
-    p = np.full((v, 1), -np.log(v))
-    counts = np.asarray(counts, float)
-    short, long = ([i for i, w in enumerate(words) if (len(w) <= LONG_WORD) is fits] for fits in (True, False))
-    groups = [(np.array(short)[part], points) for part, points in by_length([words[i] for i in short])]
+    p, counts = np.full(v, 1 / v), np.asarray(counts, float)
+    groups = list(by_length(words))
     for _ in range(rounds):
-        q = scaled(vocab, p)
         expected = np.zeros(v)
         for part, points in groups:
-            lattice = vocab.lattice(points)
-            alpha = forward(lattice, q)[:, :, 0]
-            beta = np.zeros_like(alpha)
-            beta[-1] = counts[part] / alpha[-1]
-            for end in range(len(lattice), 0, -1):
-                for k, ids in enumerate(lattice[end - 1], 1):
-                    live = np.flatnonzero(ids) if k > 1 else np.arange(len(part))
-                    flow = beta[end, live] * q[ids[live], 0]
-                    expected += np.bincount(ids[live], alpha[end - k, live] * flow, v)
-                    beta[end - k, live] += flow
-        for i in long:
-            expect_long(vocab, words[i], counts[i], p, expected)
-        expected += 0.01
-        p = np.log(expected / expected.sum())[:, None]
-    return p[:, 0]
+            expect(vocab, points, counts[part], p, expected)
+        p = (1 - EVEN) * expected / expected.sum() + EVEN / v if expected.sum() else p
+    return np.log(p)
+
+
+def same_for_strangers(vocab: Vocabulary, logp: np.ndarray) -> np.ndarray:
+    """Letters outside the vocabulary, letters that hardly occur in any language, and the bare mark before them get one
+    probability in all languages: their number in a text must not decide between languages of which none uses them."""
+    rare = np.array([len(x.removeprefix(MARK)) == 1 for x in vocab.pieces]) & (logp.max(1) < np.log(RARE))
+    rare |= np.array([x in ("", MARK) for x in vocab.pieces])
+    return np.where(rare[:, None], logp.max(1, keepdims=True), logp)
 
 
 def count_words(texts: list[str | None]) -> Counter:
@@ -250,7 +233,7 @@ def train(docs: DataFrame, vocab_path: str, sample: int = 2000) -> tuple[list[st
     counted = chosen.select("lang", "text").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     models = {r["lang"]: r["logp"] for r in counted.groupBy("lang").applyInArrow(learn, "lang string, logp array<double>").collect()}  # languages x vocabulary
     langs = sorted(models)
-    return langs, np.array([models[x] for x in langs]).T if langs else np.zeros((0, 0))
+    return langs, same_for_strangers(vocabulary(vocab_path), np.array([models[x] for x in langs]).T) if langs else np.zeros((0, 0))
 
 
 def predict(docs: DataFrame, vocab_path: str, langs: list[str], logp: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -72,11 +72,85 @@ def test_edges(spark):
     assert langid.predict(docs.limit(0), PIECES, *model).count() == 0
 
 
-def test_long_words_count_as_short_ones_do(monkeypatch):
+def plain_score(vocab, word, logp):
+    """Log of the sum over all segmentations, place by place in logarithms."""
+    place, marked = {p: i for i, p in enumerate(vocab.pieces)}, langid.MARK + word
+    sums = [np.zeros(logp.shape[1])]
+    for end in range(1, len(marked) + 1):
+        ways = []
+        for k in range(1, min(end, vocab.longest) + 1):
+            i = place.get(marked[end - k : end], 0 if k == 1 else None)
+            if i is not None:
+                ways.append(sums[end - k] + logp[i])
+        sums.append(np.logaddexp.reduce(ways))
+    return sums[-1]
+
+
+def test_words_of_all_lengths_have_one_sum(spark, sf):
+    """Also where letters are so rare that their product is no double; places are looked up in blocks."""
     vocab = langid.vocabulary(PIECES)
-    words, counts = ["station", "internationalisation", "thethethethethethe"], np.array([5.0, 3, 2])
+    langs, logp = langid.train(spark.read.parquet(f"{sf}/documents.parquet"), PIECES)
+    words = ["ꙮ" * n for n in range(1, 80)] + ["東" * n for n in (47, 59, 60, 61, 62, 400)] + ["the" * n for n in (19, 20, 21, 300)] + ["xqz" * 25, "д" * 61]
+    got = langid.log_scores(vocab, words, logp)
+    assert np.isfinite(got).all() and np.allclose(got, [plain_score(vocab, w, logp) for w in words], rtol=1e-9, atol=1e-9)
+    for w in ("ꙮ" * 10_000, "a" * 10_000, "the" * 4000):
+        assert np.allclose(langid.log_scores(vocab, [w], logp), plain_score(vocab, w, logp), rtol=1e-9)
+
+
+def test_blocks_of_places(monkeypatch):
+    vocab = langid.vocabulary(PIECES)
+    words, counts = ["station", "internationalisation", "thethethethethethe", "x" * 700], np.array([5.0, 3, 2, 1])
     logp = langid.fit(vocab, words, counts)
     scores = langid.log_scores(vocab, words, logp[:, None])
-    monkeypatch.setattr(langid, "LONG_WORD", 6)
+    monkeypatch.setattr(langid, "PLACES", 5)
     assert np.allclose(langid.fit(vocab, words, counts), logp) and np.allclose(langid.log_scores(vocab, words, logp[:, None]), scores)
-    assert np.isfinite(langid.fit(vocab, ["x" * 3000, "the"], np.array([1.0, 1]))).all() and vocab.longest > 8
+    assert vocab.longest > 8
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    vocab = langid.vocabulary(PIECES)
+    place, p = {x: i for i, x in enumerate(vocab.pieces)}, np.random.default_rng(2).dirichlet(np.ones(len(vocab.pieces)))
+    want, got = np.zeros(len(p)), np.zeros(len(p))
+    for word, n in (("then", 3.0), ("xꙮa", 2.0)):
+        ways = []
+        marked = langid.MARK + word
+        for cuts in itertools.product((0, 1), repeat=len(marked) - 1):
+            edges = [0, *[i for i, cut in enumerate(cuts, 1) if cut], len(marked)]
+            parts = [marked[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            ids = [place.get(x, 0 if len(x) == 1 else None) for x in parts]
+            if None not in ids:
+                ways.append((math.prod(p[i] for i in ids), ids))
+        for w, ids in ways:
+            np.add.at(want, ids, n * w / sum(x[0] for x in ways))
+        for _, points in langid.by_length([word]):
+            langid.expect(vocab, points, np.array([n]), p, got)
+    assert np.allclose(got, want)
+
+
+def test_letters_of_no_language_decide_nothing(spark, sf):
+    langs, logp = langid.train(spark.read.parquet(f"{sf}/documents.parquet"), PIECES)
+    english = "this is a sentence that somebody wrote about the house and the garden"
+    strange = ["", "東" * 47 + " ", "ж" * 30 + " " + "щ" * 30 + " ", "ꙮ" * 58 + " ", "ꙮ" * 10_000 + " ", " ".join("語" * n for n in range(1, 30)) + " "]
+    docs = spark.createDataFrame([(i, x + english) for i, x in enumerate(strange)], "doc_id long, text string")
+    out = langid.predict(docs, PIECES, langs, logp).collect()
+    assert {r["lang_pred"] for r in out} == {"en"} and all(r["score"] > 0.5 for r in out)
+
+
+def test_query_against_plain_sums(spark, sf):
+    """Every prediction and score of the query, from the model, one word after the other."""
+    from parallaxis.llm import queries
+
+    docs, vocab = spark.read.parquet(f"{sf}/documents.parquet"), langid.vocabulary(PIECES)
+    langs, logp = langid.train(docs, PIECES)
+    rows, known = {r["doc_id"]: r for r in queries.op2_language_id(spark, sf).collect()}, {}
+    for d in docs.collect():
+        words, r = langid.WORD.findall((d["text"] or "").lower()), rows.pop(d["doc_id"])
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        for w in set(words) - known.keys():
+            known[w] = plain_score(vocab, w, logp)
+        total = sum(known[w] for w in words) * min(len(words), langid.SURE_WORDS) / len(words)
+        chance = np.exp(total - np.logaddexp.reduce(total))
+        assert np.isclose(r["score"], chance.max(), atol=1e-7) and np.isclose(chance[langs.index(r["lang_pred"])], chance.max(), atol=1e-7)
+    assert not rows
