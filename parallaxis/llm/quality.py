@@ -112,15 +112,24 @@ def count_lines(docs: DataFrame) -> DataFrame:
     return docs.select("row", "doc_id", "text_key", "key", "print", "host", "text").mapInArrow(run, f"row long, doc_id long, text_key long, key long, print long, host string, {BASE}, lines array<long>, sizes array<long>")
 
 
-def row_key(host: str) -> Column:
-    """Rows that agree in it (in doc_id, text and host) get the same decisions and lose the same lines."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(host).isNull(), F.col(host).cast("string"))
+def row_key(host: str, have: list[str]) -> Column:
+    """Rows that agree in it (in doc_id, text and host; null where the table lacks one) get the same decisions and lose the same
+    lines."""
+    own = lambda c, kind: (F.col(f"`{c}`") if c in have else F.lit(None)).cast(kind)
+    return F.xxhash64(own("doc_id", "long"), own("text", "string"), own(host, "string").isNull(), own(host, "string"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, lengthened until the table has no such column."""
+    while name in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def decide(docs: DataFrame, host: str = "source", least_docs: int = 5, share: float = 0.005, left: int = 30, least_words: int = 50, most_repeat: int = 50) -> DataFrame:
     """`judge`'s columns, and of each row its key and the hashes of the lines it loses (null for none)."""
     ship(docs.sparkSession)
-    slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("doc_id", "text").alias("text_key"), row_key(host).alias("key"), F.xxhash64("text").alias("print"), F.monotonically_increasing_id().alias("row"))
+    slim = columns_or_null(docs, doc_id="long", text="string", **{host: "string"}).select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("doc_id", "text").alias("text_key"), row_key(host, ["doc_id", "text", host]).alias("key"), F.xxhash64("text").alias("print"), F.monotonically_increasing_id().alias("row"))
     base = materialize(count_lines(slim), "lines")
     lines = base.select("row", "print", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row", "print", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     hosts = base.groupBy("host").agg(F.greatest(F.lit(least_docs).cast("double"), F.count_distinct("print") * F.lit(share)).alias("most"))
@@ -157,17 +166,24 @@ def without_lines(texts: pa.Array, gone: list[np.ndarray]) -> list[str]:
     return out
 
 
-def rebuild(docs: DataFrame, decided: DataFrame, host: str = "source") -> DataFrame:
-    """The kept rows of docs with their key, their texts without the lines that `decide` removes."""
+def rebuild(docs: DataFrame, decided: DataFrame, host: str = "source", key: str = "key") -> DataFrame:
+    """The kept rows of docs, all columns, with a key of this name (docs has no such column), their texts without the lines that
+    `decide` removes. Without a text column no row is kept."""
+    if "text" not in docs.columns:
+        return docs.withColumn(key, F.lit(None).cast("long")).where("false")
+    gone_lines, verdict = free_name("gone", docs.columns), free_name("kept", docs.columns)
     verdicts = decided.where("not kept or gone is not null")
-    verdicts = materialize(verdicts.groupBy("key").agg(F.first("kept").alias("kept"), F.first(F.when(F.col("kept"), F.col("gone"))).alias("gone")), "verdicts")
-    longs = verdicts.agg(F.coalesce(F.sum(2 + F.greatest(F.size("gone"), F.lit(0))), F.lit(0))).first()[0]
-    marked = docs.withColumn("key", row_key(host)).join(F.broadcast(verdicts) if longs <= BROADCAST_ROWS else verdicts, "key", "left").where("coalesce(kept, true)")
-    columns = [*docs.columns, "key"]
+    verdicts = materialize(verdicts.groupBy("key").agg(F.first("kept").alias(verdict), F.first(F.when(F.col("kept"), F.col("gone"))).alias(gone_lines)).withColumnRenamed("key", key), "verdicts")
+    longs = verdicts.agg(F.coalesce(F.sum(2 + F.greatest(F.size(gone_lines), F.lit(0))), F.lit(0))).first()[0]
+    marked = docs.withColumn("text", F.col("text").cast("string")).withColumn(key, row_key(host, docs.columns))
+    marked = marked.join(F.broadcast(verdicts) if longs <= BROADCAST_ROWS else verdicts, key, "left").where(F.coalesce(verdict, F.lit(True)))
+    columns = [*docs.columns, key]
+    quoted = [f"`{c}`" for c in columns]
+    text_at, gone_at = columns.index("text"), len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone = batch.column("text"), batch.column("gone")
+            texts, gone = batch.column(text_at), batch.column(gone_at)
             at = np.flatnonzero(gone.is_valid())
             if len(at):
                 held = gone.take(pa.array(at))
@@ -176,11 +192,13 @@ def rebuild(docs: DataFrame, decided: DataFrame, host: str = "source") -> DataFr
                 rows = np.arange(len(texts))
                 rows[at] = len(texts) + np.arange(len(at))
                 texts = pa.concat_arrays([texts, pa.array(new, texts.type)]).take(pa.array(rows))
-            yield pa.record_batch([texts if c == "text" else batch.column(c) for c in columns], columns)
+            yield pa.record_batch([texts if i == text_at else batch.column(i) for i in range(len(columns))], columns)
 
-    return marked.select(*columns, "gone").mapInArrow(run, marked.select(*columns).schema)
+    return marked.select(*quoted, gone_lines).mapInArrow(run, marked.select(*quoted).schema)
 
 
 def clean(docs: DataFrame, host: str = "source", **rules) -> DataFrame:
-    """The kept rows of docs, all columns, their texts without the removed lines."""
-    return rebuild(docs, decide(docs, host, **rules), host).drop("key")
+    """The kept rows of docs, all columns whatever their names, their texts without the removed lines. A table without the host
+    column is one host."""
+    key = free_name("key", docs.columns)
+    return rebuild(docs, decide(docs, host, **rules), host, key).drop(key)

@@ -131,3 +131,18 @@ def test_small_and_middle_hosts_lose_common_lines_at_the_defaults(spark):
     assert {r["h"]: r["count"] for r in out} == {0: 6, 2: 40, 3: 20, 5: 8, 9: 12}
     kept = quality.clean(df).where(F.col("text").contains(line) | (F.col("source") == "copies")).groupBy("source").count().collect()
     assert {r["source"]: r["count"] for r in kept} == {"host1": 5, "host4": 7}
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    """Columns named like those that the rebuilding uses stay; tables may lack the host, the id or the text."""
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{body} {i}\nsame line in all", "h", "g", 7 + i, True, "k_") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, gone string, key int, kept boolean, key_ string")
+    out = quality.clean(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == sorted((i, f"{body} {i}", *r) for i, _, *r in rows)
+    for lost in (["source"], ["doc_id"], ["source", "doc_id"]):
+        less = quality.clean(docs.drop(*lost))
+        assert less.columns == [c for c in docs.columns if c not in lost]
+        assert sorted(r["text"] for r in less.collect()) == sorted(f"{body} {i}" for i in range(20))
+    assert quality.clean(docs.drop("text")).count() == 0
