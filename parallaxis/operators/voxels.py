@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as v
-from . import small
 from .filters import in_bounds
 
 UNKNOWN, VALID = 0, 1
@@ -84,14 +83,14 @@ def centers(voxels: DataFrame, r: int) -> DataFrame:
     return voxels.select(*IJK, *[((F.col(a) + 0.5) / F.lit(float(r)) - 0.5).alias(p) for a, p in zip(IJK, "xyz", strict=True)])
 
 
-def query_points(voxels: DataFrame, r: int) -> DataFrame:
+def query_points(voxels: DataFrame, r: int, *keep: str) -> DataFrame:
     """Centre (number 0) and eight corners of each voxel; corners on the cube's border are exempt from proofs."""
     corners = [(0, 0.5, 0.5, 0.5)] + [(1 + 4 * a + 2 * b + c, float(a), float(b), float(c)) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
     offsets = F.array(*[F.struct(F.lit(n).alias("point"), *[F.lit(x).alias(f"d{s}") for s, x in zip(IJK, o, strict=True)]) for n, *o in corners])
-    rows = voxels.select(*IJK, F.explode(offsets).alias("o"))
+    rows = voxels.select(*keep, *IJK, F.explode(offsets).alias("o"))
     border = reduce(lambda a, b: a | b, [(F.col(s) + F.col(f"o.d{s}")).isin(0.0, float(r)) for s in IJK])
     places = [((F.col(s) + F.col(f"o.d{s}")) / F.lit(float(r)) - 0.5).alias(p) for s, p in zip(IJK, "xyz", strict=True)]
-    return rows.select(*IJK, F.col("o.point").alias("point"), *places, ((F.col("o.point") > 0) & border).alias("exempt"))
+    return rows.select(*keep, *IJK, F.col("o.point").alias("point"), *places, ((F.col("o.point") > 0) & border).alias("exempt"))
 
 
 def boundary_faces(voxels: DataFrame) -> DataFrame:
@@ -177,21 +176,3 @@ def voxelize_triangles(triangles: DataFrame, r: int) -> DataFrame:
     corners = F.array(*[F.struct(*[p[a].alias("xyz"[a]) for a in range(3)]) for p in t])
     points = triangles.where(flat).select("face_id", F.explode(corners).alias("p")).select("face_id", "p.*")
     return met.unionByName(in_bounds(points).select("face_id", *[index(F.col(p), r).alias(s) for p, s in zip("xyz", IJK, strict=True)]).distinct())
-
-
-def free_evidence(points: DataFrame, cameras: DataFrame, depth: DataFrame, masks: DataFrame | None = None, size: tuple[int, int] = (0, 0)) -> DataFrame:
-    """Voxels that some camera proves empty: each of their nine points that is not exempt lies in its frame, strictly before
-    the surface the pixel shows, or where the camera's mask says that it sees nothing. points: query_points; depth: (cam_idx,
-    row, col, depth), rendered; masks: (cam_idx, row, col, mask) of this width and height."""
-    from ..functions import camera as c
-
-    seen = c.project(points.join(small(cameras)), v.cols("x", "y", "z")).withColumn("framed", F.coalesce(F.col("u").between(0, 1) & F.col("v").between(0, 1), F.lit(False)))
-    placed = seen.withColumns({"col": F.when(F.col("framed"), c.covering_pixel(F.col("u"), F.col("width"))), "row": F.when(F.col("framed"), c.covering_pixel(1 - F.col("v"), F.col("height")))})
-    met = placed.join(depth.select("cam_idx", "row", "col", F.col("depth").alias("end")), ["cam_idx", "row", "col"], "left")
-    if masks is not None:
-        width, height = size
-        met = met.withColumns({"mc": c.nearest_pixel(F.col("u"), F.lit(width)), "mr": c.nearest_pixel(1 - F.col("v"), F.lit(height))})
-        met = met.join(masks.select("cam_idx", F.col("row").alias("mr"), F.col("col").alias("mc"), F.col("mask").alias("on")), ["cam_idx", "mr", "mc"], "left").join(small(masks.select("cam_idx", F.lit(True).alias("has")).distinct()), "cam_idx", "left")
-        met = met.withColumn("end", F.when(F.col("framed") & F.col("has") & ~F.coalesce("on", F.lit(False)), float("inf")).otherwise(F.col("end")))
-    ok = F.col("exempt") | (F.col("framed") & F.coalesce(F.col("depth") < F.col("end") - F.greatest(F.abs("depth") * 1e-4, F.lit(1e-6)), F.lit(False)))
-    return met.groupBy("cam_idx", *IJK).agg(F.bool_and(ok).alias("proved")).where("proved").select(*IJK).distinct()

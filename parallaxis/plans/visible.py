@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import images, raster, voxels
+from ..operators import evidence, images, raster, voxels
 from ..storage import kept
 
 
@@ -42,8 +42,7 @@ def mark_visible(points: DataFrame | None, cameras: DataFrame, r: int, triangles
     owner = F.floor(F.col("face_id") / 12)
     at = {"i": F.floor(owner / (r * r)), "j": F.floor(owner / r) % r, "k": owner % r}
     visible = shown.select(*[e.cast("int").alias(n) for n, e in at.items()]).distinct()
-    empty = voxels.grid(spark, r).join(occupied, list(voxels.IJK), "left_anti")
-    free = voxels.free_evidence(voxels.query_points(empty, r), cameras, seen, masks, size)
+    free = evidence.free_evidence(cameras, seen, r, occupied, masks, size)
     if unknown is not None:
         free = free.join(voxels.voxelize(unknown, r), list(voxels.IJK), "left_anti")
     return voxels.labels(spark, r, visible, free)
