@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import kept
@@ -81,7 +81,7 @@ def main_cluster(points: DataFrame, expand: float = 0.05, least_core: float = 0.
 
 
 def lower_quantile(df: DataFrame, group: str, value: str, share: float, name: str) -> DataFrame:
-    """The order statistic at floor(share * (n - 1)) of each group: the 'lower' quantile."""
-    order = Window.partitionBy(group).orderBy(value)
-    ranked = df.select(group, value, F.row_number().over(order).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"))
-    return ranked.where(F.col("r") == F.floor(share * (F.col("n") - 1)) + 1).select(group, F.col(value).alias(name))
+    """The order statistic at floor(share * (n - 1)) of each group's finite values: the 'lower' quantile."""
+    from .quantiles import quantiles
+
+    return quantiles(df, [group], value, {name: share}, lower=True)

@@ -10,6 +10,8 @@ from ..functions import camera as c
 from ..functions import vector as v
 from ..storage import kept
 from . import small
+from .neighbours import nearest
+from .quantiles import quantiles
 
 
 def viewpoints(cameras: DataFrame, polar: bool = False) -> DataFrame:
@@ -20,10 +22,8 @@ def viewpoints(cameras: DataFrame, polar: bool = False) -> DataFrame:
 
 def nearest_cameras(targets: DataFrame, sources: DataFrame, polar: bool = False) -> DataFrame:
     """For each target the nearest source; of equals the one with the smaller index. Sources may serve several targets."""
-    s = viewpoints(sources, polar).select(F.col("cam_idx").alias("source_idx"), *[F.col(n).alias(f"s{n}") for n in "xyz"])
-    pairs = viewpoints(targets, polar).join(small(s))
-    far = v.sub(v.cols("x", "y", "z"), v.cols("sx", "sy", "sz"))
-    return pairs.groupBy("cam_idx").agg(F.min(F.struct(F.round(v.dot(far, far), 12).alias("d"), "source_idx")).alias("n")).select("cam_idx", F.col("n.source_idx").alias("source_idx"))
+    t, s = (viewpoints(x, polar).withColumnRenamed("cam_idx", "id") for x in (targets, sources))
+    return nearest(t, s, 1, digits=12).select(F.col("id").alias("cam_idx"), F.col("near_id").alias("source_idx"))
 
 
 def farthest_cameras(cameras: DataFrame, k: int, polar: bool = False) -> DataFrame:
@@ -110,7 +110,7 @@ def radii(cameras: DataFrame, scene: str = "scene") -> DataFrame:
     points = cameras.select(scene, *[x.alias(n) for x, n in zip(c.position(), "xyz", strict=True)])
     mean = points.groupBy(scene).agg(*[F.avg(n).alias(f"m{n}") for n in "xyz"])
     far = v.norm(v.sub(v.cols("x", "y", "z"), v.cols("mx", "my", "mz")))
-    return points.join(small(mean), scene).groupBy(scene).agg(F.median(far).alias("radius"))
+    return quantiles(points.join(small(mean), scene).select(scene, far.alias("far")), [scene], "far", {"radius": 0.5})
 
 
 def view_angles(cameras: DataFrame, scene: str = "scene") -> DataFrame:
@@ -189,7 +189,9 @@ def upgrade_verdicts(
     matches, fits = match_lists(candidates.join(some, scene), references.join(some, scene), scene, place_unit=place_p95, angle_unit=turn_p95)
     pairs = _aligned(matches.join(_sides(candidates, scene, "c"), [scene, "c_idx"]), fits, scene).join(_sides(references, scene, "r"), [scene, "r_idx"]).join(small(facts.select(scene, "radius_r")), scene)
     rest = pairs.select(scene, (_gap() / F.greatest(F.col("radius_r"), F.lit(1e-6))).alias("place"), _turn_deg().alias("turn"))
-    residuals = rest.groupBy(scene).agg(F.median("place").alias("place_median"), F.percentile("place", 0.95).alias("place_p95"), F.median("turn").alias("turn_median"), F.percentile("turn", 0.95).alias("turn_p95"), F.max("turn").alias("turn_most"))
+    rest = kept(rest, "residuals")
+    halves = [quantiles(rest, [scene], x, {f"{x}_median": 0.5, f"{x}_p95": 0.95}) for x in ("place", "turn")]
+    residuals = halves[0].join(halves[1], scene).join(rest.groupBy(scene).agg(F.max("turn").alias("turn_most")), scene)
     limits = {"place_median": place_median, "place_p95": place_p95, "turn_median": turn_median, "turn_p95": turn_p95, "turn_most": turn_most}
     good = F.expr(" and ".join(f"{k} <= {float(x)!r}D" for k, x in limits.items()))
     return facts.select(scene).join(residuals, scene, "left").select(scene, *limits, F.coalesce(good, F.lit(False)).alias("accepted"))
@@ -200,4 +202,5 @@ def trajectory_radius(cameras: DataFrame) -> DataFrame:
     points = viewpoints(cameras)
     mean = points.agg(*[F.avg(n).alias(f"m{n}") for n in "xyz"])
     far = v.norm(v.sub(v.cols("x", "y", "z"), v.cols("mx", "my", "mz")))
-    return points.join(F.broadcast(mean)).agg(F.coalesce(F.median(far), F.lit(0.0)).alias("radius"))  # one row
+    found = quantiles(points.join(F.broadcast(mean)).select(F.lit(0).alias("all"), far.alias("far")), ["all"], "far", {"radius": 0.5})  # the mean is one row
+    return found.agg(F.coalesce(F.max("radius"), F.lit(0.0)).alias("radius"))
