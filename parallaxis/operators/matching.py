@@ -10,6 +10,7 @@ from ..functions import camera as c
 from ..functions import vector as v
 from ..storage import kept
 from . import small
+from .directions import widest_angles
 from .neighbours import nearest
 from .quantiles import quantiles
 
@@ -64,9 +65,8 @@ def match_cost(candidates: DataFrame, references: DataFrame, radius: float, plac
 
 def max_view_angle(cameras: DataFrame) -> DataFrame:
     """Greatest angle between two views, 0 for fewer than two."""
-    views = cameras.select("cam_idx", *[x.alias(n) for x, n in zip(c.forward(), "xyz", strict=True)])
-    pairs = views.join(small(views.select(F.col("cam_idx").alias("other"), *[F.col(n).alias(f"o{n}") for n in "xyz"]))).where("cam_idx < other")
-    return pairs.agg(F.coalesce(F.max(v.angle_deg(v.cols("x", "y", "z"), v.cols("ox", "oy", "oz"))), F.lit(0.0)).alias("angle_deg"))
+    views = cameras.select(F.lit(0).alias("scene"), *[x.alias(n) for x, n in zip(c.forward(), "xyz", strict=True)])
+    return widest_angles(views).agg(F.coalesce(F.max("angle_deg"), F.lit(0.0)).alias("angle_deg"))
 
 
 def assign(costs: DataFrame, scene: str = "scene") -> DataFrame:
@@ -115,10 +115,8 @@ def radii(cameras: DataFrame, scene: str = "scene") -> DataFrame:
 
 def view_angles(cameras: DataFrame, scene: str = "scene") -> DataFrame:
     """(scene, spread): greatest angle between two views of a scene, 0 for fewer than two."""
-    views = cameras.select(scene, "cam_idx", *[x.alias(n) for x, n in zip(c.forward(), "xyz", strict=True)])
-    other = views.select(scene, F.col("cam_idx").alias("other"), *[F.col(n).alias(f"o{n}") for n in "xyz"])
-    pairs = views.join(other, scene).where("cam_idx < other").groupBy(scene).agg(F.max(v.angle_deg(v.cols("x", "y", "z"), v.cols("ox", "oy", "oz"))).alias("spread"))
-    return views.select(scene).distinct().join(pairs, scene, "left").withColumn("spread", F.coalesce("spread", F.lit(0.0)))
+    views = cameras.select(scene, *[x.alias(n) for x, n in zip(c.forward(), "xyz", strict=True)])
+    return widest_angles(views, scene).withColumnRenamed("angle_deg", "spread")
 
 
 def _sides(cameras: DataFrame, scene: str, p: str) -> DataFrame:
