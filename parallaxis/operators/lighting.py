@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import pi
+from math import pi, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,9 @@ BRDF_START = (1.0, 0.0425, 1.04, -0.04)
 def harmonics(d: v.Vec) -> list[Column]:
     """The nine real spherical harmonics up to the second band in a direction."""
     x, y, z = d
-    return [F.lit(0.282095), 0.488603 * y, 0.488603 * z, 0.488603 * x, 1.092548 * x * y, 1.092548 * y * z, 0.315392 * (3 * z * z - 1), 1.092548 * x * z, 0.546274 * (x * x - y * y)]
+    even, first, second = sqrt(1 / (4 * pi)), sqrt(3 / (4 * pi)), sqrt(15 / (4 * pi))
+    band = [second * x * y, second * y * z, second / sqrt(12) * (3 * z * z - 1), second * x * z, second / 2 * (x * x - y * y)]
+    return [F.lit(even), *[first * a for a in (y, z, x)], *band]
 
 
 def direction_of(row: Column, col: Column, width: int, height: int) -> v.Vec:

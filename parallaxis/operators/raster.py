@@ -119,21 +119,23 @@ def interpolate(seen: DataFrame, faces: DataFrame, attributes: DataFrame, names:
     return rows.select(*seen.columns, *mixed)
 
 
-def sample_bilinear(rows: DataFrame, texture: DataFrame, width: int, height: int, names: list[str], mode: str = "clamp", u: str = "tu", w: str = "tv") -> DataFrame:
+def sample_bilinear(rows: DataFrame, texture: DataFrame, width: int, height: int, names: list[str], mode: str | tuple[str, str] = "clamp", u: str = "tu", w: str = "tv") -> DataFrame:
     """Rows with the texture's values at (u, w), w upwards, mixed of the four texels around the place; beyond the border the
-    wrap mode gives the texel. texture: (row, col, names), row 0 at the top; four joins on the texel's place."""
-    x, y = wrap(F.col(u), mode) * width - 0.5, (1 - wrap(F.col(w), mode)) * height - 0.5
+    wrap mode, one for both axes or one each, gives the texel. texture: (row, col, names), row 0 at the top; four joins on the
+    texel's place."""
+    across, down = (mode, mode) if isinstance(mode, str) else mode
+    x, y = wrap(F.col(u), across) * width - 0.5, (1 - wrap(F.col(w), down)) * height - 0.5
     rows = rows.withColumns({"_x": F.floor(x), "_y": F.floor(y), "_fx": x - F.floor(x), "_fy": y - F.floor(y)})
-    at = lambda p, size: F.pmod(p, F.lit(size)) if mode == "repeat" else F.greatest(F.lit(0), F.least(F.lit(size - 1), p))
+    at = lambda p, size, mode: F.pmod(p, F.lit(size)) if mode == "repeat" else F.greatest(F.lit(0), F.least(F.lit(size - 1), p))
     columns = [n for n in rows.columns if not n.startswith("_")]
     texels = small(texture.select("row", "col", *names))
     total: dict[str, Column] = {}
     for k, (dx, dy) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1))):
-        near = texels.select(F.col("row").cast("long").alias(f"_r{k}"), F.col("col").cast("long").alias(f"_c{k}"), *[F.col(n).alias(f"_{n}{k}") for n in names])
-        rows = rows.withColumns({f"_r{k}": at(F.col("_y") + dy, height), f"_c{k}": at(F.col("_x") + dx, width)}).join(near, [f"_r{k}", f"_c{k}"])
+        near = texels.select(F.col("row").cast("long").alias(f"_at_row{k}"), F.col("col").cast("long").alias(f"_at_col{k}"), *[F.col(n).alias(f"_value_{n}{k}") for n in names])
+        rows = rows.withColumns({f"_at_row{k}": at(F.col("_y") + dy, height, down), f"_at_col{k}": at(F.col("_x") + dx, width, across)}).join(near, [f"_at_row{k}", f"_at_col{k}"])
         share = (F.col("_fx") if dx else 1 - F.col("_fx")) * (F.col("_fy") if dy else 1 - F.col("_fy"))
         for n in names:
-            total[n] = total[n] + share * F.col(f"_{n}{k}") if n in total else share * F.col(f"_{n}{k}")
+            total[n] = total[n] + share * F.col(f"_value_{n}{k}") if n in total else share * F.col(f"_value_{n}{k}")
     return rows.select(*columns, *[e.alias(n) for n, e in total.items()])
 
 

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from parallaxis.plans import oracle, queries, scenes, scenes_oracle
+from parallaxis.plans import oracle, queries, scenes, scenes_oracle, structures, structures_oracle
 from parallaxis.plans.visible import mark_visible
 from parallaxis.sources import fixtures
 
-QUERIES, SQL = queries.QUERIES | scenes.QUERIES, oracle.SQL | scenes_oracle.SQL
+QUERIES, SQL = queries.QUERIES | scenes.QUERIES | structures.QUERIES, oracle.SQL | scenes_oracle.SQL | structures_oracle.SQL
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
