@@ -81,9 +81,14 @@ def _write_file(lines: DataFrame, path: str) -> None:
     at = jvm.org.apache.hadoop.fs.Path(beside)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs.delete(target, True)
-    fs.rename(part, target)
+    target, old = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{beside}.old")
+    # the old file stays beside until the new one has its name
+    if fs.exists(target):
+        fs.rename(target, old)
+    if not fs.rename(part, target):
+        fs.rename(old, target)
+        raise OSError(f"{path}: could not be written")
+    fs.delete(old, True)
     fs.delete(at, True)
 
 

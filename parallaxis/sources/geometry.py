@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import send
+from ..storage import kept
 from .files import array_points, obj_meshes, text_points
 
-VERTICES = "file string, vid long, x double, y double, z double, r double, g double, b double"
-FACES = "file string, face_id long, v0 long, v1 long, v2 long"
 #: PLY's names of number types, and glTF's codes of component types and names of shapes. Fixed values.
 PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 GLTF_TYPES = {5120: "i1", 5121: "u1", 5122: "i2", 5123: "u2", 5125: "u4", 5126: "f4"}
@@ -155,10 +154,7 @@ def parse_png(content: bytes) -> np.ndarray:
     n = PNG_CHANNELS[kind]
     line, step = (width * n * bits + 7) // 8, max(1, n * bits // 8)
     raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, line + 1)
-    out = np.zeros((height, line), np.uint8)
-    above = np.zeros(line, np.int64)
-    for r in range(height):
-        out[r] = above = _unfiltered(int(raw[r, 0]), raw[r, 1:].astype(np.int64), above, step)
+    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(height, -1, step)).reshape(height, line)
     if bits == 16:
         values = out.reshape(height, -1, 2).astype(np.uint16) @ np.array([256, 1], np.uint16)
     elif bits < 8:
@@ -169,25 +165,20 @@ def parse_png(content: bytes) -> np.ndarray:
     return palette[values[:, :, 0]] / 255.0 if kind == 3 else values / float((1 << bits) - 1)
 
 
-def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    """A line of bytes from its differences to the bytes a pixel before, above, or between."""
-    if kind == 0:
-        return line
-    if kind == 1:
-        pad = -len(line) % step
-        return (np.cumsum(np.append(line, np.zeros(pad, np.int64)).reshape(-1, step), 0).ravel()[: len(line)]) & 255
-    if kind == 2:
-        return (line + above) & 255
-    out = line.copy()
-    for i in range(len(line)):
-        left, up, corner = (int(out[i - step]) if i >= step else 0), int(above[i]), (int(above[i - step]) if i >= step else 0)
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            p = left + up - corner
-            guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-        out[i] = (out[i] + guess) & 255
-    return out
+def _unfiltered(kinds: np.ndarray, differences: np.ndarray) -> np.ndarray:
+    """Bytes (row, pixel, byte) from their differences to what each row's kind guesses from the bytes to the left, above, and left
+    above. All three lie on earlier diagonals, so whole diagonals are done at once, whatever the kinds of their rows."""
+    height, width, step = differences.shape
+    out = np.zeros((height + 1, width + 1, step), np.int16)
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        k = d - r
+        left, up, corner = out[r + 1, k], out[r, k + 1], out[r, k]
+        slope = [np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)]
+        nearest = np.where((slope[0] <= slope[1]) & (slope[0] <= slope[2]), left, np.where(slope[1] <= slope[2], up, corner))
+        guess = np.choose(kinds[r][:, None], [np.zeros_like(left), left, up, (left + up) // 2, nearest])
+        out[r + 1, k + 1] = (differences[r, k] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def _decoded(spark: SparkSession, path: str, decode: Callable[[str, bytes], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -201,20 +192,21 @@ def _decoded(spark: SparkSession, path: str, decode: Callable[[str, bytes], Iter
 
 
 def _meshes(spark: SparkSession, path: str, parse: Callable) -> tuple[DataFrame, DataFrame]:
-    def vertices(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
-        p, _, c = parse(content)
-        for lo in range(0, len(p), ROWS):
-            own = p[lo : lo + ROWS]
-            colors = [pa.array(c[lo : lo + ROWS, k]) for k in range(3)] if c is not None else [pa.nulls(len(own), pa.float64())] * 3
-            yield pa.record_batch([pa.array([name] * len(own)), pa.array(np.arange(lo, lo + len(own))), *[pa.array(np.ascontiguousarray(own[:, k])) for k in range(3)], *colors], ["file", "vid", *"xyz", *"rgb"])
-
-    def faces(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
-        _, f, _ = parse(content)
-        for lo in range(0, len(f), ROWS):
-            own = f[lo : lo + ROWS]
-            yield pa.record_batch([pa.array([name] * len(own)), pa.array(np.arange(lo, lo + len(own))), *[pa.array(np.ascontiguousarray(own[:, k])) for k in range(3)]], ["file", "face_id", "v0", "v1", "v2"])
-
-    return _decoded(spark, path, vertices, VERTICES), _decoded(spark, path, faces, FACES)
+    """Vertices and faces of mesh files: each file is parsed once, into a written table of both, whose rows are then split."""
+
+    def rows(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
+        p, f, c = parse(content)
+        for table, width in ((p, 0), (f, 1)):
+            for lo in range(0, len(table), ROWS):
+                own = table[lo : lo + ROWS]
+                none = lambda kind: [pa.nulls(len(own), kind)] * 3  # noqa: B023, E731
+                at = none(pa.float64()) if width else [pa.array(np.ascontiguousarray(own[:, k])) for k in range(3)]
+                colors = none(pa.float64()) if width or c is None else [pa.array(c[lo : lo + ROWS, k]) for k in range(3)]
+                corners = [pa.array(np.ascontiguousarray(own[:, k])) for k in range(3)] if width else none(pa.int64())
+                yield pa.record_batch([pa.array([name] * len(own)), pa.array([bool(width)] * len(own)), pa.array(np.arange(lo, lo + len(own))), *at, *colors, *corners], ["file", "is_face", "id", *"xyz", *"rgb", "v0", "v1", "v2"])
+
+    both = kept(_decoded(spark, path, rows, "file string, is_face boolean, id long, x double, y double, z double, r double, g double, b double, v0 long, v1 long, v2 long"), "meshes")
+    return both.where("not is_face").select("file", F.col("id").alias("vid"), *"xyz", *"rgb"), both.where("is_face").select("file", F.col("id").alias("face_id"), "v0", "v1", "v2")
 
 
 def ply_meshes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
