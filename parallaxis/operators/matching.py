@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +9,7 @@ from ..functions import camera as c
 from ..functions import vector as v
 from ..storage import kept
 from . import small
+from .assignment import assign
 from .directions import widest_angles
 from .neighbours import nearest
 from .quantiles import quantiles
@@ -69,42 +69,6 @@ def max_view_angle(cameras: DataFrame) -> DataFrame:
     return widest_angles(views).agg(F.coalesce(F.max("angle_deg"), F.lit(0.0)).alias("angle_deg"))
 
 
-def assign(costs: DataFrame, scene: str = "scene") -> DataFrame:
-    """Minimum-cost one-to-one assignment of each scene's square cost table, by shortest augmenting paths."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        table = pdf.pivot(index="c_idx", columns="r_idx", values="cost").sort_index().sort_index(axis=1)
-        a = table.to_numpy()
-        n = len(a)
-        if a.shape != (n, n) or np.isnan(a).any():
-            raise ValueError("costs must be given for all pairs of equally many candidates and references")
-        row_of, price_r, price_c = np.full(n, -1), np.zeros(n), np.zeros(n)
-        for first in range(n):
-            best, came, done = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
-            row, column, base = first, -1, 0.0
-            while row >= 0:
-                reduced = base + a[row] - price_r[row] - price_c
-                better = ~done & (reduced < best - 1e-12)
-                best[better], came[better] = reduced[better], column
-                column = int(np.where(done, np.inf, best).argmin())
-                done[column], base = True, best[column]
-                row = row_of[column]
-            seen = done & (row_of >= 0)
-            price_c[done] += best[done] - base
-            price_r[row_of[seen]] += base - best[seen]
-            price_r[first] += base
-            while column >= 0:
-                before = came[column]
-                row_of[column] = row_of[before] if before >= 0 else first
-                column = before
-        return pd.DataFrame({scene: pdf[scene].iloc[0], "c_idx": table.index[row_of], "r_idx": table.columns, "cost": a[row_of, np.arange(n)]})
-
-    kinds = dict(costs.dtypes)
-    return costs.groupBy(scene).applyInPandas(solve, f"{scene} {kinds[scene]}, c_idx int, r_idx int, cost double")
-
-
 def radii(cameras: DataFrame, scene: str = "scene") -> DataFrame:
     """(scene, radius): median distance of each scene's centres to their mean."""
     points = cameras.select(scene, *[x.alias(n) for x, n in zip(c.position(), "xyz", strict=True)])
