@@ -88,3 +88,14 @@ def fov_of_fill(radius: Column | float, distance: Column | float, share: float,
 def frustum_points(spark: SparkSession, n: int, near: float, far: float, seed: int) -> DataFrame:
     """Random (u, v, depth) within a frustum, the same for the same seed and partitions."""
     return spark.range(n).select(F.col("id").alias("point_id"), F.rand(seed).alias("u"), F.rand(seed + 1).alias("v"), (near + F.rand(seed + 2) * (far - near)).alias("depth"))
+
+
+def points_ahead(cameras: DataFrame, n: int, near: float, far: float, seed: int) -> DataFrame:
+    """(cam_idx, point_id, x, y, z): n random points of each camera's view in the world, between two distances before its plane;
+    the same for the same seed and partitions."""
+    from ..functions import camera as c
+
+    rows = cameras.withColumn("point_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else cameras.withColumn("point_id", F.lit(0)).where("false")
+    rows = rows.withColumns({"_u": F.rand(seed), "_v": F.rand(seed + 1), "_d": near + F.rand(seed + 2) * (far - near)})
+    at = c.back_project(F.col("_u"), F.col("_v"), F.col("_d"))
+    return rows.select("cam_idx", "point_id", *[x.alias(a) for x, a in zip(at, "xyz", strict=True)])

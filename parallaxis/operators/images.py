@@ -36,6 +36,19 @@ def depth_mask(pixels: DataFrame, share: float) -> DataFrame:
     return inside_depth(pixels, share).where("inside").drop("inside")
 
 
+def with_mask(pixels: DataFrame, masks: DataFrame, size: tuple[int, int], mask_size: tuple[int, int]) -> DataFrame:
+    """Adds mask from rasters (cam_idx, row, col, mask) of another width and height, looked up at the pixel nearest to each
+    pixel's centre. Cameras without a mask see all; a missing pixel of a mask is off."""
+    from . import small
+
+    u, w = pixel_uv(*size)
+    near = pixels.drop("mask").withColumns({"_r": c.nearest_pixel(1 - w, F.lit(mask_size[1])), "_c": c.nearest_pixel(u, F.lit(mask_size[0]))})
+    on = masks.select("cam_idx", F.col("row").alias("_r"), F.col("col").alias("_c"), "mask")
+    has = small(masks.select("cam_idx").distinct().withColumn("_has", F.lit(True)))
+    rows = near.join(on, ["cam_idx", "_r", "_c"], "left").join(has, "cam_idx", "left")
+    return rows.withColumn("mask", F.when(F.col("_has"), F.coalesce("mask", F.lit(False))).otherwise(True)).drop("_r", "_c", "_has")
+
+
 def inside_depth(pixels: DataFrame, share: float | None = None) -> DataFrame:
     """Adds inside: a valid depth, in the mask if there is one, and a confidence that reaches the lower quantile if share is given."""
     good = valid_depth() & (F.col("mask") if "mask" in pixels.columns else F.lit(True))

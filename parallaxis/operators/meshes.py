@@ -73,13 +73,26 @@ def sample_count(area: float, r: int, per_voxel: float = 2.0, most: int = 8_000_
 
 
 def sample_surface(triangles: DataFrame, n: int, seed: int) -> DataFrame:
-    """n random points of the surface, each triangle by its area: its share of the n, its fraction drawn at random, is generated
-    where it stands, so no task sees all triangles. Of triangles without area there are none; the number is n on average."""
+    """n random points of the surface, each triangle by its area: the whole part of its share of the n, and one more for the
+    triangles with the largest rests, of equals the smaller face_id. Points are generated where their triangle stands, so no task
+    sees all triangles. Of triangles without area there are none."""
+    from ..storage import kept
+    from .quantiles import places
+
     area = v.norm(_area_vector()) / 2
     rows = triangles.select("face_id", *[f"{a}{m}" for m in range(3) for a in "xyz"], area.alias("area")).where("area > 0")
     whole = rows.agg(F.sum("area")).first()[0] or 1.0
     want = F.col("area") * (n / whole)
-    rows = rows.withColumn("k", (F.floor(want) + (F.rand(seed) < want - F.floor(want)).cast("int")).cast("int")).where("k > 0")
+    rows = kept(rows.withColumns({"k": F.floor(want), "rest": want - F.floor(want)}), "shares")
+    faces, given = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    missing = min(faces, max(0, n - given))
+    if missing:
+        at = rows.sparkSession.createDataFrame([(faces - missing,)], "place long")
+        edge = places(rows, [], "rest", at).first()["value"]
+        above = rows.where(F.col("rest") > edge).count()
+        ties = rows.where(F.col("rest") == edge).select("face_id").orderBy("face_id").limit(missing - above).withColumn("tie", F.lit(1))
+        rows = rows.join(ties, "face_id", "left").withColumn("k", F.col("k") + (F.col("rest") > edge).cast("int") + F.coalesce("tie", F.lit(0)))
+    rows = rows.where("k > 0").withColumn("k", F.col("k").cast("int"))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumns({"_a": F.sqrt(F.rand(seed + 1)), "_b": F.rand(seed + 2)})
     w = (1 - F.col("_a"), F.col("_a") * (1 - F.col("_b")), F.col("_a") * F.col("_b"))
     return rows.select("face_id", *[sum((w[m] * F.col(f"{a}{m}") for m in range(3)), F.lit(0.0)).alias(a) for a in "xyz"])

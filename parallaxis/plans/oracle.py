@@ -120,7 +120,7 @@ edges AS (SELECT cam_idx, face_id, r, c, w0, w1, w2, (px2 - px1) * (y - py1) - (
 frag AS (SELECT cam_idx, face_id, r, c, 1 / ((e0 / w0 + e1 / w1 + e2 / w2) / (e0 + e1 + e2)) AS depth FROM edges WHERE e0 + e1 + e2 <> 0 AND e0 * (e0 + e1 + e2) >= 0 AND e1 * (e0 + e1 + e2) >= 0 AND e2 * (e0 + e1 + e2) >= 0),
 best AS (SELECT *, row_number() OVER (PARTITION BY cam_idx, r, c ORDER BY depth, face_id) AS n FROM frag)"""
 
-FIB = f"fib AS (SELECT id AS idx, acos(greatest(-1.0, least(1.0, 1 - 2 * id / 999.0::DOUBLE))) AS phi, id * {pi * (3 - sqrt(5))}::DOUBLE AS theta FROM range(1000) t(id))"
+FIB = f"fib AS (SELECT id AS idx, acos(greatest(-1.0, least(1.0, 1 - 2 * id / ((SELECT count(*) FROM embeddings) - 1)::DOUBLE))) AS phi, id * {pi * (3 - sqrt(5))}::DOUBLE AS theta FROM range((SELECT count(*) FROM embeddings)) t(id))"
 MOMENT = f"{points()}, pair AS (SELECT point_id % 3 AS scene, x, y, z, 2 * y + 0.5 AS tx, -2 * x + 0.25 AS ty, 2 * z - 1 AS tz FROM pts)"
 CAMS, PTS = cameras(), points()
 
@@ -155,8 +155,8 @@ SQL: dict[str, str] = {
     "voxelized_points": f"WITH {points('4.0')}, {voxels('pts', 8)} SELECT i, j, k, (i::BIGINT * 8 + j) * 8 + k AS flat FROM vox",
     "domain_statistics": f"WITH {points('4.0')} SELECT count(*) AS finite, count(*) FILTER (abs(x) <= 0.5 AND abs(y) <= 0.5 AND abs(z) <= 0.5) AS inside FROM pts",
     "voxel_centers": f"WITH {PTS}, {voxels('pts', 8)} SELECT i, j, k, (i + 0.5) / 8.0::DOUBLE - 0.5 AS x, (j + 0.5) / 8.0::DOUBLE - 0.5 AS y, (k + 0.5) / 8.0::DOUBLE - 0.5 AS z FROM vox",
-    "grid_vertices": f"WITH {grid(7)} SELECT i, j, k, i / 6.0::DOUBLE - 0.5 AS x, j / 6.0::DOUBLE - 0.5 AS y, k / 6.0::DOUBLE - 0.5 AS z FROM cells",
-    "voxel_query_points": f"WITH {grid(4)}, o AS (SELECT 0 AS point, 0.5::DOUBLE AS a, 0.5::DOUBLE AS b, 0.5::DOUBLE AS c UNION ALL SELECT (1 + n)::INT, (n // 4)::DOUBLE, (n // 2 % 2)::DOUBLE, (n % 2)::DOUBLE FROM range(8) t(n)) SELECT i, j, k, point, (i + a) / 4.0::DOUBLE - 0.5 AS x, (j + b) / 4.0::DOUBLE - 0.5 AS y, (k + c) / 4.0::DOUBLE - 0.5 AS z, point > 0 AND (i + a IN (0.0, 4.0) OR j + b IN (0.0, 4.0) OR k + c IN (0.0, 4.0)) AS exempt FROM cells, o",
+    "grid_vertices": f"WITH {points('2.0')}, {grid(7)}, near AS (SELECT round((x + 0.5) * 6)::INT AS i, round((y + 0.5) * 6)::INT AS j, round((z + 0.5) * 6)::INT AS k, count(*) AS n FROM pts GROUP BY ALL) SELECT i, j, k, i / 6.0::DOUBLE - 0.5 AS x, j / 6.0::DOUBLE - 0.5 AS y, k / 6.0::DOUBLE - 0.5 AS z, coalesce(n, 0)::BIGINT AS n FROM cells LEFT JOIN near USING (i, j, k)",
+    "voxel_query_points": f"WITH {points('4.0')}, {voxels('pts', 8)}, o AS (SELECT 0 AS point, 0.5::DOUBLE AS a, 0.5::DOUBLE AS b, 0.5::DOUBLE AS c UNION ALL SELECT (1 + n)::INT, (n // 4)::DOUBLE, (n // 2 % 2)::DOUBLE, (n % 2)::DOUBLE FROM range(8) t(n)) SELECT i, j, k, point, (i + a) / 8.0::DOUBLE - 0.5 AS x, (j + b) / 8.0::DOUBLE - 0.5 AS y, (k + c) / 8.0::DOUBLE - 0.5 AS z, point > 0 AND (i + a IN (0.0, 8.0) OR j + b IN (0.0, 8.0) OR k + c IN (0.0, 8.0)) AS exempt FROM vox, o",
     "boundary_faces": f"WITH {PTS}, {voxels('pts', 8)}, {SIDES}, {EXPOSED} SELECT * FROM exposed",
     "boundary_triangles": f"WITH {PTS}, {voxels('pts', 8)}, {SIDES}, {EXPOSED}, {HALVES}, {BOUNDARY} SELECT * FROM bound",
     "l1_distances": f"WITH {points('4.0')}, {voxels('pts', 8)}, {grid(8)}, {distances(8, 'vox')} SELECT * FROM near",
@@ -176,8 +176,8 @@ n AS (SELECT *, ey * fz - ez * fy AS nx, ez * fx - ex * fz AS ny, ex * fy - ey *
     "texture_wrap": f"WITH {PTS}, a AS (SELECT point_id, x * 20 AS u FROM pts) SELECT point_id, {r6('u - floor(u)', 'repeat')}, {r6('1 - abs(u - 2 * floor(u / 2) - 1)', 'mirror')}, {r6('greatest(0.0, least(1.0, u))', 'clamp')} FROM a",
     "fibonacci_polars": f"WITH {FIB} SELECT idx, {r6('phi', 'phi')}, {r6('theta', 'theta')} FROM fib",
     "fibonacci_directions": f"WITH {FIB} SELECT idx, {r6('sin(phi) * sin(theta)', 'x')}, {r6('sin(phi) * cos(theta)', 'y')}, {r6('cos(phi)', 'z')} FROM fib",
-    "azimuth_wedge": f"WITH {FIB}, a AS (SELECT idx, theta - {pi / 3}::DOUBLE + {pi}::DOUBLE AS d FROM fib) SELECT idx FROM a WHERE abs(d - floor(d / {2 * pi}::DOUBLE) * {2 * pi}::DOUBLE - {pi}::DOUBLE) <= {0.25 * pi}::DOUBLE",
-    "fill_ratio_fov": f"SELECT id AS idx, {r6('greatest(10.0, least(120.0, degrees(2 * atan(0.5::DOUBLE / (0.8 * greatest(id / 10.0::DOUBLE, 1e-6))))))', 'fov')} FROM range(100) t(id)",
+    "azimuth_wedge": f"WITH {PTS}, a AS (SELECT point_id, atan2(y, x) - {pi / 3}::DOUBLE + {pi}::DOUBLE AS d FROM pts) SELECT point_id FROM a WHERE abs(d - floor(d / {2 * pi}::DOUBLE) * {2 * pi}::DOUBLE - {pi}::DOUBLE) <= {0.25 * pi}::DOUBLE",
+    "fill_ratio_fov": f"WITH {points('5.0')} SELECT point_id, {r6('greatest(10.0, least(120.0, degrees(2 * atan(0.5::DOUBLE / (0.8 * greatest(sqrt(x * x + y * y + z * z), 1e-6))))))', 'fov')} FROM pts",
     "alignment_moments": f"WITH {MOMENT} SELECT scene, count(*) AS n, {r6('sum(x)', 's_x')}, {r6('sum(tz)', 's_tz')}, {r6('sum(x * x)', 'p_x_x')}, {r6('sum(x * ty)', 'p_x_ty')}, {r6('sum(z * tz)', 'p_z_tz')}, {r6('sum(ty * tz)', 'p_ty_tz')} FROM pair GROUP BY scene",
     # the pairs are an exact similarity, so each scene's answer is the one they were made by
     "similarity_transform": f"WITH {MOMENT} SELECT DISTINCT scene, 2.0::DOUBLE AS scale, " + ", ".join(f"{x}::DOUBLE AS t{i // 4}{i % 4}" for i, x in enumerate((0, 2, 0, 0.5, -2, 0, 0, 0.25, 0, 0, 2, -1))) + " FROM pair",

@@ -239,12 +239,15 @@ def voxel_centers(spark, sf_dir):
 
 @query
 def grid_vertices(spark, sf_dir):
-    return voxels.grid_vertices(spark, 6)
+    """The grid's corners with the number of points nearest to each."""
+    at = lambda a: F.round((F.col(a) + 0.5) * 6).cast("int")
+    near = fx.points(spark, sf_dir, 2.0).groupBy(*[at(a).alias(n) for a, n in zip("xyz", "ijk", strict=True)]).agg(F.count(F.lit(1)).alias("n"))
+    return voxels.grid_vertices(spark, 6).join(near, ["i", "j", "k"], "left").select("i", "j", "k", "x", "y", "z", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query
 def voxel_query_points(spark, sf_dir):
-    return voxels.query_points(voxels.grid(spark, 4), 4)
+    return voxels.query_points(voxels.voxelize(fx.points(spark, sf_dir, 4.0), 8), 8)
 
 
 @query
@@ -353,26 +356,32 @@ def texture_wrap(spark, sf_dir):
     return fx.points(spark, sf_dir).select("point_id", *[r6(raster.wrap(at, m), m) for m in ("repeat", "mirror", "clamp")])
 
 
+def spread(spark, sf_dir) -> int:
+    """As many directions as there are points."""
+    return fx.points(spark, sf_dir).count()
+
+
 @query
 def fibonacci_polars(spark, sf_dir):
-    return generate.fibonacci_polars(spark, 1000).select("idx", r6("phi", "phi"), r6("theta", "theta"))
+    return generate.fibonacci_polars(spark, spread(spark, sf_dir)).select("idx", r6("phi", "phi"), r6("theta", "theta"))
 
 
 @query
 def fibonacci_directions(spark, sf_dir):
-    return generate.fibonacci_directions(spark, 1000).select("idx", *xyz(v.cols("x", "y", "z")))
+    return generate.fibonacci_directions(spark, spread(spark, sf_dir)).select("idx", *xyz(v.cols("x", "y", "z")))
 
 
 @query
 def azimuth_wedge(spark, sf_dir):
-    p = generate.fibonacci_polars(spark, 1000)
-    return p.where(generate.in_azimuth_wedge(F.col("theta"), pi / 3, 0.25)).select("idx")
+    """Points in a sector of azimuths around the z axis."""
+    return fx.points(spark, sf_dir).where(generate.in_azimuth_wedge(F.atan2("y", "x"), pi / 3, 0.25)).select("point_id")
 
 
 @query
 def fill_ratio_fov(spark, sf_dir):
-    d = F.col("idx").cast("double") / 10
-    return spark.range(100).withColumnRenamed("id", "idx").select("idx", r6(generate.fov_of_fill(0.5, d, 0.8, 10.0, 120.0), "fov"))
+    """From every point the field of view in which a ball around the origin fills most of the image."""
+    far = v.norm(v.cols("x", "y", "z"))
+    return fx.points(spark, sf_dir, 5.0).select("point_id", r6(generate.fov_of_fill(0.5, far, 0.8, 10.0, 120.0), "fov"))
 
 
 def paired(spark, sf_dir):

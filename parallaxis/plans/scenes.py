@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import camera as c
 from ..functions import vector as v
-from ..operators import generate, images, matching, meshes, normalize, raster, small
+from ..operators import align, generate, images, matching, meshes, normalize, raster, small
 from ..sources import fixtures as fx
-from .queries import Query, mesh, paired, r6, xyz
+from .queries import Query, mesh, paired, r6, spread, xyz
 from .visible import mark_visible
 
 QUERIES: dict[str, Query] = {}
@@ -89,7 +89,8 @@ def transformed_depths(spark, sf_dir):
 
 @query
 def similarity_inverse(spark, sf_dir):
-    parts = normalize.similarity_parts(turned(spark))
+    """Similarities fitted to pairs of points, taken apart and inverted."""
+    parts = normalize.similarity_parts(align.similarity(paired(spark, sf_dir)))
     return parts.select("scene", r6("scale", "scale"), *entries("rotation", 3, "r", 3), *entries("inverse", 3))
 
 
@@ -103,18 +104,21 @@ def cluster_up_frame(spark, sf_dir):
     return normalize.axis_transform(rig(spark, sf_dir), "cluster", cluster_deg=60.0, least_share=0.1).select("scene", *entries("transform", 3, number=r5))
 
 
-@query
-def camera_sphere_fit(spark, sf_dir):
+def off_sphere(spark, sf_dir) -> DataFrame:
     """A rig off its sphere, some cameras by far."""
     rows = rig(spark, sf_dir)
     far = F.when(F.col("cam_idx") % 11 == 5, 1.5).otherwise(1 + (F.col("cam_idx") % 5) / F.lit(100.0))
-    rows = rows.withColumn("w2c", c.pose(c.rotation()[0], c.up(), c.rotation()[2], v.scale(c.position(), far)))
-    return normalize.cameras_sphere(rows).select("scene", *[r5(n, n) for n in (*XYZ, "radius")])
+    return rows.withColumn("w2c", c.pose(c.rotation()[0], c.up(), c.rotation()[2], v.scale(c.position(), far)))
+
+
+@query
+def camera_sphere_fit(spark, sf_dir):
+    return normalize.cameras_sphere(off_sphere(spark, sf_dir)).select("scene", *[r5(n, n) for n in (*XYZ, "radius")])
 
 
 @query
 def sphere_frame(spark, sf_dir):
-    return normalize.sphere_transform(rig(spark, sf_dir)).select("scene", *entries("transform", 3))
+    return normalize.sphere_transform(off_sphere(spark, sf_dir)).select("scene", *entries("transform", 3, number=r5))
 
 
 @query
@@ -252,7 +256,7 @@ def line_segments(spark, sf_dir):
 
 @query
 def fibonacci_rotations(spark, sf_dir):
-    return generate.fibonacci_rotations(spark, 1000).select("idx", *entries("rotation", 3, "r", 3))
+    return generate.fibonacci_rotations(spark, spread(spark, sf_dir)).select("idx", *entries("rotation", 3, "r", 3))
 
 
 @query

@@ -65,12 +65,12 @@ SQL: dict[str, str] = {
     "focused_cameras": f"WITH {PTS}, {cameras('2.5', '0.3')}, b AS (SELECT {', '.join(f'(min({a}) + max({a})) / 2 AS m{a}' for a in AXES)} FROM pts), s AS (SELECT mx, my, mz, 2.5 * max(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2)) * {FX} / ({H} * 0.95) AS away FROM pts, b GROUP BY ALL) SELECT cam_idx, {', '.join(r5(f'm{a} + away * r2{i}', f'p{a}') for i, a in enumerate(AXES))}, {', '.join(r5(f'-r2{i}', f'f{a}') for i, a in enumerate(AXES))} FROM cams, s",
     "transformed_cameras": f"WITH {RIG} SELECT cam_idx, 2.0::DOUBLE AS scale, {r6('-2 * py + 1', 'px')}, {r6('2 * px - 0.5', 'py')}, {r6('2 * pz + 0.25', 'pz')}, {r6('r21', 'fx')}, {r6('-r20', 'fy')}, {r6('-r22', 'fz')}, {r6('-r11', 'ux')}, {r6('r10', 'uy')}, {r6('r12', 'uz')} FROM rig",
     "transformed_depths": f"WITH {PIXELS} SELECT cam_idx, {r6('sum(2 * depth)', 'total')} FROM pix WHERE cam_idx < 25 GROUP BY cam_idx",
-    "similarity_inverse": f"SELECT scene::INT AS scene, 2.0::DOUBLE AS scale, {rows([['0.0', '-1.0', '0.0'], ['1.0', '0.0', '0.0'], ['0.0', '0.0', '1.0']], 'r')}, {rows([['0.0', '0.5', '0.0', '0.25'], ['-0.5', '0.0', '0.0', '0.5'], ['0.0', '0.0', '0.5', '-0.125']])} FROM range(2) t(scene)",
+    "similarity_inverse": f"SELECT scene, 2.0::DOUBLE AS scale, {rows([['0.0', '1.0', '0.0'], ['-1.0', '0.0', '0.0'], ['0.0', '0.0', '1.0']], 'r')}, {rows([['0.0', '-0.5', '0.0', '0.125'], ['0.5', '0.0', '0.0', '-0.25'], ['0.0', '0.0', '0.5', '0.5']])} FROM (SELECT DISTINCT vec_id % 3 AS scene FROM embeddings)",
     "mean_up_frame": f"WITH {RIG}, {FIRST}, ups AS (SELECT scene, sum(r10) AS x, sum(r11) AS y, sum(r12) AS z FROM rig GROUP BY scene), main AS (SELECT scene, x / sqrt(x * x + y * y + z * z) AS a, y / sqrt(x * x + y * y + z * z) AS b, z / sqrt(x * x + y * y + z * z) AS c, fx, fy, fz FROM ups JOIN firsts USING (scene)), {FRAME} SELECT scene, {rows(TURNED, number=r5)} FROM spun",
     "cluster_up_frame": f"WITH {RIG}, {FIRST}, near AS (SELECT a.scene, a.cam_idx AS heart, b.cam_idx FROM rig a JOIN rig b ON a.scene = b.scene AND a.r10 * b.r10 + a.r11 * b.r11 + a.r12 * b.r12 >= cos(radians(60.0))), sizes AS (SELECT scene, heart, count(*) AS members FROM near GROUP BY ALL), best AS (SELECT scene, heart, members, row_number() OVER (PARTITION BY scene ORDER BY members DESC, heart) AS n FROM sizes), whole AS (SELECT scene, count(*) AS n FROM rig GROUP BY scene), picked AS (SELECT n.scene, n.cam_idx FROM near n JOIN best b ON b.scene = n.scene AND b.heart = n.heart AND b.n = 1 JOIN whole w ON w.scene = n.scene WHERE members >= greatest(1, ceil(0.1 * w.n))), chosen AS (SELECT r.* FROM rig r WHERE r.scene NOT IN (SELECT scene FROM picked) UNION ALL SELECT r.* FROM rig r JOIN picked USING (scene, cam_idx)), ups AS (SELECT scene, sum(r10) AS x, sum(r11) AS y, sum(r12) AS z FROM chosen GROUP BY scene), main AS (SELECT scene, x / sqrt(x * x + y * y + z * z) AS a, y / sqrt(x * x + y * y + z * z) AS b, z / sqrt(x * x + y * y + z * z) AS c, fx, fy, fz FROM ups JOIN firsts USING (scene)), {FRAME} SELECT scene, {rows(TURNED, number=r5)} FROM spun",
     "camera_sphere_fit": SPHERE_FIT,
     # the rig's sphere has radius 2.5 around the origin
-    "sphere_frame": f"SELECT scene::INT AS scene, {rows([[str(1.6 * (i == j)) for j in range(4)] for i in range(3)])} FROM range(2) t(scene)",
+    "sphere_frame": f"WITH fit AS ({SPHERE_FIT.replace('round(', '(').replace(', 5) + 0.0 AS', ') AS')}) SELECT scene, {rows([[('4.0 / radius' if i == j else '0.0') if j < 3 else f'-4.0 / radius * {AXES[i]}' for j in range(4)] for i in range(3)], number=r5)} FROM fit",
     "image_order": "WITH n AS (SELECT n_nationkey::INT % 2 AS scene, n_nationkey::INT AS cam_idx FROM nation), m AS (SELECT scene, 24 - cam_idx AS cam_idx, 'im' || CASE WHEN scene = 1 AND cam_idx = 3 THEN 5 ELSE cam_idx END AS image_id FROM n), own AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY cam_idx) - 1 AS t FROM m), refs AS (SELECT scene, 'im' || cam_idx AS image_id, row_number() OVER (PARTITION BY scene ORDER BY cam_idx) - 1 AS place FROM n) SELECT o.scene, o.image_id, o.cam_idx, (CASE WHEN o.scene = 0 THEN place ELSE t END)::INT AS turn FROM own o LEFT JOIN refs r ON o.scene = r.scene AND o.image_id = r.image_id",
     "scene_radii": f"WITH {RIG}, m AS (SELECT scene, avg(px) AS mx, avg(py) AS my, avg(pz) AS mz FROM rig GROUP BY scene), a AS (SELECT a.scene, round(max({angle(*[(f'a.r2{i}', f'b.r2{i}') for i in range(3)])}), 4) AS spread FROM rig a JOIN rig b ON a.scene = b.scene AND a.cam_idx < b.cam_idx GROUP BY a.scene), r AS (SELECT scene, {r6('median(sqrt((px - mx) ** 2 + (py - my) ** 2 + (pz - mz) ** 2))', 'radius')} FROM rig JOIN m USING (scene) GROUP BY scene) SELECT * FROM r JOIN a USING (scene)",
     "depth_view": f"""WITH {HOLED}, b AS (SELECT cam_idx, min(depth) AS lo, max(depth) AS hi FROM holed WHERE {GOOD} GROUP BY cam_idx) SELECT cam_idx, "row", col, {r6(f"CASE WHEN {GOOD} THEN greatest(0.0, least(1.0, (depth - lo) / (hi - lo + 1e-8))) ELSE 1.0 END", "shade")} FROM holed LEFT JOIN b USING (cam_idx)""",
@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
     "textured_points": f"""WITH {PTS}, {PIXELS}, t AS (SELECT "row" AS r, col AS c, conf FROM pix WHERE cam_idx = 0), a AS (SELECT point_id, (x * 3 + 0.5) - floor(x * 3 + 0.5) AS u, (y * 3 + 0.5) - floor(y * 3 + 0.5) AS v FROM pts), s AS (SELECT point_id, u * 40 - 0.5 AS sx, (1 - v) * 25 - 0.5 AS sy FROM a), f AS (SELECT point_id, floor(sx)::INT AS ix, floor(sy)::INT AS iy, sx - floor(sx) AS gx, sy - floor(sy) AS gy FROM s), d(dx, dy) AS (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) SELECT point_id, round(sum(CASE dx WHEN 1 THEN gx ELSE 1 - gx END * CASE dy WHEN 1 THEN gy ELSE 1 - gy END * conf), 4) AS conf FROM f, d JOIN t ON t.c = (ix + dx + 40) % 40 AND t.r = (iy + dy + 25) % 25 GROUP BY point_id""",
     "frustum_corners": f"WITH {CAMS}, k(corner, u, v) AS (VALUES (1, 0.0, 0.0), (2, 1.0, 0.0), (3, 1.0, 1.0), (4, 0.0, 1.0)), s AS (SELECT *, (u * {W} - 0.5 - {W / 2}) * 2 / {FX} - t0 AS a, (v * {H} - 0.5 - {H / 2}) * 2 / {FX} - t1 AS b, -2 - t2 AS d FROM cams, k) SELECT cam_idx, corner, {', '.join(r6(f'r0{i} * a + r1{i} * b + r2{i} * d', a) for i, a in enumerate(AXES))} FROM s UNION ALL SELECT cam_idx, 0, {', '.join(r6(f'p{a}', a) for a in AXES)} FROM cams",
     "line_segments": f"WITH {PTS} SELECT point_id, {', '.join(r6(a, f'{a}0') for a in AXES)}, {', '.join(r6(f'{a} + {k}', f'{a}1') for k, a in enumerate(AXES))} FROM pts",
-    "fibonacci_rotations": "WITH f AS (SELECT id AS idx, acos(greatest(-1.0, least(1.0, 1 - 2 * id / 999.0::DOUBLE))) AS p, id * 2.399963229728653::DOUBLE AS t FROM range(1000) t(id)) SELECT idx, " + rows([["cos(p) * cos(t)", "-sin(p)", "cos(p) * sin(t)"], ["sin(p) * cos(t)", "cos(p)", "sin(p) * sin(t)"], ["-sin(t)", "0.0", "cos(t)"]], "r") + " FROM f",
+    "fibonacci_rotations": "WITH f AS (SELECT id AS idx, acos(greatest(-1.0, least(1.0, 1 - 2 * id / ((SELECT count(*) FROM embeddings) - 1)::DOUBLE))) AS p, id * 2.399963229728653::DOUBLE AS t FROM range((SELECT count(*) FROM embeddings)) t(id)) SELECT idx, " + rows([["cos(p) * cos(t)", "-sin(p)", "cos(p) * sin(t)"], ["sin(p) * cos(t)", "cos(p)", "sin(p) * sin(t)"], ["-sin(t)", "0.0", "cos(t)"]], "r") + " FROM f",
 }
 SQL["vertex_colors"] = "SELECT n_nationkey::INT AS cam_idx, TRUE AS exact FROM nation"
 
