@@ -1,11 +1,13 @@
 """Personal data and credentials by weak supervision, in DataFrame functions throughout.
 
-Base spans are those of four patterns with their checks (email, ip, card, phone). Candidates for credentials are long
-tokens with a digit, and what is assigned to a word that names credentials; four labelers vote on each, or abstain: known key formats (regex), credential words before it
-(gazetteer), assignment and quoting around it (context), and the mix of its characters (shape). The numbers of each
-vote pattern are counted over all documents, expectation-maximisation estimates the labelers' reliabilities from these
-at most 3**4 counts, and a logistic span classifier is trained on the resulting probabilities over cells of span
-features, of which there is a fixed number. Its weights go back into the plan as literals.
+Base spans are those of four patterns with their checks (email, ip, card, phone). Candidates of further kinds are
+credentials (long tokens with a digit, and what is assigned to a word that names credentials), bank accounts, national
+insurance and passport numbers, dates of birth, names and street addresses, in four languages. Four labelers vote on each,
+or abstain: known formats and check digits (regex), words before or in it (gazetteer), assignment and prose around it
+(context), and the mix of its characters (shape). The numbers of each kind's vote patterns are counted over all documents,
+expectation-maximisation estimates the labelers' reliabilities from these at most 3**4 counts, and a logistic span
+classifier per kind is trained on the resulting probabilities over cells of span features, of which there is a fixed
+number. Its weights go back into the plan as literals. Of added spans that overlap the more special kind stays.
 
 Rows: null text counts as empty and has no spans; a null doc_id is kept; repeated rows stay; without candidates no
 classifier is trained and the base spans stand alone. Empty tables give no rows; other columns take no part.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .runtime import columns_or_null, materialize
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "name", "address", "birth", "passport", "national", "iban")
 # Possessive and anchored forms of the base patterns: the same matches, without retries inside a run of characters.
 _LOCAL = r"[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -47,21 +49,70 @@ STARTS_WRONG = (0.01, 0.1, 0.2, 0.3)
 FEATURES = (*LABELERS, "size", "share", "upper", "lower")
 
 
+#: Words of the four languages that say what follows or precedes.
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Professor|Sir|Madam|Herr|Frau|Señor|Señora|Doña|Monsieur|Madame|Mademoiselle|Mme"
+CALLED = "[Mm]y name is|[Ii]ch heiße|[Mm]ein Name ist|[Mm]e llamo|[Mm]i nombre es|[Jj]e m'appelle|[Mm]on nom est|[Nn]ame:|[Nn]ombre:|[Nn]om:"
+FIRST_NAMES = (
+    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|William|Elizabeth|David|Barbara|Richard|Susan|Thomas|Sarah|Peter|Anna|Hans|Klaus|Jürgen|Wolfgang|Heinz|Ursula|Monika|Petra|Sabine|Stefan|Andreas|"
+    "José|Carmen|Antonio|María|Manuel|Josefa|Francisco|Isabel|Carlos|Lucía|Pedro|Jean|Marie|Pierre|Nathalie|Michel|Isabelle|Philippe|Sylvie|Alain|Catherine|Jacques|Claire"
+)
+BORN = "born(?: on)?|date of birth|birth ?date|DOB|geboren(?: am)?|Geburtsdatum|nacid[oa](?: el)?|fecha de nacimiento|né(?:e)?(?: le)?|date de naissance"
+PASSPORT_WORDS = "passport|reisepass|pasaporte|passeport"
+NATIONAL_WORDS = "ssn|social security|national insurance|sozialversicherung|seguridad social|sécurité sociale"
+ACCOUNT_WORDS = "iban|account|konto|cuenta|compte"
+_CAP, _LOW = "[A-ZÀ-ÖØ-Þ]", "[a-zß-öø-ÿ]"
+WORD_NAME = f"{_CAP}(?:{_LOW}++(?:[-'’]{_CAP}?{_LOW}++)?|['’]{_CAP}{_LOW}++)"
+NAME = rf"(?<=(?<![A-Za-zÀ-ÿ])(?:{TITLES})\.?\x20){WORD_NAME}(?:\x20{WORD_NAME})?|(?<=(?:{CALLED})\x20){WORD_NAME}(?:\x20{WORD_NAME})?|(?<![A-Za-zÀ-ÿ])(?:{FIRST_NAMES})\x20{WORD_NAME}"
+ADDRESS = (
+    rf"(?<![0-9.])[0-9]{{1,5}}\x20(?:{WORD_NAME}\x20){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)(?![A-Za-z])|"
+    rf"(?<![A-Za-zÀ-ÿ]){_CAP}{_LOW}*+(?:-{_CAP}{_LOW}++)*(?<=straße|strasse|weg|platz|allee|gasse)\x20[0-9]{{1,4}}[a-z]?(?![0-9A-Za-z.])|"
+    rf"(?<![A-Za-zÀ-ÿ])(?:Calle|Avenida|Plaza|Paseo)\x20(?:de\x20)?(?:l[ao]s?\x20)?{WORD_NAME}(?:\x20{WORD_NAME})?,?\x20[0-9]{{1,4}}(?![0-9.])|"
+    rf"(?<![0-9.])[0-9]{{1,4}},?\x20(?:rue|avenue|boulevard|place|quai|allée)\x20(?:d[eu]s?\x20)?(?:la\x20|l['’])?{WORD_NAME}(?:[\x20-]{WORD_NAME})?"
+)
+DATE = r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])"
+PASSPORT = rf"(?<=(?i:{PASSPORT_WORDS})[^0-9\n]{{1,16}})(?<![A-Za-z0-9])[A-Z]{{0,2}}[0-9]{{6,9}}[A-Z]?(?![A-Za-z0-9])"
+NATIONAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+ADDED = {"secret": TOKEN, "name": NAME, "address": ADDRESS, "birth": DATE, "passport": PASSPORT, "national": NATIONAL, "iban": IBAN}
+#: What a text must hold before a kind's pattern is tried on it.
+GUARDS = {
+    "secret": TOKEN, "name": rf"(?:{TITLES})\.?\x20[A-ZÀ-Þ]|(?:{CALLED})\x20|(?:{FIRST_NAMES})\x20[A-ZÀ-Þ]", "address": r"(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]|[0-9],?\x20(?:rue|avenue|boulevard|place|quai|allée)\x20|[0-9]\x20[A-Z][a-z]|(?:Calle|Avenida|Plaza|Paseo)\x20",
+    "birth": r"[0-9][./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", "passport": f"(?i){PASSPORT_WORDS}", "national": NATIONAL, "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
+}
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def in_blocks(items: Column) -> Column:
+    """An array as an array of blocks of about the square root of its size, so that appending within blocks, and blocks to each
+    other, stays far from the square of it."""
+    size = F.ceil(F.sqrt(F.size(items))).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, size)))
+
+
 def matches(text: Column, pattern: str, guard: Column) -> Column:
     """Array of (start, end, hit) of the leftmost non-overlapping matches, in code points: what splitting leaves gives
     their places. Texts that fail the guard have none."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     none = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("hit")))
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    pairs = let(hits, lambda found: F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), h.alias("hit"))))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["hit"].alias("hit")))
-        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], one).alias("out"))
+        one = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["hit"].alias("hit"))
+        return F.struct((start + x["size"]).alias("at"), F.array_append(acc["out"], one).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        widths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["size"]))
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        firsts = F.aggregate(widths, start, lambda a, w: F.struct((a["at"] + w).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))["out"]
+        return F.flatten(F.zip_with(blocks, firsts, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step)["out"]))
 
-    return F.when(guard, F.aggregate(pairs, first, step)["out"]).otherwise(none)
+    return F.when(guard, F.coalesce(let(pairs, lambda p: let(in_blocks(p), placed)), none)).otherwise(none)
 
 
 def digits(hit: Column) -> Column:
@@ -99,15 +150,43 @@ def vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
-def judged(token: Column, before: Column) -> dict[str, Column]:
+def iban_holds(token: Column) -> Column:
+    """Whether the check digits fit: the number read with its first four characters last leaves 1 of 97."""
+    plain = F.regexp_replace(token, "\\x20", "")
+    turned = F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))
+    digit = lambda a, ch: F.when(ch.between("0", "9"), (a * 10 + ch.try_cast("int")) % 97).when(ch.between("A", "Z"), (a * 100 + F.ascii(ch) - 55) % 97).otherwise(a)
+    return F.aggregate(F.split(turned, ""), F.lit(0), digit) == 1
+
+
+def likely_date(token: Column) -> Column:
+    """Whether a day and a month can be read, in whatever order."""
+    parts = F.transform(F.regexp_extract_all(token, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int"))
+    small_ = F.filter(parts, lambda x: x < 1000)
+    return (F.array_min(small_) >= 1) & (F.array_min(small_) <= 12) & (F.array_max(small_) <= 31)
+
+
+def judged(kind: str, token: Column, before: Column) -> dict[str, Column]:
     """Votes of the labelers (1, 0, or -1 for none) and further features of a candidate, each of a few values."""
     n = F.length(token)
     share = F.length(digits(token)) / n
+    silent, no = F.lit(False), F.lit(False)
+    after = lambda words: before.rlike(rf"(?i)(?:{words})[^.\n]{{0,12}}$")
+    votes = {
+        "secret": lambda: (
+            vote(token.rlike(FORMATS), token.rlike(r"^[0-9/+-]+$")), vote(before.rlike(GAZETTEER), before.rlike(r"[A-Za-z]$|^$")), vote(before.rlike(ASSIGNED), before.rlike(PROSE)),
+            vote(share.between(0.15, 0.9) & ~token.rlike(r"[/_-].*[/_-].*[/_-]"), (share < 0.1) | (share == 1)),
+        ),
+        "name": lambda: (
+            vote(before.rlike(rf"(?:{TITLES})\.?\x20$"), no), vote(token.rlike(rf"^(?:{FIRST_NAMES})\x20"), no), vote(before.rlike(rf"(?:{CALLED})\x20$"), no), vote(token.rlike(rf"^{WORD_NAME}\x20{WORD_NAME}$"), token.rlike(f"^{_CAP}{_LOW}{{0,1}}$")),
+        ),
+        "address": lambda: (vote(token.rlike(ADDRESS), silent), vote(before.rlike(r"(?i)(?:address|adresse|dirección|live at|lives at|wohnt in|wohnhaft|vive en|habite)[^.\n]{0,12}$"), no), vote(before.rlike(r"(?:\x20|^)(?:at|in|an|en|au|to|nach|a)\x20(?:the\x20|der\x20)?$"), no), vote(share.between(0.02, 0.4), share > 0.6)),
+        "birth": lambda: (vote(silent, ~after(BORN)), vote(after(BORN), ~after(BORN)), vote(after(BORN), before.rlike(PROSE)), vote(token.rlike("(?:19|20)[0-9]{2}"), no)),
+        "passport": lambda: (vote(token.rlike("^[A-Z]{0,2}[0-9]{7,9}[A-Z]?$"), no), vote(after(PASSPORT_WORDS), no), vote(before.rlike(r"(?i)(?:no\.?|nr\.?|n°|number|nummer|número|numéro|is|ist|es|est|[:#])\x20?$"), no), vote(share > 0.6, share < 0.5)),
+        "national": lambda: (vote(token.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), token.rlike("^(?:000|666|9)|-00-|-0000$")), vote(after(NATIONAL_WORDS), no), vote(before.rlike(r"[:#]\x20?$"), no), vote(silent, silent)),
+        "iban": lambda: (vote(token.rlike("^[A-Z]{2}[0-9]{2}"), no), vote(after(ACCOUNT_WORDS), no), vote(before.rlike(r"[:#]\x20?$"), no), vote(n.between(15, 42), n < 15)),
+    }[kind]()
     return {
-        "by_format": vote(token.rlike(FORMATS), token.rlike(r"^[0-9/+-]+$")),
-        "by_word": vote(before.rlike(GAZETTEER), before.rlike(r"[A-Za-z]$|^$")),
-        "by_context": vote(before.rlike(ASSIGNED), before.rlike(PROSE)),
-        "by_shape": vote(share.between(0.15, 0.9) & ~token.rlike(r"[/_-].*[/_-].*[/_-]"), (share < 0.1) | (share == 1)),
+        **dict(zip(LABELERS, votes, strict=True)),
         "size": F.when(n < 16, 3).when(n < 20, 0).when(n < 32, 1).otherwise(2),
         "share": F.when(share < 0.15, 0).when(share < 0.6, 1).when(share < 1, 2).otherwise(3),
         "upper": token.rlike("[A-Z]").cast("int"),
@@ -128,13 +207,18 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     keep = kept(docs, keep)
     slim = columns_or_null(docs, **({c: kinds[c] for c in keep} | {"doc_id": "long", "text": "string"})).withColumn("text", F.coalesce("text", F.lit("")))
     spans = {k: F.transform(v, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k, v in base_spans(text).items()}
-    tokens = matches(text, TOKEN, text.rlike(TOKEN))
 
-    def described(m: Column) -> Column:
-        before = F.substring(text, F.greatest(m["start"] - BEFORE, F.lit(0)) + 1, F.least(m["start"], F.lit(BEFORE)))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), *[v.alias(k) for k, v in judged(m["hit"], before).items()])
+    def described(kind: str):
+        def one(m: Column) -> Column:
+            before = F.substring(text, F.greatest(m["start"] - BEFORE, F.lit(0)) + 1, F.least(m["start"], F.lit(BEFORE)))
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *[v.alias(k) for k, v in judged(kind, m["hit"], before).items()])
+
+        return one
 
-    return slim.select("doc_id", *keep, *spans.values(), F.transform(tokens, described).alias("candidates"))
+    checks = {"iban": lambda m: iban_holds(m["hit"]), "birth": lambda m: likely_date(m["hit"])}
+    spots = {kind: matches(text, pattern, text.rlike(GUARDS[kind])) for kind, pattern in ADDED.items()}
+    found = [F.transform(F.filter(m, checks[kind]) if kind in checks else m, described(kind)) for kind, m in spots.items()]
+    return slim.select("doc_id", *keep, *spans.values(), F.concat(*found).alias("candidates"))
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> list[float]:
@@ -185,17 +269,19 @@ def logistic(cells: list[tuple[tuple[int, ...], float, int]], rounds: int = 300)
     return bias, w
 
 
-def train(found: DataFrame) -> tuple[float, dict[tuple[int, int], float]] | None:
-    cells = found.select(F.explode("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).count().collect()  # at most the product of the features' few values
-    if not cells:
-        return None
-    k = len(LABELERS)
-    counts: dict[tuple[int, ...], int] = {}
-    for r in cells:
-        counts[tuple(r[:k])] = counts.get(tuple(r[:k]), 0) + r["count"]
-    patterns = sorted(counts.items())
-    belief = dict(zip([v for v, _ in patterns], reliabilities(patterns), strict=True))
-    return logistic(sorted((tuple(r[: len(FEATURES)]), belief[tuple(r[:k])], r["count"]) for r in cells))
+def train(found: DataFrame) -> dict[int, tuple[float, dict[tuple[int, int], float]]]:
+    """A span classifier for every kind that has candidates."""
+    cells = found.select(F.explode("candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in ("kind", *FEATURES)]).count().collect()  # at most the kinds by the product of the features' few values
+    k, models = len(LABELERS), {}
+    for kind in sorted({r["kind"] for r in cells}):
+        own = [(tuple(r[1 : 1 + len(FEATURES)]), r["count"]) for r in cells if r["kind"] == kind]
+        counts: dict[tuple[int, ...], int] = {}
+        for values, n in own:
+            counts[values[:k]] = counts.get(values[:k], 0) + n
+        patterns = sorted(counts.items())
+        belief = dict(zip([v for v, _ in patterns], reliabilities(patterns), strict=True))
+        models[kind] = logistic(sorted((values, belief[values[:k]], n) for values, n in own))
+    return models
 
 
 def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -203,21 +289,26 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     order of start, then of kind."""
     keep = kept(docs, keep)
     found = materialize(find(docs, keep), "spans")
-    model = train(found)
+    models = train(found)
 
     def tagged(name: str, array: Column) -> Column:
         return F.transform(array, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(name)).alias("kind"), m["end"].alias("end")))
 
     base = F.array_sort(F.concat(*[tagged(k, F.col(k)) for k in KINDS[:4]]))
-    if model is None:
+    if not models:
         return found.select("doc_id", *keep, base.alias("base"), base.alias("spans"))
-    bias, weights = model
 
     def logit(c: Column) -> Column:
-        return reduce(lambda a, x: a + F.when(c[FEATURES[x[0][0]]] == x[0][1], x[1]).otherwise(0.0), weights.items(), F.lit(bias))
-
-    overlaps = lambda c: F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    added = tagged("secret", F.filter("candidates", lambda c: (logit(c) > 0) & ~overlaps(c)))
+        out = F.lit(-1.0)
+        for kind, (bias, weights) in models.items():
+            own = reduce(lambda a, x: a + F.when(c[FEATURES[x[0][0]]] == x[0][1], x[1]).otherwise(0.0), weights.items(), F.lit(bias))
+            out = F.when(c["kind"] == kind, own).otherwise(out)
+        return out
+
+    meets = lambda s, c: (s["start"] < c["end"]) & (c["start"] < s["end"])
+    likely = F.filter("candidates", lambda c: (logit(c) > 0) & ~F.exists("base", lambda s: meets(s, c)))
+    special = let(likely, lambda some: F.filter(some, lambda c: ~F.exists(some, lambda s: (s["kind"] > c["kind"]) & meets(s, c))))
+    added = F.transform(special, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     return found.withColumn("base", base).select("doc_id", *keep, "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
@@ -232,12 +323,24 @@ def redact(found: DataFrame) -> DataFrame:
     overlapping spans the first gives its name."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    kind = "struct<from:int,start:int,end:int,kind:int>"
+    none = F.expr(f"cast(array() as array<{kind}>)")
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("spans", first, step)
-    whole = F.when(F.size("spans") == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    return found.withColumn("text", whole).drop("base", "spans")
+        one = F.struct(acc["at"].alias("from"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        done = F.aggregate(b, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["out"], d["out"]).alias("out")))
+
+    def parts(spans: Column) -> Column:
+        """The text of a block's gaps with the names after them: from one piece of the text, cut once."""
+        first = F.element_at(spans, 1)["from"]
+        piece = F.substring(text, first + 1, F.element_at(spans, -1)["start"] - first)
+        return let(piece, lambda p: F.array_join(F.transform(spans, lambda s: F.concat(F.substring(p, s["from"] - first + 1, s["start"] - s["from"]), F.element_at(names, s["kind"] + 1))), ""))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+    folded = F.aggregate(in_blocks(F.col("spans")), start, block)
+    whole = let(folded, lambda f: F.concat(F.array_join(F.transform(F.filter(f["out"], lambda b: F.size(b) > 0), parts), ""), F.substring(text, f["at"] + 1, F.length(text))))
+    return found.withColumn("text", F.when(F.size("spans") == 0, text).otherwise(whole)).drop("base", "spans")
