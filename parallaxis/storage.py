@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share; they go when the application's driver ends."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_leaving: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,9 +24,21 @@ def folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, removed when its driver's JVM ends: results may be read until then."""
+    path = f"{folder(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _leaving:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _leaving.add(path)
+    return path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as a table and read back: it is computed once, and its plan ends there."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
