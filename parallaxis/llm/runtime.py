@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
+_leaving: set[str] = set()
 
 
 #: Rows of an Arrow batch at most: rows are whole documents, and every task holds a few batches on both sides.
@@ -50,7 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A place in this application's part of the shared folder, which is removed when its driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _leaving:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _leaving.add(path)
+    return f"{path}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

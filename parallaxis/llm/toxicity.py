@@ -31,7 +31,7 @@ from . import textkernel as tk
 from .runtime import columns_or_null, held_out, materialize, ship
 
 U = np.uint64
-#: Kinds of identity terms; terms of one kind are swapped for each other.
+#: Kinds of identity terms, in English, German, Spanish and French; terms of one kind are swapped for each other.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -41,6 +41,16 @@ IDENTITIES = (
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrants", "refugees", "natives", "foreigners", "citizens"),
     ("old", "young", "elderly", "disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("ausländer", "einheimische", "flüchtlinge", "einwanderer"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
 )
 #: Bytes of a word's beginning that are features of their own.
 HEADS = (4, 5, 6)
@@ -190,7 +200,7 @@ def fit(rows: np.ndarray, columns: np.ndarray, label: np.ndarray, swaps: Swaps,
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 3000, least_share: float = 0.0004) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 3000, least_share: float = 0.0004, swap_weight: float = 10.0) -> Model:
     spark = docs.sparkSession
     ship(spark)
     docs = columns_or_null(docs, doc_id="long", text="string")
@@ -254,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_feature
     # distinct changes and their numbers: as most texts name no group, few more than there are pairs of terms
     found = texts.select("doc_id", "text").mapInArrow(moved, "gains array<long>, losses array<long>, n long").groupBy("gains", "losses").agg(F.sum("n").alias("n")).collect()
     swaps = Swaps.of(sorted((tuple(r["gains"]), tuple(r["losses"]), r["n"]) for r in found))
-    weights, base = fit(rows, columns, label, swaps, len(hashes))
+    weights, base = fit(rows, columns, label, swaps, len(hashes), swap_weight=swap_weight)
     return Model(hashes, weights, base, int(swaps.pairs.sum()))
 
 

@@ -1,8 +1,10 @@
 """The toxicity classifier: held-out accuracy, the effect of counterfactual swaps, edges."""
 
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from parallaxis.llm import toxicity
 
@@ -51,6 +53,45 @@ def test_swaps_spare_neutral_mentions(spark):
     assert got[1] < 0.3 and got[3] < 0.3 and got[2] >= 0.3
 
 
+@pytest.mark.parametrize("group, other", [("women", "men"), ("ausländer", "einheimische"), ("mujeres", "hombres"), ("immigrés", "citoyens")])
+def test_fewer_false_positives_on_held_out_mentions(spark, group, other):
+    """A corpus whose toxic texts name one group far more often, in each language: without the penalty neutral held-out texts that
+    name it are called toxic, with it none is, and toxic texts are found all the same."""
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(800):
+        words = [f"w{rng.integers(300)}" for _ in range(12)]
+        toxic = i % 4 == 0
+        words += ["scumbag"] * (toxic and rng.random() < 0.7) + ["vermin"] * (toxic and rng.random() < 0.7)
+        words += [group] * (rng.random() < (0.9 if toxic else 0.03)) + [other] * (rng.random() < 0.1)
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, " ".join([f"w{(7 * i + k) % 300}" for k in range(12)] + [group])) for i in range(50)], "doc_id long, text string")
+    wrong = {w: sum(x >= 0.3 for x in scores(neutral, toxicity.train(docs, labels, swap_weight=w)).values()) for w in (0.0, 10.0)}
+    assert wrong[0.0] >= 25 and wrong[10.0] == 0, wrong
+    got = scores(docs, toxicity.train(docs, labels))
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2 and i % 4 == 0 and ("scumbag" in rows[i][1] or "vermin" in rows[i][1])]
+    assert sum(got[i] >= 0.3 for i in held) >= 0.95 * len(held)
+
+
+def test_scores_are_those_of_the_model(spark, sf):
+    """Every score of the query, from the model's weights of the features that plain Python finds in the text."""
+    from parallaxis.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    rows, known = {r["doc_id"]: r["score"] for r in queries.op1_toxicity(spark, sf).collect()}, {}
+    for d in docs.collect():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in d["text"] or "")
+        words = set(re.findall(r"[a-z\x80-\U0010ffff]+", low))
+        for w in words - known.keys():
+            known[w] = set(map(int, toxicity.term_features(w)))
+        logit = model.base + sum(weight.get(h, 0.0) for h in set().union(*(known[w] for w in words)))
+        assert np.isclose(rows[d["doc_id"]], 1 / (1 + np.exp(-logit)), atol=1e-9)
+
+
 def test_the_penalty_is_what_does_it():
     rows, columns = np.array([0, 0, 1, 1, 2, 3]), np.array([0, 1, 0, 1, 2, 2])
     label = np.array([1.0, 1, 0, 0])
