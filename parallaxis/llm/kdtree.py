@@ -14,6 +14,7 @@ rows count each. Fewer candidates than k are all returned; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ PLACED = "width int, shard long, vec_id long, vector array<double>"
 BOXES = "width int, shard long, lo array<double>, hi array<double>"
 #: Sampled vectors that a cell has at least.
 LEAST_SAMPLE = 64
-#: Shards whose boxes are sent to every task at most.
-MOST_BOXES = 10_000
+#: Shards whose boxes are sent to every task at a time.
+BOXES_SENT = 10_000
 #: Queries that meet a shard's vectors in one task, about.
 CHUNK = 8192
 
@@ -205,17 +206,26 @@ def boxes(placed: DataFrame) -> DataFrame:
     return some.groupBy("width", "shard").applyInArrow(whole, BOXES)
 
 
-def routed(asked: DataFrame, known: list, placed: DataFrame) -> DataFrame:
-    """A row per query and shard, not its own, whose box reaches the query's k-th score. Beyond MOST_BOXES shards, whose boxes would
-    be too large to send, the query goes to all shards of its width, whose trees bound it by the same box."""
-    if len(known) > MOST_BOXES:
-        pairs = placed.select("width", F.col("shard").alias("other")).distinct()
-        return asked.join(pairs, "width").where("other <> shard").select("width", F.col("other").alias("shard"), "vec_id", "vector", "kth")
+def box_blocks(known: DataFrame) -> Iterator[list]:
+    """The boxes by width and shard, so that neighbours in space come together, in blocks of a bounded size."""
+    block: list = []
+    for r in known.orderBy("width", "shard").toLocalIterator():
+        block.append(r)
+        if len(block) == BOXES_SENT:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def routed(asked: DataFrame, known: list) -> DataFrame:
+    """A row per query and shard of this block, not its own, whose box reaches the query's k-th score. A query that the box around
+    the whole block does not reach meets none of its boxes."""
     held: dict[int, tuple] = {}
     for w in {r["width"] for r in known}:
         own = [r for r in known if r["width"] == w]
         held[w] = (np.array([r["shard"] for r in own]), np.array([r["lo"] for r in own]), np.array([r["hi"] for r in own]))
-    sent = asked.sparkSession.sparkContext.broadcast(held)  # two vectors a shard, of at most MOST_BOXES
+    sent = asked.sparkSession.sparkContext.broadcast(held)  # two vectors a shard, of at most BOXES_SENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -223,6 +233,9 @@ def routed(asked: DataFrame, known: list, placed: DataFrame) -> DataFrame:
                 if w not in sent.value:
                     continue
                 shards, lo, hi = sent.value[w]
+                q = matrix(own.column("vector"), w)
+                most = np.maximum(q, 0) @ hi.max(0) + np.minimum(q, 0) @ lo.min(0)
+                own = own.filter(pa.array(most >= own.column("kth").to_numpy()))
                 for at in range(0, own.num_rows, 256):
                     part = own.slice(at, 256)
                     q = matrix(part.column("vector"), w)
@@ -285,7 +298,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int =
     if shards > 1:
         reached = ranks(near).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reached"))
         others = asked.join(reached, "vec_id", "left").withColumn("kth", F.coalesce("reached", F.lit(float("-inf")))).drop("reached")
-        known = boxes(placed).limit(MOST_BOXES + 1).collect()  # two vectors a shard
-        far = materialize(routed(others, known, placed), "routed")
+        routes = [routed(others, block) for block in box_blocks(materialize(boxes(placed), "boxes"))]
+        far = materialize(reduce(DataFrame.unionByName, routes), "routed")
         near = near.unionByName(searched(placed, far))
     return ranks(near).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -66,5 +66,5 @@ def test_many_shards_widths_and_equal_vectors(spark, monkeypatch):
     want = brute(rows, {i: v for i, v in rows if i % 5 == 0}, 7)
     monkeypatch.setattr(kdtree, "CHUNK", 20)
     assert answer(spark, rows, 7, 64) == want
-    monkeypatch.setattr(kdtree, "MOST_BOXES", 3)
+    monkeypatch.setattr(kdtree, "BOXES_SENT", 3)
     assert answer(spark, rows, 7, 64) == want
