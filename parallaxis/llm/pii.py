@@ -74,9 +74,9 @@ PASSPORT = rf"(?<=(?i:{PASSPORT_WORDS})[^0-9\n]{{1,16}})(?<![A-Za-z0-9])[A-Z]{{0
 NATIONAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ADDED = {"secret": TOKEN, "name": NAME, "address": ADDRESS, "birth": DATE, "passport": PASSPORT, "national": NATIONAL, "iban": IBAN}
-#: What a text must hold before a kind's pattern is tried on it.
+#: What a text must hold before a kind's pattern is tried on it; long lists of words stand behind a look at the first letter.
 GUARDS = {
-    "secret": TOKEN, "name": rf"(?:{TITLES})\.?\x20[A-ZÀ-Þ]|(?:{CALLED})\x20|(?:{FIRST_NAMES})\x20[A-ZÀ-Þ]", "address": r"(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]|[0-9],?\x20(?:rue|avenue|boulevard|place|quai|allée)\x20|[0-9]\x20[A-Z][a-z]|(?:Calle|Avenida|Plaza|Paseo)\x20",
+    "secret": TOKEN, "name": rf"(?=[A-ZÀ-Þ])(?<![A-Za-zÀ-ÿ])(?:{TITLES}|{FIRST_NAMES})\.?\x20[A-ZÀ-Þ]|(?=[MmIiJjNn])(?:{CALLED})\x20[A-ZÀ-Þ]", "address": r"(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]|[0-9],?\x20(?:rue|avenue|boulevard|place|quai|allée)\x20|[0-9]\x20[A-Z][a-z]|(?:Calle|Avenida|Plaza|Paseo)\x20",
     "birth": r"[0-9][./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}", "passport": f"(?i){PASSPORT_WORDS}", "national": NATIONAL, "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}",
 }
 
